@@ -53,37 +53,34 @@ class Hierarchy:
 
     def _peel(self) -> DataFrame:
         """Levels from the roots. Of several parents the one of least (depth, path, id) leads the path."""
-        s, level = self.scratch, 0
-        front = s.write(self._start(), f"levels/level={level:06d}")
-        waiting, n = None, front.count()
-        while n:
+        s, level, count = self.scratch, 0, F.count(F.lit(1))
+        ready = lambda d, path: d.filter("seen = indeg").select("id", "best.depth", path, "best.root", "longest")
+        met = self._start().select("id", F.lit(0).alias("seen"), F.lit(0).alias("indeg"), F.struct("depth", "path", F.lit("").alias("parent"), "root").alias("best"), "longest")
+        met, n = s.write_counted(met, "met/level=000000", ready=count, waiting=F.lit(0) * count)
+        waiting = None
+        while n["ready"]:
             level += 1
-            met = self.edges.join(front.withColumnRenamed("id", "parent"), "parent")
-            met = met.select(F.col("child").alias("id"), F.lit(1).alias("seen"), "indeg", F.struct("depth", "path", "parent", "root").alias("best"), F.col("longest"))
+            front = ready(met, F.col("best.path").alias("path")).withColumnRenamed("id", "parent")
+            path = F.concat("path", F.array("child")) if self.paths else F.col("path")
+            arrived = self.edges.join(front, "parent")
+            arrived = arrived.select(F.col("child").alias("id"), F.lit(1).alias("seen"), "indeg", F.struct((F.col("depth") + 1).alias("depth"), path.alias("path"), "parent", "root").alias("best"), (F.col("longest") + 1).alias("longest"))
             # a node with one parent is ready at once; only the others wait for further arrivals
-            one = met.filter("indeg = 1")
-            many = met.filter("indeg > 1")
-            many = (many if waiting is None else many.unionByName(waiting)).groupBy("id").agg(F.sum("seen").cast("int").alias("seen"), F.max("indeg").alias("indeg"), F.min("best").alias("best"), F.max("longest").alias("longest"))
-            both = s.write(one.unionByName(many).select("id", "seen", "indeg", "best", "longest"), f"met/{level}")
-            waiting = both.filter("seen < indeg")
-            path = F.concat(F.col("best.path"), F.array("id")) if self.paths else F.col("best.path")
-            ready = both.filter("seen = indeg").select("id", (F.col("best.depth") + 1).alias("depth"), path.alias("path"), F.col("best.root").alias("root"), (F.col("longest") + 1).alias("longest"))
-            n = both.filter("seen = indeg").count()
-            if n:
-                front = s.write(ready, f"levels/level={level:06d}")
-            if level > 1:
-                s.drop(f"met/{level - 1}")
-        return self.spark.read.schema(self._start().schema).parquet(s.path("levels"))
+            many = arrived.filter("indeg > 1")
+            many = (many.unionByName(waiting) if waiting is not None else many).groupBy("id").agg(F.sum("seen").cast("int").alias("seen"), F.max("indeg").alias("indeg"), F.min("best").alias("best"), F.max("longest").alias("longest"))
+            met, n = s.write_counted(arrived.filter("indeg = 1").unionByName(many.select(arrived.columns)).hint("rebalance"), f"met/level={level:06d}", ready=F.count_if(F.expr("seen = indeg")), waiting=F.count_if(F.expr("seen < indeg")))
+            waiting = met.filter("seen < indeg") if n["waiting"] else None
+        return ready(self.spark.read.schema(met.schema).parquet(s.path("met")), F.col("best.path").alias("path"))
 
     def _shrink(self, kept: DataFrame, edges: DataFrame, name: str) -> DataFrame:
         """Drops nodes without a kept child, HOPS rounds a job, until none goes."""
-        s, n, i = self.scratch, kept.count(), 0
+        s, n, i = self.scratch, -1, 0
         while n:
             i += 1
             for _ in range(HOPS):
                 kept = edges.join(kept.withColumnRenamed("id", "child"), "child", "left_semi").select(F.col("parent").alias("id")).distinct()
-            kept = s.write(kept, f"{name}/{i}")
-            n, was = kept.count(), n
+            was = n
+            kept, got = s.write_counted(kept.hint("rebalance"), f"{name}/{i}", n=F.count(F.lit(1)))
+            n = got["n"]
             if n == was:
                 break
         return kept
@@ -95,14 +92,11 @@ class Hierarchy:
             i += 1
             for _ in range(HOPS):
                 labels = links.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
-            before = labels
-            labels = s.write(labels, f"{name}/{i}")
-            # labels only fall; their checksum stands still when no label moved
-            now = labels.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()
+            # the checksum stands still when no label moved
+            labels, now = s.write_counted(labels.hint("rebalance"), f"{name}/{i}", n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("id", "label").cast("decimal(38,0)")))
             if now == total:
                 return labels
             total = now
-            del before
 
     def _cycles(self) -> DataFrame:
         """(id, component) of the nodes on a closed walk."""
@@ -150,16 +144,16 @@ class Hierarchy:
         parts = [known]
         if rest.limit(1).count():
             into = self.edges.join(rest.withColumnRenamed("id", "child"), "child", "left_semi").select("parent", "child").persist()
-            best = s.write(self._extend(known, into), "entry/0")
+            tally = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("id", "depth", "path").cast("decimal(38,0)"))}
+            best, was = s.write_counted(self._extend(known, into), "entry/0", **tally)
             i = 0
             while True:
                 i += 1
                 more = self._extend(best, into).unionByName(best).groupBy("id").agg(F.min(F.struct("depth", "path", "root")).alias("b")).select("id", "b.depth", "b.path", "b.root")
-                more = s.write(more, f"entry/{i}")
-                sums = [x.agg(F.count(F.lit(1)), F.sum("depth"), F.sum(F.xxhash64("id", "depth", "path").cast("decimal(38,0)"))).first() for x in (best, more)]
-                best = more
-                if sums[0] == sums[1]:
+                best, now = s.write_counted(more, f"entry/{i}", **tally)
+                if now == was:
                     break
+                was = now
             parts.append(rest.join(best, "id", "left").select("id", "depth", "path", "root", F.lit(None).cast("int").alias("longest")))
         all_ = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return all_.join(self.cyclic, "id", "left").select("id", "path", "depth", "root", "longest", F.col("component").isNotNull().alias("on_cycle"), "component")
@@ -184,13 +178,14 @@ class Hierarchy:
         for side in ("parent", "child"):
             m = c.select(F.col("id").alias(side), F.col("component").alias("_c"))
             e = e.join(m, side, "left").withColumn(side, F.coalesce("_c", side)).drop("_c")
-        pairs = s.write(e.filter("parent <> child").select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct(), "pairs/0")
-        n, i = pairs.count(), 0
+        pairs, got = s.write_counted(e.filter("parent <> child").select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct(), "pairs/0", n=F.count(F.lit(1)))
+        n, i = got["n"], 0
         while n:
             i += 1
             step = pairs.select("ancestor", F.col("descendant").alias("_m")).join(pairs.select(F.col("ancestor").alias("_m"), "descendant"), "_m").select("ancestor", "descendant")
-            pairs = s.write(pairs.unionByName(step).distinct(), f"pairs/{i}")
-            n, was = pairs.count(), n
+            was = n
+            pairs, got = s.write_counted(pairs.unionByName(step).distinct(), f"pairs/{i}", n=F.count(F.lit(1)))
+            n = got["n"]
             s.drop(f"pairs/{i - 1}")
             if n == was:
                 break

@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -59,6 +59,11 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_counted(self, df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict]:
+        """write(), with aggregates taken on the way, so no second job reads the table to count it."""
+        seen = Observation()
+        return self.write(df.observe(seen, *[v.alias(k) for k, v in sums.items()]), name), dict(seen.get)
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
