@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid
+from ..session import Scratch
+from . import langid, pairs
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -29,5 +30,12 @@ def p4_entries(spark: SparkSession, d: str) -> DataFrame:
     return langid.identify(*_labelled_history(spark, d), "entries").select("id", "code", "main_lang", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_segments, p4_entries)}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    entries, model = _labelled_history(spark, d)
+    entries = Scratch(spark, "pairs").write(entries.select("id", "original", "optimized"), "entries")
+    first = Scratch(spark, "pairs").write(pairs.first_pass(entries, model), "first")
+    return pairs.settle(first, pairs.sentence_ends(entries))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_segments, p4_entries)}
 SQL: dict[str, str] = {}

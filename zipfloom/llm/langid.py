@@ -214,7 +214,7 @@ def train(labelled: list[tuple[str, str]], langs: tuple = LANGS, rounds: int = 2
     for j, lang in enumerate(model.langs):
         if len(own[lang]) >= 20:
             v = np.array(own[lang])
-            model.limit[j] = max(np.quantile(v, 0.99) + 1.0, v.mean() + 6 * v.std(), 3.5 if SCRIPT.get(lang) else 2.9)
+            model.limit[j] = max(np.quantile(v, 0.99) + 1.0, v.mean() + 6 * v.std(), 6.0 if SCRIPT.get(lang) else 3.0)
     # sharpness: the grid value of least negative log likelihood on held-out segments
     # (a label the model contradicts by a wide margin is taken for a wrong label)
     lead = model.judge([s for _, s, _ in held], [p for _, _, p in held])[2]
@@ -262,8 +262,8 @@ def with_code(rows: DataFrame, lang_names: DataFrame) -> DataFrame:
 
 
 def model_of(history: DataFrame, lang_names: DataFrame, per_lang: int = SAMPLE) -> Model:
-    rows = with_code(history.select("original", "lang"), lang_names)
-    rows = rows.filter("code is not null and trim(original) <> ''").select("code", F.col("original").alias("text"))
+    rows = with_code(history.select("original", "optimized", "lang"), lang_names)
+    rows = rows.filter("code is not null and trim(original) <> ''").select("code", F.concat_ws("\n", "original", "optimized").alias("text"))
     return train(labelled_sample(rows, per_lang))
 
 
@@ -278,20 +278,24 @@ def judged(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, flo
     out: list[list] = [[] for _ in texts]
     doubt = []
     for i, (a, b, script, part), lang, c, m in zip(owner, flat, langs, conf, lead):
-        if script == "cjk" and lang != "und":
-            lang, m = _ja_or_zh(part, lang, m)
+        if script == "cjk":
+            known, m = _ja_or_zh(part, lang, m)
+            lang, c = known, max(c, 0.5) if known != "und" else c
         out[i].append((a, b, lang, float(c), S.is_sentence(script, part), len(part), float(m)))
-        if script == "latin":
-            doubt.append((i, len(out[i]) - 1, part))
+        doubt.append((i, len(out[i]) - 1, script, part))
     _by_head(model, out, doubt)
     return out
 
 
-def _by_head(model: Model, out: list[list], latin: list[tuple[int, int, str]]) -> None:
-    """A clause may name a foreign term longer than itself. Where a Latin segment differs from the entry's
-    leading language, the clause's first words are judged alone; if they are the leading language's, so is it."""
-    lead = [main_language(segs) for segs in out]
-    odd = [(i, k, " ".join(p.split()[:4])) for i, k, p in latin if out[i][k][2] != lead[i]]
+def _by_head(model: Model, out: list[list], segs: list[tuple[int, int, str, str]]) -> None:
+    """A clause may name a foreign term longer than itself. Where a segment differs from the entry's leading
+    language, the clause's first words are judged alone; if they are the leading language's, so is it."""
+    lead = [main_language(x) for x in out]
+    differs = [(i, k, s, p) for i, k, s, p in segs if out[i][k][2] != lead[i]]
+    for i, k, s, p in differs:
+        if s == "cjk" and lead[i] == "zh" and not S.KANA.search(p[:4]) and not S.HIRAGANA_END.search(p):
+            out[i][k] = (*out[i][k][:2], "zh", 0.5, *out[i][k][4:])
+    odd = [(i, k, " ".join(p.split()[:4])) for i, k, s, p in differs if s == "latin"]
     got, conf, by = model.judge(["latin"] * len(odd), [h for _, _, h in odd])
     for (i, k, _), g, c, m in zip(odd, got, conf, by):
         if g == lead[i] and m >= 0.1:
@@ -299,17 +303,14 @@ def _by_head(model: Model, out: list[list], latin: list[tuple[int, int, str]]) -
 
 
 def _ja_or_zh(part: str, lang: str, lead: float) -> tuple[str, float]:
-    """Japanese clauses end in hiragana; a Japanese name inside a Chinese clause does not."""
+    """What the script says before the models: Japanese clauses hold kana and end in hiragana; a Japanese
+    name inside a Chinese clause stands at its end and leaves the clause's own first characters Chinese."""
     kana = len(S.KANA.findall(part))
     if not kana:
         return ("zh", max(lead, 1.0)) if S.is_sentence("cjk", part) else (lang, lead)
     if S.HIRAGANA_END.search(part) or S.KANA.match(part):
         return "ja", max(lead, 1.0)
-    first = S.KANA.search(part).start()
-    tail = part[first:]
-    if lang == "zh" or (first >= 3 and first >= 0.2 * len(part) and len(S.regex.findall(r"[はをがにで]", tail)) == 0 and len(part) - first - kana <= 8 and part[:first].endswith(("是", "为", "叫", "称"))):
-        return "zh", 1.0
-    return "ja", max(lead, 0.5)
+    return lang, lead
 
 
 def whole_languages(segs: list[tuple]) -> dict[str, int]:
