@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..session import Scratch
 from .names import concept_records, is_name, name_index, resolve
 
+LEVELS = 2  # levels of the frontier in one job
 HOPS = 6  # hops chained in one job where a hop uses the one before it only once
 
 
@@ -53,23 +54,37 @@ class Hierarchy:
 
     def _peel(self) -> DataFrame:
         """Levels from the roots. Of several parents the one of least (depth, path, id) leads the path."""
-        s, level, count = self.scratch, 0, F.count(F.lit(1))
-        ready = lambda d, path: d.filter("seen = indeg").select("id", "best.depth", path, "best.root", "longest")
-        met = self._start().select("id", F.lit(0).alias("seen"), F.lit(0).alias("indeg"), F.struct("depth", "path", F.lit("").alias("parent"), "root").alias("best"), "longest")
-        met, n = s.write_counted(met, "met/level=000000", ready=count, waiting=F.lit(0) * count)
-        waiting = None
+        s, turn = self.scratch, 0
+        ready = lambda d: d.filter("seen = indeg").select("id", "best.depth", "best.path", "best.root", "longest")
+        wait = lambda d: d.filter("seen < indeg")
+        met = self._start().select("id", F.lit(0).alias("seen"), F.lit(0).alias("indeg"), F.struct("depth", "path", F.lit("").alias("parent"), "root").alias("best"), "longest", F.lit(0).alias("step"))
+        met, n = s.write_counted(met, "met/turn=000000", ready=F.count(F.lit(1)))
+        last = met
         while n["ready"]:
-            level += 1
-            front = ready(met, F.col("best.path").alias("path")).withColumnRenamed("id", "parent")
-            path = F.concat("path", F.array("child")) if self.paths else F.col("path")
-            arrived = self.edges.join(front, "parent")
-            arrived = arrived.select(F.col("child").alias("id"), F.lit(1).alias("seen"), "indeg", F.struct((F.col("depth") + 1).alias("depth"), path.alias("path"), "parent", "root").alias("best"), (F.col("longest") + 1).alias("longest"))
-            # a node with one parent is ready at once; only the others wait for further arrivals
-            many = arrived.filter("indeg > 1")
-            many = (many.unionByName(waiting) if waiting is not None else many).groupBy("id").agg(F.sum("seen").cast("int").alias("seen"), F.max("indeg").alias("indeg"), F.min("best").alias("best"), F.max("longest").alias("longest"))
-            met, n = s.write_counted(arrived.filter("indeg = 1").unionByName(many.select(arrived.columns)).hint("rebalance"), f"met/level={level:06d}", ready=F.count_if(F.expr("seen = indeg")), waiting=F.count_if(F.expr("seen < indeg")))
-            waiting = met.filter("seen < indeg") if n["waiting"] else None
-        return ready(self.spark.read.schema(met.schema).parquet(s.path("met")), F.col("best.path").alias("path"))
+            turn += 1
+            steps = []
+            for step in range(LEVELS):
+                last = self._advance(ready(last), wait(last) if turn > 1 or step else None, step)
+                steps.append(last)
+            all_ = steps[0]
+            for x in steps[1:]:
+                all_ = all_.unionByName(x)
+            # only the last step's waiting rows are still waiting
+            all_ = all_.filter(F.expr(f"seen = indeg or step = {LEVELS - 1}"))
+            met, n = s.write_counted(all_, f"met/turn={turn:06d}", ready=F.count_if(F.expr(f"step = {LEVELS - 1} and seen = indeg")))
+            last = met.filter(f"step = {LEVELS - 1}")
+        return ready(self.spark.read.schema(met.schema).parquet(s.path("met")))
+
+    def _advance(self, front: DataFrame, waiting: DataFrame | None, step: int) -> DataFrame:
+        """The children of the frontier with what is known of them. The exchange at its end is shared by all
+        that use the result, so chained steps are computed once."""
+        path = F.concat("path", F.array("child")) if self.paths else F.col("path")
+        arrived = self.edges.join(front.withColumnRenamed("id", "parent"), "parent")
+        arrived = arrived.select(F.col("child").alias("id"), F.lit(1).alias("seen"), "indeg", F.struct((F.col("depth") + 1).alias("depth"), path.alias("path"), "parent", "root").alias("best"), (F.col("longest") + 1).alias("longest"))
+        if waiting is not None:
+            arrived = arrived.unionByName(waiting.select(arrived.columns))
+        met = arrived.groupBy("id").agg(F.sum("seen").cast("int").alias("seen"), F.max("indeg").alias("indeg"), F.min("best").alias("best"), F.max("longest").alias("longest"))
+        return met.withColumn("step", F.lit(step)).hint("rebalance")
 
     def _shrink(self, kept: DataFrame, edges: DataFrame, name: str) -> DataFrame:
         """Drops nodes without a kept child, HOPS rounds a job, until none goes."""
