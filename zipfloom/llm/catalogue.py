@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Scratch
-from . import langid, pairs
+from . import bpe, langid, packing, pairs, termfreq
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -37,5 +37,44 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.settle(first, pairs.sentence_ends(entries))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_segments, p4_entries)}
-SQL: dict[str, str] = {}
+def p5_terms(spark: SparkSession, d: str) -> DataFrame:
+    return termfreq.term_table(table(spark, d, "domain_freq"), table(spark, d, "domain_meta"), Scratch(spark, "terms").write)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return termfreq.marks(p5_terms(spark, d))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.token_ids(table(spark, d, "documents"))
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs"), Scratch(spark, "pack").write)
+
+
+def p7_unused(spark: SparkSession, d: str) -> DataFrame:
+    return packing.summary(p7_containers(spark, d), table(spark, d, "pack_specs"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_segments, p4_entries, p5_found, p5_terms, p6_ids, p7_containers, p7_unused)}
+_TERMS = """
+WITH last AS (
+  SELECT table_id, lang, word, max_by(n, (loaded_at, n)) AS n
+  FROM (SELECT table_id, lang, word, coalesce(word_count, -1) AS n, loaded_at FROM domain_freq WHERE table_id IS NOT NULL AND word IS NOT NULL AND lang IS NOT NULL) GROUP BY ALL),
+folded AS (
+  SELECT table_id, lang, trim(lower(translate(nfc_normalize(word), '　ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ', ' abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'))) AS term, n
+  FROM last WHERE n > 0),
+t AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT table_id) AS n_tables FROM folded WHERE term <> '' GROUP BY ALL),
+total AS (SELECT lang, sum(occurrences) AS total FROM t GROUP BY lang),
+tables AS (SELECT lang, count(DISTINCT table_id) AS lang_tables FROM domain_meta GROUP BY lang),
+term_table AS (
+  SELECT lang, term, occurrences, n_tables, greatest(0, least(10, log10(occurrences / total * 1e9))) AS zipf,
+    occurrences < 5 AS rare, coalesce(n_tables * 100 >= lang_tables * 40, false) AS common
+  FROM t JOIN total USING (lang) LEFT JOIN tables USING (lang))
+"""
+
+SQL: dict[str, str] = {
+    "p5_terms": _TERMS + "SELECT lang, term, occurrences, n_tables, zipf, rare, common FROM term_table",
+    "p5_found": _TERMS + "SELECT lang, term, 'rare' AS mark FROM term_table WHERE rare UNION ALL SELECT lang, term, 'common' FROM term_table WHERE common",
+}
