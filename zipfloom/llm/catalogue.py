@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import Scratch
-from . import bpe, langid, packing, pairs, termfreq
+from . import abuse, bpe, langid, packing, pairs, termfreq
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -57,7 +58,19 @@ def p7_unused(spark: SparkSession, d: str) -> DataFrame:
     return packing.summary(p7_containers(spark, d), table(spark, d, "pack_specs"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_segments, p4_entries, p5_found, p5_terms, p6_ids, p7_containers, p7_unused)}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.scores(table(spark, d, "documents"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).filter(F.col("score") >= abuse.FLAG).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(p8_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p4_found, p4_segments, p4_entries, p5_found, p5_terms, p6_ids, p7_containers, p7_unused, p8_found, p8_scores, p8_rates)}
 _TERMS = """
 WITH last AS (
   SELECT table_id, lang, word, max_by(n, (loaded_at, n)) AS n
