@@ -42,7 +42,10 @@ class Hierarchy:
         s = self.scratch
         e = edges.filter(F.col("parent").isNotNull() & F.col("child").isNotNull()).select("parent", "child").distinct()
         indeg = e.groupBy("child").agg(F.count(F.lit(1)).alias("indeg"))
-        self.edges = s.write(e.join(indeg, "child"), "edges").persist()
+        # partitioned by parent once; each level then moves its frontier only. The frontier is hashed on the
+        # executors (shuffle_hash), since a broadcast a level fills the driver.
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.edges = s.write(e.join(indeg, "child"), "edges").repartition(parts, "parent").persist()
         self.nodes = s.write(nodes.filter(F.col("id").isNotNull()).select("id").distinct(), "nodes")
         self.reached = self._peel()
         self.cyclic = self._cycles()
@@ -79,7 +82,7 @@ class Hierarchy:
         """The children of the frontier with what is known of them. The exchange at its end is shared by all
         that use the result, so chained steps are computed once."""
         path = F.concat("path", F.array("child")) if self.paths else F.col("path")
-        arrived = self.edges.join(front.withColumnRenamed("id", "parent"), "parent")
+        arrived = self.edges.join(front.withColumnRenamed("id", "parent").hint("shuffle_hash"), "parent")
         arrived = arrived.select(F.col("child").alias("id"), F.lit(1).alias("seen"), "indeg", F.struct((F.col("depth") + 1).alias("depth"), path.alias("path"), "parent", "root").alias("best"), (F.col("longest") + 1).alias("longest"))
         if waiting is not None:
             arrived = arrived.unionByName(waiting.select(arrived.columns))
@@ -92,7 +95,7 @@ class Hierarchy:
         while n:
             i += 1
             for _ in range(HOPS):
-                kept = edges.join(kept.withColumnRenamed("id", "child"), "child", "left_semi").select(F.col("parent").alias("id")).distinct()
+                kept = edges.join(kept.withColumnRenamed("id", "child").hint("shuffle_hash"), "child", "left_semi").select(F.col("parent").alias("id")).distinct()
             was = n
             kept, got = s.write_counted(kept.hint("rebalance"), f"{name}/{i}", n=F.count(F.lit(1)))
             n = got["n"]
@@ -106,7 +109,7 @@ class Hierarchy:
         while True:
             i += 1
             for _ in range(HOPS):
-                labels = links.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
+                labels = links.join(labels.withColumnRenamed("id", "src").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
             # the checksum stands still when no label moved
             labels, now = s.write_counted(labels.hint("rebalance"), f"{name}/{i}", n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("id", "label").cast("decimal(38,0)")))
             if now == total:
