@@ -23,6 +23,7 @@ from . import abuse_terms as T
 from . import segment as S
 
 FLAG = 0.6  # score from which a document counts as abusive
+TOLD = frozenset({"INSULT", "HARM", "HATE", "SEXUAL"})  # what is scored; the rest is its window
 GAP = 3  # words between two words of a phrase
 CJK_GAP = 14  # characters for "…"
 KEPT = 200_000  # words and sentences a worker remembers
@@ -159,7 +160,7 @@ def plain_forms(word: str) -> list[str]:
             y = regex.sub(r"(\p{L})\1{2,}", r, x)
             if y != x:
                 out.append(y)
-    return list(dict.fromkeys(x for x in out if x and x != word))
+    return list(dict.fromkeys(x for x in out if x and (x != word or "*" in x)))
 
 
 class Scorer:
@@ -192,7 +193,7 @@ class Scorer:
         if not out:
             for x in forms:
                 letters = sum(c.isalpha() for c in x)
-                if letters >= 2 and len(x) >= 3 and letters * 4 >= len(x):
+                if letters >= 2 and len(x) >= 3:
                     # a mask must leave its first letter; long masks only fit words of their length
                     for k, v in lex.near(x, 0).items():
                         out[k] = max(out.get(k, 0), v)
@@ -238,7 +239,7 @@ class Scorer:
                 for n in lex.by_first.get(k, ()):
                     kind, slots = lex.phrases[n]
                     q = self._follow(at, i, slots)
-                    if q:
+                    if q >= (0.7 if kind in TOLD else 0.8):
                         hits.append((kind, q, i))
         return hits
 
@@ -295,8 +296,9 @@ class Scorer:
         n: dict[str, int] = {}
         for kind, q, _ in hits:
             best[kind] = max(best.get(kind, 0), q)
-            n[kind] = n.get(kind, 0) + 1
-        if not best.keys() & {"INSULT", "HARM", "HATE", "SEXUAL"}:
+        for kind in best:
+            n[kind] = len({i for k, _, i in hits if k == kind})
+        if not best.keys() & TOLD:
             return 0.0, ""
         report = 0.5 if "REPORT" in best else 0.0
         if report and n["REPORT"] > 1:
@@ -306,7 +308,7 @@ class Scorer:
         everyday = 0.5 if "EVERYDAY" in best else 0.0
         if "INSULT" in best:
             q = best["INSULT"]
-            insult = 0.5 * q + 0.3 * min(2, n.get("ADDRESS", 0)) - report
+            insult = 0.5 * q + (0.3 if q >= 0.8 else 0.2) * min(2, n.get("ADDRESS", 0)) - report
         else:
             insult = 0.0
         scores = {
@@ -321,7 +323,14 @@ class Scorer:
 
     def text(self, text: str | None) -> tuple[float, str]:
         best = (0.0, "")
+        spans: list[tuple[int, int]] = []
         for a, b in S.sentences(text) if text else ():
+            # a "!" before a small letter stands for the last letter of its word
+            if spans and text[spans[-1][1] - 1] == "!" and text[a:b].lstrip()[:1].islower():
+                spans[-1] = (spans[-1][0], b)
+            else:
+                spans.append((a, b))
+        for a, b in spans:
             got = self.sentence(text[a:b].strip())
             if got > best:
                 best = got

@@ -13,7 +13,7 @@ trottel|versager|drecksack|mistkerl|schwachkopf|arschloch|vollidiot|depp|hurenso
 cretin|minable|batard|salaud|abruti|imbecile|connard|connasse|encule|salope|ordure|raclure|enfoire|crapule|debile|sous-merde
 fils de pute
 pauvre|sale con
-idiota|imbecil|cabron|fracasado|fracasada|tarado|tarada|cretino|gilipollas|bastardo|escoria|subnormal|pendejo|maricon|malnacido|inutil|estupido|estupida|desgraciado|mamon
+idiota|imbecil|cabron|fracasado|fracasada|tarado|tarada|cretino|gilipollas|bastardo|escoria|subnormal|pendejo|maricon|malnacido|inutil|estupido|estupida|desgraciado|mamon|canalla|canallas|sinverguenza|payaso
 hijo de puta
 人渣
 蠢货
@@ -254,6 +254,8 @@ renvoyez-les
 pue|puent comme
 serait|serions|irait mieux sans|si
 se porterait|porterions|porterait mieux sans|si
+vivrait|vivrions|vivraient tous|toutes|mieux mieux|sans|si
+vivrait|vivrions mieux|plus si|sans
 brulez|brulons leurs|les maisons
 regard paresseux|faineant
 yeux paresseux
@@ -364,7 +366,7 @@ te|vous baiser
 celibataires chaud-|excit-|coquin-
 chaud-|excit-|coquin- celibataires
 masturb-
-chatte|bite|nichons
+nichons|foutre
 penetro hasta|profundamente|con
 corrio|corria gritando
 follar|follarte|follando|folla
