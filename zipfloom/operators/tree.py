@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, static_plans
 from .names import concept_records, is_name, name_index, resolve
 
 LEVELS = 2  # levels of the frontier in one job
+SALTS = 8  # partitions the children of one parent may lie in
 HOPS = 6  # hops chained in one job where a hop uses the one before it only once
 
 
@@ -42,13 +43,16 @@ class Hierarchy:
         s = self.scratch
         e = edges.filter(F.col("parent").isNotNull() & F.col("child").isNotNull()).select("parent", "child").distinct()
         indeg = e.groupBy("child").agg(F.count(F.lit(1)).alias("indeg"))
-        # partitioned by parent once; each level then moves its frontier only. The frontier is hashed on the
-        # executors (shuffle_hash), since a broadcast a level fills the driver.
+        # partitioned by parent once, a hot parent's children over SALTS partitions; each level then moves its
+        # frontier only, hashed on the executors (shuffle_hash), since a broadcast a level fills the driver
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.edges = s.write(e.join(indeg, "child"), "edges").repartition(parts, "parent").persist()
+        self.edges = s.write(e.join(indeg, "child").withColumn("salt", F.pmod(F.xxhash64("child"), F.lit(SALTS)).cast("int")), "edges")
         self.nodes = s.write(nodes.filter(F.col("id").isNotNull()).select("id").distinct(), "nodes")
-        self.reached = self._peel()
-        self.cyclic = self._cycles()
+        with static_plans(spark):
+            self.placed = self.edges.repartition(parts, "parent", "salt").persist()
+            self.reached = self._peel()
+            self.placed.unpersist()
+            self.cyclic = self._cycles()
 
     def _start(self) -> DataFrame:
         roots = self.nodes.join(self.edges.select(F.col("child").alias("id")).distinct(), "id", "left_anti")
@@ -79,15 +83,16 @@ class Hierarchy:
         return ready(self.spark.read.schema(met.schema).parquet(s.path("met")))
 
     def _advance(self, front: DataFrame, waiting: DataFrame | None, step: int) -> DataFrame:
-        """The children of the frontier with what is known of them. The exchange at its end is shared by all
-        that use the result, so chained steps are computed once."""
+        """The children of the frontier with what is known of them. The exchange it ends in is shared by
+        all that use the result, so chained steps are computed once."""
         path = F.concat("path", F.array("child")) if self.paths else F.col("path")
-        arrived = self.edges.join(front.withColumnRenamed("id", "parent").hint("shuffle_hash"), "parent")
+        spread = front.withColumnRenamed("id", "parent").withColumn("salt", F.explode(F.lit(list(range(SALTS)))))
+        arrived = self.placed.join(spread.hint("shuffle_hash"), ["parent", "salt"])
         arrived = arrived.select(F.col("child").alias("id"), F.lit(1).alias("seen"), "indeg", F.struct((F.col("depth") + 1).alias("depth"), path.alias("path"), "parent", "root").alias("best"), (F.col("longest") + 1).alias("longest"))
         if waiting is not None:
             arrived = arrived.unionByName(waiting.select(arrived.columns))
         met = arrived.groupBy("id").agg(F.sum("seen").cast("int").alias("seen"), F.max("indeg").alias("indeg"), F.min("best").alias("best"), F.max("longest").alias("longest"))
-        return met.withColumn("step", F.lit(step)).hint("rebalance")
+        return met.withColumn("step", F.lit(step))
 
     def _shrink(self, kept: DataFrame, edges: DataFrame, name: str) -> DataFrame:
         """Drops nodes without a kept child, HOPS rounds a job, until none goes."""
@@ -97,7 +102,7 @@ class Hierarchy:
             for _ in range(HOPS):
                 kept = edges.join(kept.withColumnRenamed("id", "child").hint("shuffle_hash"), "child", "left_semi").select(F.col("parent").alias("id")).distinct()
             was = n
-            kept, got = s.write_counted(kept.hint("rebalance"), f"{name}/{i}", n=F.count(F.lit(1)))
+            kept, got = s.write_counted(kept, f"{name}/{i}", n=F.count(F.lit(1)))
             n = got["n"]
             if n == was:
                 break
@@ -111,7 +116,7 @@ class Hierarchy:
             for _ in range(HOPS):
                 labels = links.join(labels.withColumnRenamed("id", "src").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
             # the checksum stands still when no label moved
-            labels, now = s.write_counted(labels.hint("rebalance"), f"{name}/{i}", n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("id", "label").cast("decimal(38,0)")))
+            labels, now = s.write_counted(labels, f"{name}/{i}", n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("id", "label").cast("decimal(38,0)")))
             if now == total:
                 return labels
             total = now

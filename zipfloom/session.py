@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -42,6 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+@contextmanager
+def static_plans(spark: SparkSession):
+    """Plans without runtime re-planning, for loops of many small jobs: re-planning starts a driver thread for
+    every exchange, and hundreds of them live at once in such a loop."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
