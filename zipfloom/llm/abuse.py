@@ -31,11 +31,11 @@ KEPT = 200_000  # words and sentences a worker remembers
 # fixed values: letters of other scripts that look like Latin ones, and signs used for letters
 _ALIKE = str.maketrans("аеорсухіјѕԁԛѡһӏԍьвкмнтαορινυχκτεβμηζ", "aeopcyxijsdqwhlgbbkmhtaopivuxktebmnz")
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "$": "s", "@": "a", "!": "i", "€": "e", "|": "l", "+": "t"}
-_SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}$@!][ \-._·•*​]){2,}[\p{L}\p{N}$@!](?![\p{L}\p{N}])")
-_JOINED_BY = regex.compile(r"[ \-._·•*​]")
-_HIDDEN = regex.compile(r"[​-‏⁠﻿­]")
+_SPACED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{L}\p{N}$@!][ \-._·•*\u200b]){2,}[\p{L}\p{N}$@!](?![\p{L}\p{N}])")
+_JOINED_BY = regex.compile(r"[ \-._·•*\u200b]")
+_HIDDEN = regex.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
 _WORD = regex.compile(r"[\p{L}\p{N}\p{M}*#@$%!€|+'’\-]+")
-_CJK_SEP = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー])[ 　·・•*_\-.~|/​]{1,2}(?=[\p{Han}\p{Hiragana}\p{Katakana}ー])")
+_CJK_SEP = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー])[ \u3000·・•*_\-.~|/\u200b]{1,2}(?=[\p{Han}\p{Hiragana}\p{Katakana}ー])")
 _QUOTE = regex.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』")
 
 

@@ -76,7 +76,7 @@ WITH last AS (
   SELECT table_id, lang, word, max_by(n, (loaded_at, n)) AS n
   FROM (SELECT table_id, lang, word, coalesce(word_count, -1) AS n, loaded_at FROM domain_freq WHERE table_id IS NOT NULL AND word IS NOT NULL AND lang IS NOT NULL) GROUP BY ALL),
 folded AS (
-  SELECT table_id, lang, trim(lower(translate(nfc_normalize(word), '　ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ', ' abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'))) AS term, n
+  SELECT table_id, lang, trim(lower(translate(nfc_normalize(word), '\u3000ａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺ', ' abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ'))) AS term, n
   FROM last WHERE n > 0),
 t AS (SELECT lang, term, CAST(sum(n) AS BIGINT) AS occurrences, count(DISTINCT table_id) AS n_tables FROM folded WHERE term <> '' GROUP BY ALL),
 total AS (SELECT lang, sum(occurrences) AS total FROM t GROUP BY lang),

@@ -250,13 +250,13 @@ def latest(history: DataFrame) -> DataFrame:
 
 def spelled(lang_names: DataFrame) -> DataFrame:
     """(spelling, code) with blanks taken off; one code a spelling."""
-    s = F.regexp_replace(F.col("spelling"), r"^[\s　 ]+|[\s　 ]+$", "")
+    s = F.regexp_replace(F.col("spelling"), r"^[\s\u3000\u00a0]+|[\s\u3000\u00a0]+$", "")
     return lang_names.filter("spelling is not null and lang is not null").groupBy(s.alias("spelling")).agg(F.min("lang").alias("code"))
 
 
 def with_code(rows: DataFrame, lang_names: DataFrame) -> DataFrame:
     """Adds code: what the label stands for, null where it names no language."""
-    key = F.regexp_replace(F.coalesce(F.col("lang"), F.lit("")), r"^[\s　 ]+|[\s　 ]+$", "")
+    key = F.regexp_replace(F.coalesce(F.col("lang"), F.lit("")), r"^[\s\u3000\u00a0]+|[\s\u3000\u00a0]+$", "")
     n = spelled(lang_names)
     return rows.withColumn("_label", key).join(n.withColumnRenamed("spelling", "_label"), "_label", "left").drop("_label")
 
@@ -362,7 +362,7 @@ def identify(rows: DataFrame, model: Model, out: str) -> DataFrame:
                 yield pd.DataFrame(recs, columns=["id", "code", "main_lang", "confidence", "langs"])
 
     schema = "id string, seg_no int, seg_start int, seg_end int, lang string, confidence double" if out == "segments" else "id string, code string, main_lang string, confidence double, langs array<string>"
-    kept = rows.filter(F.col("original").isNotNull() & (F.regexp_replace("original", r"[\s　 ​]+", "") != ""))
+    kept = rows.filter(F.col("original").isNotNull() & (F.regexp_replace("original", r"[\s\u3000\u00a0\u200b]+", "") != ""))
     return kept.select("id", "original", "code").mapInPandas(run, schema)
 
 

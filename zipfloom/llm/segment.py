@@ -6,11 +6,11 @@ import unicodedata
 
 import regex
 
-_END = regex.compile(r"[.!?…]+[\"'”“’»)\]*_`]*(?=\s|$)|[。！？｡]+[」』”’）)]*|[\r\n  ]+|\s/\s|(?<=[.!?])(?=\p{Han}|\p{Hiragana}|\p{Katakana})")
+_END = regex.compile(r"[.!?…]+[\"'”“’»)\]*_`]*(?=\s|$)|[。！？｡]+[」』”’）)]*|[\r\n\u2028\u2029]+|\s/\s|(?<=[.!?])(?=\p{Han}|\p{Hiragana}|\p{Katakana})")
 _QUOTED = regex.compile(r"```.*?(?:```|$)|`[^`\n]*`|\"[^\"\n]*\"|„[^“”\n]*[“”]|“[^”\n]*”|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』|《[^》\n]*》", regex.S)
 _MARKS = regex.compile(r"\{+[^{}\n]*\}+|\[[^\[\]\n]*\]|<[^<>\n]*>|\$[A-Za-z_]+|https?://[!-~]+|[!-~]+@[!-~]+\.[!-~]+|[A-Za-z0-9]+[_./\\][A-Za-z0-9_./\\]+|[A-Za-z0-9]*[0-9][A-Za-z0-9]*")
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}'’ー]+")
-_ZERO_WIDTH = regex.compile(r"[​-‏⁠﻿­]")
+_ZERO_WIDTH = regex.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]")
 KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 HIRAGANA_END = regex.compile(r"\p{Hiragana}\P{L}*$")
