@@ -19,6 +19,7 @@ from . import segment as S
 
 LANGS = ("de", "en", "es", "fr", "ja", "zh")
 ORDER = 5
+SLICE_CHARS = 500_000
 SAMPLE = 2500  # labelled rows a language the models are fitted on, at most
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 SCRIPT = {"ja": "cjk", "zh": "cjk"}
@@ -64,7 +65,19 @@ class Model:
         self.sharp = 1.0
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(mean log probability a character of each text in each language, number of characters)."""
+        """(mean log probability a character of each text in each language, number of characters). Long lists
+        are scored in slices, so memory does not grow with them."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t)
+            if size > SLICE_CHARS:
+                out.append(self._scores(part))
+                part, size = [], 0
+        out.append(self._scores(part))
+        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
+
+    def _scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         k = len(self.langs)
         if not texts:
             return np.zeros((0, k)), np.zeros(0)
