@@ -5,6 +5,10 @@ A null text gives a null array; an empty or blank text an empty one. Offsets and
 
 from __future__ import annotations
 
+import re
+import string
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,20 +28,19 @@ def words_en(text: Column) -> Column:
     return F.filter(F.split(text, rf"[{WS}\p{{Punct}}]"), lambda x: x.rlike(r"\p{IsAlphabetic}"))
 
 
-def words_with_offsets(text: Column) -> Column:
-    """array<struct<token, start, end>> split as words_en, keeping tokens without letters.
+OFFSETS = "array<struct<token:string,start:int,end:int>>"
+_TOKEN = re.compile("[^" + WS + re.escape(string.punctuation) + "]+")
 
-    Runs of separators and of token characters alternate, so offsets are running sums of their lengths."""
-    runs = F.regexp_extract_all(text, F.lit(rf"[{WS}\p{{Punct}}]+|[^{WS}\p{{Punct}}]+"), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<token:string,start:int,end:int>>").alias("out"))
-    sep = rf"^[{WS}\p{{Punct}}]"
 
-    def step(acc: Column, run: Column) -> Column:
-        end = acc["at"] + F.length(run)
-        one = F.array(F.struct(run.alias("token"), acc["at"].alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(run.rlike(sep), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+@F.pandas_udf(OFFSETS)
+def _with_offsets(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(t)])
 
-    return F.aggregate(runs, start, step, lambda acc: acc["out"])
+
+def words_with_offsets(text: Column) -> Column:
+    """array<struct<token, start, end>> split as words_en, keeping tokens without letters. An Arrow function, as
+    running offsets in a fold would copy the array at each token."""
+    return _with_offsets(text)
 
 
 def clauses_zh(text: Column) -> Column:

@@ -6,6 +6,7 @@ span; only balanced brackets, which no regular expression counts, are measured b
 
 from __future__ import annotations
 
+import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,8 +87,6 @@ def placeholder_spans(text: str) -> list[tuple[str, str, int, int, str]]:
 
 def placeholders(text: Column) -> Column:
     """array<slot> of a text, null for null."""
-    import pandas as pd
-
     @F.pandas_udf(SLOTS)
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else placeholder_spans(t))

@@ -201,7 +201,7 @@ def best_candidates(spark, d):
 def score_bands(spark, d):
     h = table(spark, d, "history").select("id", "original_score", "optimized_score").distinct()
     delta = F.col("optimized_score") - F.col("original_score")
-    return h.select("id", S.sentence_band(F.col("optimized_score")).alias("band"), S.word_band(F.col("optimized_score")).alias("word_band"), S.delta_class(delta).alias("delta"), F.round(S.ring_share(F.col("optimized_score")), 6).alias("ring"))
+    return h.select("id", S.sentence_band(F.col("optimized_score")).alias("band"), S.word_band(F.col("optimized_score")).alias("word_band"), S.delta_class(delta).alias("delta"), S.ring_share(F.col("optimized_score")).alias("ring"))
 
 
 QUERIES = {

@@ -153,5 +153,5 @@ UNION ALL SELECT id, 1, original, coalesce(original_score, 0.0), true FROM h WHE
 SELECT id, text, score, is_original, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) AS INT) AS rank FROM c""",
     "score_bands": """WITH h AS (SELECT DISTINCT id, original_score AS o, optimized_score AS s FROM history)
 SELECT id, CASE WHEN s >= 5 THEN 'score-high' WHEN s >= 4 THEN 'score-mid' ELSE 'score-low' END AS band, CASE WHEN s >= 6 THEN 'wf-high' WHEN s >= 4.5 THEN 'wf-mid' ELSE 'wf-low' END AS word_band,
-CASE WHEN s - o > 0.05 THEN 'delta-pos' WHEN s - o < -0.05 THEN 'delta-neg' ELSE 'delta-neu' END AS delta, round(greatest(0.03, coalesce(least(CASE WHEN s IS NOT NULL THEN s / 8.0 END, 1.0), 1.0)), 6) AS ring FROM h""",
+CASE WHEN s - o > 0.05 THEN 'delta-pos' WHEN s - o < -0.05 THEN 'delta-neg' ELSE 'delta-neu' END AS delta, greatest(0.03, CASE WHEN s IS NULL THEN 1.0 ELSE least(s / 8.0, 1.0) END) AS ring FROM h""",
 }
