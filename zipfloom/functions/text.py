@@ -32,15 +32,15 @@ OFFSETS = "array<struct<token:string,start:int,end:int>>"
 _TOKEN = re.compile("[^" + WS + re.escape(string.punctuation) + "]+")
 
 
-@F.pandas_udf(OFFSETS)
-def _with_offsets(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(t)])
-
-
 def words_with_offsets(text: Column) -> Column:
     """array<struct<token, start, end>> split as words_en, keeping tokens without letters. An Arrow function, as
     running offsets in a fold would copy the array at each token."""
-    return _with_offsets(text)
+
+    @F.pandas_udf(OFFSETS)
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(t)])
+
+    return run(text)
 
 
 def clauses_zh(text: Column) -> Column:
