@@ -28,17 +28,21 @@ def words_en(text: Column) -> Column:
     return F.filter(F.split(text, rf"[{WS}\p{{Punct}}]"), lambda x: x.rlike(r"\p{IsAlphabetic}"))
 
 
-OFFSETS = "array<struct<token:string,start:int,end:int>>"
+OFFSETS = "array<struct<token:string,start:int,end:int,of:int>>"
 _TOKEN = re.compile("[^" + WS + re.escape(string.punctuation) + "]+")
 
 
 def words_with_offsets(text: Column) -> Column:
-    """array<struct<token, start, end>> split as words_en, keeping tokens without letters. An Arrow function, as
-    running offsets in a fold would copy the array at each token."""
+    """array<struct<token, start, end, of>> split as words_en, keeping tokens without letters; `of` is the number
+    of tokens. An Arrow function, as running offsets in a fold would copy the array at each token."""
+
+    def tokens(t: str) -> list[tuple[str, int, int, int]]:
+        found = list(_TOKEN.finditer(t))
+        return [(m[0], m.start(), m.end(), len(found)) for m in found]
 
     @F.pandas_udf(OFFSETS)
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(t)])
+        return texts.map(lambda t: None if t is None else tokens(t))
 
     return run(text)
 

@@ -33,7 +33,6 @@ def _slot(kind: Column, text: Column, start: Column, end: Column, tag: Column) -
 def slots_en_raw(text: Column) -> Column:
     """array<slot> before merging: the first rule that fits a token names it."""
     toks = T.words_with_offsets(text)
-    n = F.size(toks)
 
     def one(t: Column, i: Column) -> Column:
         w = F.lower(t["token"])
@@ -44,7 +43,7 @@ def slots_en_raw(text: Column) -> Column:
             .when(w.isin(EN_CONDITION), "condition")
             .when(w.isin(EN_QTYPE), "qtype")
             .when((i > 0) & t["token"].rlike(r"^\p{Lu}\p{IsAlphabetic}*$"), "entity")
-            .when((pos == "verb") & (i <= F.floor(n / 2)), "action")
+            .when((pos == "verb") & (i <= F.floor(t["of"] / 2)), "action")
             .when(pos == "adjective", "modifier")
             .when((pos == "noun") & (i > 0) & ~w.isin(EN_GENERIC), "object")
         )
@@ -150,4 +149,5 @@ def all_slots(text: Column, lang: Column | None = None, zh=None) -> Column:
 
 
 def slot_rows(df: DataFrame, key: str, slots: Column) -> DataFrame:
-    return df.select(key, F.posexplode(slots).alias("slot_ord", "s")).select(key, "slot_ord", "s.*")
+    # Arrow functions run in a projection, not inside the generator
+    return df.select(key, slots.alias("_slots")).select(key, F.posexplode("_slots").alias("slot_ord", "s")).select(key, "slot_ord", "s.*")
