@@ -25,7 +25,11 @@ ZH_ADJECTIVE = "整体 部分 全部 主要 次要 核心 基本 重要 关键 
 
 
 def tag_en(word: Column) -> Column:
-    w = F.lower(word)
+    return tag_lower_en(F.lower(word))
+
+
+def tag_lower_en(w: Column) -> Column:
+    """tag_en of a word in lower case already."""
     byte_len = F.octet_length(w)
     ends = lambda *s: w.rlike("(?:" + "|".join(s) + ")$")
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lang import is_chinese
 from .placeholders import SLOTS, placeholders
-from .pos import ZH_ADJECTIVE, ZH_ONE, ZH_VERB, ZH_VERB_END, tag_en
+from .pos import ZH_ADJECTIVE, ZH_ONE, ZH_VERB, ZH_VERB_END, tag_lower_en
 from .segment_zh import is_blank, is_punct, places, segment
 
 # fixed values
@@ -32,25 +32,27 @@ def _slot(kind: Column, text: Column, start: Column, end: Column, tag: Column) -
 
 def slots_en_raw(text: Column) -> Column:
     """array<slot> before merging: the first rule that fits a token names it."""
+    # one transform a step, so that each is worked out once a token: nothing is shared inside a lambda
     toks = T.words_with_offsets(text)
-
-    def one(t: Column, i: Column) -> Column:
-        w = F.lower(t["token"])
-        pos = tag_en(t["token"])
-        kind = (
-            F.when(w.isin(EN_REGISTER), "register")
-            .when(w.isin(EN_NEGATION), "negation")
-            .when(w.isin(EN_CONDITION), "condition")
-            .when(w.isin(EN_QTYPE), "qtype")
-            .when((i > 0) & t["token"].rlike(r"^\p{Lu}\p{IsAlphabetic}*$"), "entity")
-            .when((pos == "verb") & (i <= F.floor(t["of"] / 2)), "action")
+    low = F.transform(toks, lambda t, i: F.struct(t["token"].alias("token"), t["start"].alias("start"), t["end"].alias("end"), (i <= F.floor(t["of"] / 2)).alias("early"), i.alias("i"), F.lower(t["token"]).alias("w")))
+    tagged = F.transform(low, lambda t: F.struct(t.alias("t"), tag_lower_en(t["w"]).alias("pos")))
+
+    def kind(x: Column) -> Column:
+        t, pos = x["t"], x["pos"]
+        return (
+            F.when(t["w"].isin(EN_REGISTER), "register")
+            .when(t["w"].isin(EN_NEGATION), "negation")
+            .when(t["w"].isin(EN_CONDITION), "condition")
+            .when(t["w"].isin(EN_QTYPE), "qtype")
+            .when((t["i"] > 0) & t["token"].rlike(r"^\p{Lu}\p{IsAlphabetic}*$"), "entity")
+            .when((pos == "verb") & t["early"], "action")
             .when(pos == "adjective", "modifier")
-            .when((pos == "noun") & (i > 0) & ~w.isin(EN_GENERIC), "object")
+            .when((pos == "noun") & (t["i"] > 0) & ~t["w"].isin(EN_GENERIC), "object")
         )
-        tag = F.when(kind == "register", "politeness").when(kind == "entity", "proper-noun").when(kind == "action", "verb").when(kind == "modifier", "adj").when(kind == "object", "noun")
-        return _slot(kind, t["token"], t["start"], t["end"], tag)
 
-    return F.filter(F.transform(toks, one), lambda s: s["kind"].isNotNull())
+    kinds = F.filter(F.transform(tagged, lambda x: F.struct(x["t"].alias("t"), kind(x).alias("kind"))), lambda x: x["kind"].isNotNull())
+    tag = lambda k: F.when(k == "register", "politeness").when(k == "entity", "proper-noun").when(k == "action", "verb").when(k == "modifier", "adj").when(k == "object", "noun")
+    return F.transform(kinds, lambda x: _slot(x["kind"], x["t"]["token"], x["t"]["start"], x["t"]["end"], tag(x["kind"])))
 
 
 def merge_en(slots: Column) -> Column:
