@@ -1,7 +1,7 @@
-"""Chinese word segmentation by least cost, and the places of its words.
+"""Chinese word segmentation by greatest score, and the places of its words.
 
-Words are up to eight CJK characters; other runs are one token. The cost of a word is the log of its score by
-its length, plus that of the pair it forms. The pair's left word is the second word of the path, as the
+Words are up to eight CJK characters; other runs are one token. A word adds the log of its frequency score, by
+a factor of its length, and that of the pair it forms; of equal sums the earlier start wins. The pair's left word is the second word of the path, as the
 scores this engine has to equal were made with it; `compat=False` takes the word before.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LENGTH_FACTOR = (0.3, 1.0, 1.1, 1.05)  # fixed values, by length, the last for four and more
-PAIR_FACTOR, OTHER_COST, MISS, MOST = 0.4, 0.1, 3.5, 8
+PAIR_FACTOR, OTHER_SCORE, MISS, MOST = 0.4, 0.1, 3.5, 8
 ASCII_PUNCT = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -35,39 +35,39 @@ def is_blank(c: str) -> bool:
 
 def segment(text: str, words: dict[str, float], pairs: dict[str, float], compat: bool = True) -> list[str]:
     n = len(text)
-    best: list[float] = [math.inf] * (n + 1)
+    best: list[float] = [-math.inf] * (n + 1)
     back = [0] * (n + 1)
     # per end: the word that counts as left neighbour of what follows
     left: list[str | None] = [None] * (n + 1)
     best[0] = 0.0
     log = lambda x: math.log(max(x, 0.1))
 
-    def reach(i: int, j: int, cost: float, word: str) -> None:
-        if cost < best[j]:
-            best[j], back[j] = cost, i
-            left[j] = (left[i] or (word if i else None)) if compat else word
+    def reach(i: int, j: int, score: float, word: str) -> None:
+        if score > best[j]:
+            best[j], back[j] = score, i
+            own = None if all(is_blank(c) or c in ASCII_PUNCT for c in word) else word
+            left[j] = left[i] or (own if i else None) if compat else own or left[i]
 
-    i = 0
     for i in range(n):
-        if best[i] == math.inf:
+        if best[i] == -math.inf:
             continue
         c = text[i]
         if is_blank(c) or c in ASCII_PUNCT:
-            reach(i, i + 1, best[i] + OTHER_COST, c)
+            reach(i, i + 1, best[i] + OTHER_SCORE, c)
         elif not is_cjk(c):
             j = i + 1
             while j < n and not is_cjk(text[j]) and not is_blank(text[j]) and text[j] not in ASCII_PUNCT:
                 j += 1
-            reach(i, j, best[i] + OTHER_COST, text[i:j])
+            reach(i, j, best[i] + OTHER_SCORE, text[i:j])
         else:
             for j in range(i + 1, min(n, i + MOST) + 1):
                 if not is_cjk(text[j - 1]):
                     break
                 w = text[i:j]
-                cost = best[i] + log(words.get(w, MISS)) * LENGTH_FACTOR[min(j - i, 4) - 1]
+                score = best[i] + log(words.get(w, MISS)) * LENGTH_FACTOR[min(j - i, 4) - 1]
                 if left[i] is not None:
-                    cost += PAIR_FACTOR * log(pairs.get(f"{left[i]} {w}", MISS))
-                reach(i, j, cost, w)
+                    score += PAIR_FACTOR * log(pairs.get(f"{left[i]} {w}", MISS))
+                reach(i, j, score, w)
     out, j = [], n
     while j:
         w = text[back[j] : j]

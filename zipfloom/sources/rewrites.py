@@ -15,7 +15,7 @@ ROUNDS = {1: (0.8, 6), 2: (0.6, 4)}
 
 def answer_lines(answer: Column, round_no: int = 1) -> Column:
     """array<string>: trimmed lines without list numbers, over five characters, the first six or four."""
-    lines = F.filter(F.transform(F.split(answer, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(answer, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     clean = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^[0-9]+[.)、]\s*", "")))
     return F.slice(F.filter(clean, lambda x: F.length(x) > 5), 1, ROUNDS[round_no][1])
 
