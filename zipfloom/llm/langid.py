@@ -294,25 +294,36 @@ def judged(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, flo
         if script == "cjk":
             known, m = _ja_or_zh(part, lang, m)
             lang, c = known, max(c, 0.5) if known != "und" else c
-        out[i].append((a, b, lang, float(c), S.is_sentence(script, part), len(part), float(m)))
+        whole = S.is_sentence(script, part)
+        if not whole and c < 0.7 and script == "latin":  # a scrap that could be any language's
+            lang, c = "und", 0.0
+        out[i].append((a, b, lang, float(c), whole, len(part), float(m)))
         doubt.append((i, len(out[i]) - 1, script, part))
     _by_head(model, out, doubt)
     return out
 
 
 def _by_head(model: Model, out: list[list], segs: list[tuple[int, int, str, str]]) -> None:
-    """A clause may name a foreign term longer than itself. Where a segment differs from the entry's leading
-    language, the clause's first words are judged alone; if they are the leading language's, so is it."""
-    lead = [main_language(x) for x in out]
-    differs = [(i, k, s, p) for i, k, s, p in segs if out[i][k][2] != lead[i]]
+    """A clause may name a foreign term longer than itself. In entries whose segments differ in language, the
+    first words of each are judged alone; a segment whose beginning is of the language another segment begins
+    in, or is in, is of that language."""
+    langs = [{x[2] for x in entry} for entry in out]
+    differs = [(i, k, s, p) for i, k, s, p in segs if len(langs[i] - {"und"}) > 1 or len(out[i]) > 1 and "und" in langs[i]]
     for i, k, s, p in differs:
-        if s == "cjk" and lead[i] == "zh" and not S.KANA.search(p[:4]) and not S.HIRAGANA_END.search(p):
+        if s == "cjk" and "zh" in langs[i] and out[i][k][2] != "zh" and not S.KANA.search(p[:4]) and not S.HIRAGANA_END.search(p):
             out[i][k] = (*out[i][k][:2], "zh", 0.5, *out[i][k][4:])
-    odd = [(i, k, " ".join(p.split()[:4])) for i, k, s, p in differs if s == "latin"]
-    got, conf, by = model.judge(["latin"] * len(odd), [h for _, _, h in odd])
-    for (i, k, _), g, c, m in zip(odd, got, conf, by):
-        if g == lead[i] and m >= 0.1:
-            out[i][k] = (*out[i][k][:2], g, float(c), *out[i][k][4:])
+    latin = [(i, k, " ".join(p.split()[:4])) for i, k, s, p in differs if s == "latin"]
+    got, conf, by = model.judge(["latin"] * len(latin), [h for _, _, h in latin])
+    begins: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    for (i, k, _), g, m in zip(latin, got, by):
+        if m >= 0.1:
+            begins[i].append((k, g))
+    new = []
+    for (i, k, _), g, c, m in zip(latin, got, conf, by):
+        if m >= 0.1 and g not in ("und", out[i][k][2]) and (any(g == g2 for k2, g2 in begins[i] if k2 != k) or any(x[2] == g for k2, x in enumerate(out[i]) if k2 != k)):
+            new.append((i, k, g, float(c)))
+    for i, k, g, c in new:
+        out[i][k] = (*out[i][k][:2], g, c, *out[i][k][4:])
 
 
 def _ja_or_zh(part: str, lang: str, lead: float) -> tuple[str, float]:
