@@ -151,3 +151,17 @@ def test_vectors(spark):
         want = [int(i) for i in np.argsort(-(u @ u[q])) if i != q][:5]
         assert [r["neighbour"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == want
     assert embed.nearest(df.select("k", "v"), "k", "v", df.filter("k < 0")).count() == 0
+
+
+def test_guard(spark):
+    from zipfloom.operators import guard
+
+    rows = [("a", "Please keep {name} and explain fiscal policy", "Kindly keep {name} and explain fiscal policies", "x"), ("b", "Use {name} now", "Use {user} now", "x"), ("c", "", None, "x"), ("d", "Explain inflation", None, "x"), ("e", None, "anything", "x")]
+    df = spark.createDataFrame(rows, "id string, original string, candidate string, text string")
+    got = {r["id"]: r for r in guard.judge(df).collect()}
+    assert got["b"]["preservation"] == 0.0 and not got["b"]["passes"]
+    assert got["c"]["preservation"] == 1.0 and got["c"]["passes"] and got["e"]["total"] == 0
+    assert got["d"]["preservation"] == 0.0 and got["d"]["bad"]
+    m = {(r["id"], r["text"]): (r["matched"], r["similarity"]) for r in guard.match_slots(df).collect()}
+    assert m[("a", "{name}")] == ("{name}", 1.0) and m[("b", "{name}")] == ("", 0.0)
+    assert m[("a", "fiscal policy")][0] == "fiscal policies" and m[("a", "fiscal policy")][1] > 0.85

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lang as L
 from ..functions import scalars as S
 from ..functions import text as T
-from ..operators import diff, domain, embed, lexicon, ontology, optimize, placeholders, pos, ranking, scoring, slots, verify
+from ..operators import diff, domain, embed, guard, lexicon, ontology, optimize, placeholders, pos, ranking, scoring, segment_zh, slots, verify
 from ..operators.names import concept_records
 from ..session import Scratch
 from ..sources import history as H
@@ -143,6 +143,38 @@ def structural_check(spark, d):
     return verify.structural_check(s, h.select("id", F.coalesce("optimized", F.lit("")).alias("candidate")))
 
 
+def guard_rewrites(spark, d):
+    """How much of each prompt's slots its rewrite keeps."""
+    h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized")).filter("original is not null")
+    h = Scratch(spark, "guard").write(h.select("id", "original", "optimized"), "pairs")
+    return guard.judge(h, candidate="optimized")
+
+
+ZH_WORDS = 20_000  # words of the segmentation dictionary, the most frequent
+
+
+def _zh_words(spark, d) -> dict[str, float]:
+    """The dictionary is broadcast with the segmenter, so it is bounded."""
+    f = table(spark, d, "domain_freq").filter("lang = 'zh' and word_count > 0 and word is not null")
+    n = f.groupBy(F.trim("word").alias("word")).agg(F.sum("word_count").alias("n"))
+    total = n.agg(F.sum("n")).first()[0] or 1
+    top = n.orderBy(F.desc("n"), F.asc("word")).limit(ZH_WORDS)
+    return {r["word"]: r["z"] for r in top.select("word", S.corpus_zipf(F.col("n"), F.lit(total)).alias("z")).collect()}
+
+
+def segment_chinese(spark, d):
+    """Words of the Chinese documents with their places in the list."""
+    docs = table(spark, d, "documents").select("doc_id", "text").filter(L.any_chinese(F.col("text")) == "zh")
+    cut = docs.select("doc_id", segment_zh.segmenter(_zh_words(spark, d), {})(F.col("text")).alias("words"))
+    return cut.select("doc_id", F.posexplode("words").alias("pos", "token"))
+
+
+def slots_zh(spark, d):
+    """Slots of prompts in either language, Chinese ones by the corpus dictionary."""
+    docs = table(spark, d, "history").select("id", "original").distinct()
+    return slots.slot_rows(docs, "id", slots.all_slots(F.col("original"), zh=slots.slots_zh(_zh_words(spark, d), {})))
+
+
 def heuristic_match(spark, d):
     """Similarity of prompt and rewrite, with its band."""
     h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized"))
@@ -208,6 +240,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         lang_detect, token_counts, zipf_table, zipf_top_n, domain_tables, token_scores, sentence_measures, lowest_tokens, rank_sentences, hybrid_score, domain_detect, onto_closure, substitution_verdicts, pos_tags, slots_en, slots_merged,
-        placeholder_slots, structural_check, heuristic_match, text_hashes, cosine_neighbours, history_newest, history_import, diff_counts, optimize_prompts, best_candidates, score_bands,
+        placeholder_slots, structural_check, guard_rewrites, segment_chinese, slots_zh, heuristic_match, text_hashes, cosine_neighbours, history_newest, history_import, diff_counts, optimize_prompts, best_candidates, score_bands,
     )
 }
