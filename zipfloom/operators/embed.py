@@ -58,6 +58,23 @@ def embedder(encode: Callable[[str], np.ndarray] = heuristic_vector):
     return apply
 
 
+def cosine_rows(a: Column, b: Column) -> Column:
+    """scalars.cosine over Arrow batches, for many pairs: 0 where a vector is null, zero or of another length."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.zeros(len(x))
+        size = np.array([len(p) if p is not None and q is not None and len(p) == len(q) else 0 for p, q in zip(x, y)])
+        for n in np.unique(size[size > 0]):
+            at = np.nonzero(size == n)[0]
+            p, q = (np.stack([v.iloc[i] for i in at]).astype(np.float64) for v in (x, y))
+            norm = np.sqrt((p * p).sum(1) * (q * q).sum(1))
+            out[at] = np.where(norm > 0, (p * q).sum(1) / np.where(norm > 0, norm, 1), 0)
+        return pd.Series(out)
+
+    return run(a, b)
+
+
 def best_matches(originals: DataFrame, candidates: DataFrame, similarity: Column) -> DataFrame:
     """originals (id, slot_ord, kind, text, vec) and candidates (id, kind, cand_ord, cand_text, cand_vec) ->
     the most alike candidate of the same kind, the first on ties; rows without one keep null and 0."""

@@ -1,7 +1,7 @@
 """Which rewrites keep their prompt's meaning: slots of both sides, matched and judged.
 
 Slots that must stay as they are look for their text in the candidate; the others take the most alike slot of
-their kind. Texts are encoded once a batch, and only those of slots that need it.
+their kind. Texts are encoded once a batch.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ def match_slots(pairs: DataFrame, original: str = "original", candidate: str = "
     of the original. Without a slot of its kind a slot has matched '' and 0. Null candidates are empty."""
     e = encode or embed.embedder()
     mine = slot_rows(pairs.filter(F.col(original).isNotNull()), "id", slots(F.col(original)))
-    theirs = slot_rows(pairs.withColumn("_c", F.coalesce(candidate, F.lit(""))), "id", slots(F.col("_c")))
-    held = mine.filter(S.needs_exact(F.col("kind"))).join(pairs.select("id", F.coalesce(candidate, F.lit("")).alias("_c")), "id")
-    hit = F.contains("_c", F.col("text"))
-    kept = held.select("id", "slot_ord", "kind", "text", F.when(hit, F.col("text")).otherwise("").alias("matched"), F.when(hit, 1.0).otherwise(0.0).alias("similarity"))
-    loose = mine.filter(~S.needs_exact(F.col("kind"))).select("id", "slot_ord", "kind", "text", e(F.col("text")).alias("vec"))
+    theirs = slot_rows(pairs.select("id", F.coalesce(candidate, F.lit("")).alias("_c")), "id", slots(F.col("_c")))
     cands = theirs.filter(~S.needs_exact(F.col("kind"))).select("id", "kind", F.col("slot_ord").alias("cand_ord"), F.col("text").alias("cand_text"), e(F.col("text")).alias("cand_vec"))
-    best = embed.best_matches(loose, cands, S.cosine(F.col("vec"), F.col("cand_vec")))
-    return kept.unionByName(best.select("id", "slot_ord", "kind", "text", F.coalesce("cand_text", F.lit("")).alias("matched"), "similarity"))
+    # exact slots meet no candidate slot in the join and are settled by the candidate's text
+    best = embed.best_matches(mine.select("id", "slot_ord", "kind", "text", e(F.col("text")).alias("vec")), cands, embed.cosine_rows(F.col("vec"), F.col("cand_vec")))
+    j = best.join(pairs.select("id", F.coalesce(candidate, F.lit("")).alias("_c")), "id")
+    exact, hit = S.needs_exact(F.col("kind")), F.contains("_c", F.col("text"))
+    matched = F.when(exact & hit, F.col("text")).when(exact, "").otherwise(F.coalesce("cand_text", F.lit("")))
+    similarity = F.when(exact, F.when(hit, 1.0).otherwise(0.0)).otherwise(F.col("similarity"))
+    return j.select("id", "slot_ord", "kind", "text", matched.alias("matched"), similarity.alias("similarity"))
 
 
 def judge(pairs: DataFrame, original: str = "original", candidate: str = "candidate", threshold: Column | None = None, encode=None) -> DataFrame:

@@ -146,7 +146,9 @@ def structural_check(spark, d):
 def guard_rewrites(spark, d):
     """How much of each prompt's slots its rewrite keeps."""
     h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized")).filter("original is not null")
-    h = Scratch(spark, "guard").write(h.select("id", "original", "optimized"), "pairs")
+    # slots cost far more than reading, so rows are spread over all cores however small the files are
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    h = Scratch(spark, "guard").write(h.select("id", "original", "optimized").repartition(parts, "id"), "pairs")
     return guard.judge(h, candidate="optimized")
 
 
