@@ -165,3 +165,28 @@ def test_guard(spark):
     m = {(r["id"], r["text"]): (r["matched"], r["similarity"]) for r in guard.match_slots(df).collect()}
     assert m[("a", "{name}")] == ("{name}", 1.0) and m[("b", "{name}")] == ("", 0.0)
     assert m[("a", "fiscal policy")][0] == "fiscal policies" and m[("a", "fiscal policy")][1] > 0.85
+
+
+def test_text_similarity(spark):
+    sim = embed.text_similarity()
+    df = spark.createDataFrame([("fiscal policy", "fiscal policies"), ("same", "same"), (None, "x"), ("", "x"), (None, None)], "a string, b string")
+    got = [r["s"] for r in df.coalesce(1).select(sim(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got[0] == pytest.approx(float(embed.heuristic_vector("fiscal policy") @ embed.heuristic_vector("fiscal policies")), abs=1e-6)
+    assert got[1] == pytest.approx(1.0) and got[2:] == [0.0, 0.0, 0.0]
+
+
+@given(st.text(max_size=40))
+@settings(max_examples=150, deadline=None)
+def test_vector_against_plain_loops(text):
+    v = np.zeros(64, dtype=np.float32)
+    low = text.lower().strip()
+    units = embed.utf16_units("".join(low.split()))
+    for n in (1, 2, 3):
+        for i in range(len(units) - n + 1):
+            v[embed.hash_units(units[i : i + n]) % 64] += np.float32(1.0 / n)
+    for w in low.split():
+        u = embed.utf16_units(w)
+        if len(u) >= 2:
+            v[embed.hash_units(u) % 64] += np.float32(0.5)
+    norm = np.linalg.norm(v.astype(np.float64))
+    assert np.allclose(embed.heuristic_vector(text), v / norm if norm else v, atol=1e-6)

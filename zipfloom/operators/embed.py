@@ -31,12 +31,15 @@ def heuristic_vector(text: str, dim: int = DIM) -> np.ndarray:
     0.5; length 1 in 32-bit floats, zeros for an empty text."""
     v = np.zeros(dim, dtype=np.float32)
     low = text.lower().strip()
-    units = utf16_units("".join(low.split()))
-    for n in (1, 2, 3):
-        share = np.float32(1.0 / n)
-        for i in range(len(units) - n + 1):
-            v[hash_units(units[i : i + n]) % dim] += share
-    for w in low.split():
+    words = low.split()
+    units = np.frombuffer("".join(words).encode("utf-16-le", "surrogatepass"), dtype=np.uint16).astype(np.int64)
+    h = np.zeros(len(units), dtype=np.int64)
+    for n in (1, 2, 3):  # three units stay below 2**31, so nothing wraps
+        if len(units) < n:
+            break
+        h = h[: len(units) - n + 1] * 31 + units[n - 1 :]
+        np.add.at(v, h % dim, np.float32(1.0 / n))
+    for w in words:
         u = utf16_units(w)
         if len(u) >= 2:
             v[hash_units(u) % dim] += np.float32(0.5)
@@ -58,26 +61,30 @@ def embedder(encode: Callable[[str], np.ndarray] = heuristic_vector):
     return apply
 
 
-def cosine_rows(a: Column, b: Column) -> Column:
-    """scalars.cosine over Arrow batches, for many pairs: 0 where a vector is null, zero or of another length."""
+def text_similarity(encode: Callable[[str], np.ndarray] = heuristic_vector):
+    """A column function (text, text) -> cosine of their vectors, 0 where a text is null or a vector zero. Each
+    distinct text of a batch is encoded once, and no vector leaves the function, so joins of many pairs
+    carry texts only."""
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.zeros(len(x))
-        size = np.array([len(p) if p is not None and q is not None and len(p) == len(q) else 0 for p, q in zip(x, y)])
-        for n in np.unique(size[size > 0]):
-            at = np.nonzero(size == n)[0]
-            p, q = (np.stack([v.iloc[i] for i in at]).astype(np.float64) for v in (x, y))
-            norm = np.sqrt((p * p).sum(1) * (q * q).sum(1))
-            out[at] = np.where(norm > 0, (p * q).sum(1) / np.where(norm > 0, norm, 1), 0)
-        return pd.Series(out)
+        code, texts = pd.factorize(pd.concat([x, y], ignore_index=True), use_na_sentinel=True)
+        if not len(texts):
+            return pd.Series(np.zeros(len(x)))
+        m = np.stack([encode(t) for t in texts]).astype(np.float64)
+        norm = np.linalg.norm(m, axis=1)
+        m = np.vstack([m / np.where(norm > 0, norm, 1)[:, None], np.zeros((1, m.shape[1]))])  # the last row is null's
+        return pd.Series(np.einsum("ij,ij->i", m[code[: len(x)]], m[code[len(x) :]]))
+
+    def apply(a: Column, b: Column) -> Column:
+        return run(a, b)
 
-    return run(a, b)
+    return apply
 
 
 def best_matches(originals: DataFrame, candidates: DataFrame, similarity: Column) -> DataFrame:
-    """originals (id, slot_ord, kind, text, vec) and candidates (id, kind, cand_ord, cand_text, cand_vec) ->
-    the most alike candidate of the same kind, the first on ties; rows without one keep null and 0."""
+    """originals (id, slot_ord, kind, text) and candidates (id, kind, cand_ord, cand_text), either with further
+    columns that `similarity` reads -> the most alike candidate of the same kind, the first on ties; rows without one keep null and 0."""
     j = originals.join(candidates, ["id", "kind"], "left").withColumn("similarity", F.when(F.col("cand_text").isNull(), F.lit(0.0)).otherwise(similarity))
     w = W.partitionBy("id", "slot_ord").orderBy(F.desc("similarity"), F.asc("cand_ord"))
     return j.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "cand_vec", "vec")

@@ -17,12 +17,12 @@ from .slots import all_slots, slot_rows
 def match_slots(pairs: DataFrame, original: str = "original", candidate: str = "candidate", encode=None, slots=all_slots) -> DataFrame:
     """pairs (id, original, candidate), id unique -> (id, slot_ord, kind, text, matched, similarity) for every slot
     of the original. Without a slot of its kind a slot has matched '' and 0. Null candidates are empty."""
-    e = encode or embed.embedder()
+    alike = embed.text_similarity(encode or embed.heuristic_vector)
     mine = slot_rows(pairs.filter(F.col(original).isNotNull()), "id", slots(F.col(original)))
     theirs = slot_rows(pairs.select("id", F.coalesce(candidate, F.lit("")).alias("_c")), "id", slots(F.col("_c")))
-    cands = theirs.filter(~S.needs_exact(F.col("kind"))).select("id", "kind", F.col("slot_ord").alias("cand_ord"), F.col("text").alias("cand_text"), e(F.col("text")).alias("cand_vec"))
+    cands = theirs.filter(~S.needs_exact(F.col("kind"))).select("id", "kind", F.col("slot_ord").alias("cand_ord"), F.col("text").alias("cand_text"))
     # exact slots meet no candidate slot in the join and are settled by the candidate's text
-    best = embed.best_matches(mine.select("id", "slot_ord", "kind", "text", e(F.col("text")).alias("vec")), cands, embed.cosine_rows(F.col("vec"), F.col("cand_vec")))
+    best = embed.best_matches(mine.select("id", "slot_ord", "kind", "text"), cands, alike(F.col("text"), F.col("cand_text")))
     j = best.join(pairs.select("id", F.coalesce(candidate, F.lit("")).alias("_c")), "id")
     exact, hit = S.needs_exact(F.col("kind")), F.contains("_c", F.col("text"))
     matched = F.when(exact & hit, F.col("text")).when(exact, "").otherwise(F.coalesce("cand_text", F.lit("")))

@@ -180,10 +180,8 @@ def slots_zh(spark, d):
 def heuristic_match(spark, d):
     """Similarity of prompt and rewrite, with its band."""
     h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized"))
-    e = embed.embedder()
-    v = h.select("id", e(F.coalesce("original", F.lit(""))).alias("a"), e(F.coalesce("optimized", F.lit(""))).alias("b"))
-    s = S.cosine(F.col("a"), F.col("b"))
-    return v.select("id", F.round(s, 5).alias("similarity"), S.similarity_band(s).alias("band"))
+    v = h.select("id", embed.text_similarity()(F.coalesce("original", F.lit("")), F.coalesce("optimized", F.lit(""))).alias("s"))
+    return v.select("id", F.round("s", 5).alias("similarity"), S.similarity_band(F.col("s")).alias("band"))
 
 
 def text_hashes(spark, d):
