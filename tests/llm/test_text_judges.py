@@ -210,3 +210,13 @@ def test_automaton_against_distance():
         want = {lex.words[t] for t in terms if near_by_distance(w, t) <= 1}
         assert want <= got
         assert all(near_by_distance(w, t) <= 1 for t, k in lex.words.items() if k in got and not t.endswith("-"))
+
+
+def test_copies_by_tiling():
+    o = "Write a poem about cats."
+    for r in ("1. " + o, "① " + o, "Neuer Entwurf folgt: " + o + " " + o, "1. " + o + "\n2. " + o, "Neuer Entwurf folgt:\n1. " + o + "\n2. " + o):
+        assert pairs.is_copy(o, r), r
+    assert pairs.is_copy("写一首诗", "1. 写一首诗")
+    assert pairs.is_copy("First point\nSecond point", "1. First point\n2. Second point")
+    for r in ("Please write a poem about cats.", "About cats: write a poem.", "1. Write a poem about dogs.", o + " Make it 1 page.", "2.5 " + o):
+        assert not pairs.is_copy(o, r), r

@@ -13,6 +13,7 @@ Nulls and blanks: entries with null or blank `original` are left out; a null or
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 
 import pandas as pd
 import regex
@@ -171,25 +172,51 @@ def tiles(a: list[str], b: list[str], least: int = 3) -> list[tuple[int, int, in
                 out.append((i, j, k))
 
 
+# list and heading marks at the start of a line, inside any wrapping
+_MARK = regex.compile(r"^[ \t\"'“„«‘*_`#>+•·‣▪◦–—-]*[(（]?(?:\d{1,3}[.)、）](?!\d)|[A-Za-z][.)）](?=\s)|[一二三四五六七八九十]{1,3}、)", regex.M)
+_PIECE = regex.compile(r"[^\n]{1,60}?(?:[:：]|\n|\s[-–—])[^\p{L}\p{N}]*")  # a lead-in of unknown wording
+
+
+def covered(original: str, rewrite: str) -> bool:
+    """Tiles of the rewrite are the whole original, once or repeated, in its order. Uncovered are list marks and a
+    short piece at the very start, that ends as lead-ins do, at most."""
+    t = regex.sub(r"[①-⑳]", lambda m: f"{ord(m[0]) - 0x245F}. ", rewrite)
+    t = unicodedata.normalize("NFKC", t)
+    letters = [(i, x) for i, c in enumerate(t) if not _ALNUM.match(c) for x in c.casefold()]
+    a, b = squeeze(original), [x for _, x in letters]
+    marks = {i for m in _MARK.finditer(t) for i in range(*m.span())}
+    spare = 60 + sum(i in marks for i, _ in letters)
+    have = Counter(b)
+    for times in range(len(b) // len(a), 0, -1):
+        if len(b) - times * len(a) > spare:
+            return False
+        if any(have[x] < n * times for x, n in Counter(a).items()):
+            continue
+        found = tiles(list(a * times), b, min(3, len(a)))
+        if sum(k for _, _, k in found) < times * len(a) or found != sorted(found):
+            continue
+        held = {j for _, at, n in found for j in range(at, at + n)}
+        rest = [i for j, (i, _) in enumerate(letters) if j not in held and i not in marks]
+        start = letters[found[0][1]][0]
+        start = next((m.start() for m in _MARK.finditer(t) if m.start() < start <= m.end() + 2), start)
+        if not rest or (max(rest) < start and _PIECE.fullmatch(t[:start])):
+            return True
+    return False
+
+
 def is_copy(original: str, rewrite: str) -> bool:
-    """The original, once or repeated, apart from case, spacing, punctuation, wrapping and a lead-in.
+    """The original, once or repeated, apart from case, spacing, punctuation, wrapping, list marks and a lead-in.
 
-    A lead-in of unknown wording is found by tiling: all of the rewrite after a first line or colon is tiles
-    that are the whole original."""
+    Whole-string equality settles the plain cases; tiling decides the others."""
     o = squeeze(original)
     if not o:
         return original.strip() == rewrite.strip()
-    for r in (rewrite, without_lead(rewrite)):
+    rest = without_lead(rewrite)
+    for r in (rewrite, rest):
         p = squeeze(r)
         if p and len(p) % len(o) == 0 and p == o * (len(p) // len(o)):
             return True
-    m = regex.match(r"^[^\n:：]{1,60}[:：\n]", rewrite)
-    if m and squeeze(rewrite[m.end() :]) == o:
-        a, b = tokens(original), tokens(rewrite)
-        if len(b) < len(a):
-            return False
-        return sum(k for _, _, k in tiles(a, b, 1)) == len(a)
-    return False
+    return covered(original, rewrite) or (rest != rewrite.strip() and covered(original, rest))
 
 
 def open_at_end(text: str) -> list[str]:
