@@ -190,3 +190,19 @@ def test_vector_against_plain_loops(text):
             v[embed.hash_units(u) % 64] += np.float32(0.5)
     norm = np.linalg.norm(v.astype(np.float64))
     assert np.allclose(embed.heuristic_vector(text), v / norm if norm else v, atol=1e-6)
+
+
+def test_chinese_negations_are_guarded(spark, tmp_path):
+    from zipfloom.plans import scoring as plans
+
+    h = [("kept", "请不要写代码", "不要写代码"), ("lost", "请不要写代码", "请写代码"), ("en", "Do not write code", "Write code")]
+    sch = "id string, saved_at string, original string, optimized string, original_score double, optimized_score double"
+    spark.createDataFrame([(i, "2025-01-01", o, r, 3.0, 4.0) for i, o, r in h], sch).write.parquet(f"{tmp_path}/history.parquet")
+    spark.createDataFrame([("zh", w, 50) for w in ("不要", "代码", "写", "请")], "lang string, word string, word_count long").write.parquet(f"{tmp_path}/domain_freq.parquet")
+    d = str(tmp_path)
+    assert {r["id"] for r in plans.structural_check(spark, d).filter("kind = 'negation' and issue = 'missing'").collect()} == {"lost", "en"}
+    got = {r["id"]: r for r in plans.guard_rewrites(spark, d).collect()}
+    assert (got["lost"]["preservation"], got["lost"]["passes"]) == (0.0, False) and got["kept"]["preservation"] > 0
+    x = slots.slot_rows(spark.createDataFrame([("lost", "请不要写代码")], "id string, original string"), "id", plans._slots(spark, d)(F.col("original"))).collect()
+    assert "negation" in {r["kind"] for r in x}
+    assert {r["id"] for r in plans.optimize_prompts(spark, d).collect()} == {"kept", "lost", "en"}

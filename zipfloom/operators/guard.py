@@ -30,9 +30,9 @@ def match_slots(pairs: DataFrame, original: str = "original", candidate: str = "
     return j.select("id", "slot_ord", "kind", "text", matched.alias("matched"), similarity.alias("similarity"))
 
 
-def judge(pairs: DataFrame, original: str = "original", candidate: str = "candidate", threshold: Column | None = None, encode=None) -> DataFrame:
+def judge(pairs: DataFrame, original: str = "original", candidate: str = "candidate", threshold: Column | None = None, encode=None, slots=all_slots) -> DataFrame:
     """(id, preservation, passes, total, kept, dropped, slot_share, bad) of every pair; a prompt without slots
     passes with 1.0."""
-    m = match_slots(pairs, original, candidate, encode)
+    m = match_slots(pairs, original, candidate, encode, slots)
     v = m.withColumn("passes", verify.passes(F.col("kind"), F.col("similarity"), threshold))
     return verify.preservation(v, pairs)

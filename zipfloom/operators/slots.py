@@ -144,7 +144,7 @@ def all_slots(text: Column, lang: Column | None = None, zh=None) -> Column:
     anything but zh is read as English. zh: what slots_zh() gives; without it Chinese has placeholders only."""
     auto = F.when(is_chinese(text), "zh").otherwise("en")
     lg = auto if lang is None else F.when(lang.isNull() | (lang == "auto"), auto).otherwise(lang)
-    chinese = zh(text) if zh else F.array().cast(SLOTS)
+    chinese = zh(F.when(lg == "zh", text)) if zh else F.array().cast(SLOTS)
     found = F.concat(placeholders(text), F.when(lg == "zh", chinese).otherwise(slots_en(text)))
     numbered = F.transform(found, lambda s, i: F.struct(s["char_start"].alias("_a"), i.alias("_i"), s.alias("s")))
     return F.transform(F.array_sort(numbered), lambda x: x["s"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,7 +141,7 @@ def placeholder_slots(spark, d):
 
 def structural_check(spark, d):
     h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized"))
-    s = slots.slot_rows(h.filter("original is not null"), "id", slots.all_slots(F.col("original")))
+    s = slots.slot_rows(h.filter("original is not null"), "id", _slots(spark, d)(F.col("original")))
     return verify.structural_check(s, h.select("id", F.coalesce("optimized", F.lit("")).alias("candidate")))
 
 
@@ -149,7 +151,7 @@ def guard_rewrites(spark, d):
     # slots cost far more than reading, so rows are spread over all cores however small the files are
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     h = Scratch(spark, "guard").write(h.select("id", "original", "optimized").repartition(parts, "id"), "pairs")
-    return guard.judge(h, candidate="optimized")
+    return guard.judge(h, candidate="optimized", slots=_slots(spark, d))
 
 
 ZH_WORDS = 20_000  # words of the segmentation dictionary, the most frequent
@@ -164,6 +166,11 @@ def _zh_words(spark, d) -> dict[str, float]:
     return {r["word"]: r["z"] for r in top.select("word", S.corpus_zipf(F.col("n"), F.lit(total)).alias("z")).collect()}
 
 
+def _slots(spark, d):
+    """all_slots in both languages, Chinese by the corpus dictionary."""
+    return partial(slots.all_slots, zh=slots.slots_zh(_zh_words(spark, d), {}))
+
+
 def segment_chinese(spark, d):
     """Words of the Chinese documents with their places in the list."""
     docs = table(spark, d, "documents").select("doc_id", "text").filter(L.any_chinese(F.col("text")) == "zh")
@@ -174,7 +181,7 @@ def segment_chinese(spark, d):
 def slots_zh(spark, d):
     """Slots of prompts in either language, Chinese ones by the corpus dictionary."""
     docs = table(spark, d, "history").select("id", "original").distinct()
-    return slots.slot_rows(docs, "id", slots.all_slots(F.col("original"), zh=slots.slots_zh(_zh_words(spark, d), {})))
+    return slots.slot_rows(docs, "id", _slots(spark, d)(F.col("original")))
 
 
 def heuristic_match(spark, d):
@@ -215,7 +222,8 @@ def optimize_prompts(spark, d):
     """The pipeline with each entry's stored rewrite as its only candidate, guarded by its exact slots."""
     h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized", "original_score", "optimized_score"))
     h = Scratch(spark, "optimize").write(h.filter("original is not null"), "history")
-    exact = slots.slot_rows(h, "id", F.filter(slots.all_slots(F.col("original")), lambda s: S.needs_exact(s["kind"])))
+    # Arrow functions run in a projection of their own, not inside the filter
+    exact = slots.slot_rows(h.select("id", _slots(spark, d)(F.col("original")).alias("slots")), "id", F.filter(F.col("slots"), lambda s: S.needs_exact(s["kind"])))
     checks = verify.structural_check(exact, h.select("id", F.coalesce("optimized", F.lit("")).alias("candidate")))
     kept = checks.groupBy("id").agg(F.max((F.col("issue") == "missing").cast("int")).alias("bad"))
     c = h.filter("optimized is not null").join(kept, "id", "left").select("id", F.lit(0).alias("pos"), F.col("optimized").alias("text"), F.coalesce("optimized_score", F.lit(0.0)).alias("score"), F.when(F.col("bad") == 1, 0.0).otherwise(1.0).alias("preservation"), (F.coalesce("bad", F.lit(0)) == 0).alias("passes"))
