@@ -206,3 +206,19 @@ def test_chinese_negations_are_guarded(spark, tmp_path):
     x = slots.slot_rows(spark.createDataFrame([("lost", "请不要写代码")], "id string, original string"), "id", plans._slots(spark, d)(F.col("original"))).collect()
     assert "negation" in {r["kind"] for r in x}
     assert {r["id"] for r in plans.optimize_prompts(spark, d).collect()} == {"kept", "lost", "en"}
+
+
+def test_whole_dictionary_segments(spark, tmp_path):
+    from zipfloom.plans import scoring as plans
+
+    # the rarest of 21,000 words, beyond any cut by frequency
+    many = [chr(0x5000 + i // 150) + chr(0x7000 + i % 150) for i in range(21_000)]
+    rows = [("zh", w, 1000) for w in many] + [("zh", " 天气预报 ", 2), ("zh", "abc", 9), ("zh", "一二三四五六七八九", 9)]
+    spark.createDataFrame(rows, "lang string, word string, word_count long").write.parquet(f"{tmp_path}/domain_freq.parquet")
+    spark.createDataFrame([(1, "天气预报")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = plans._zh_words(spark, str(tmp_path)).map()
+    assert len(words) == 21_001 and "天气预报" in words
+    total = sum(n for _, _, n in rows)
+    assert words["天气预报"] == pytest.approx(np.log10(2 / total * 1e9))
+    want = segment_zh.segment("天气预报", words, {})
+    assert [r["token"] for r in plans.segment_chinese(spark, str(tmp_path)).orderBy("pos").collect()] == want

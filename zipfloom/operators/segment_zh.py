@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from uuid import uuid4
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LENGTH_FACTOR = (0.3, 1.0, 1.1, 1.05)  # fixed values, by length, the last for four and more
 PAIR_FACTOR, OTHER_SCORE, MISS, MOST = 0.4, 0.1, 3.5, 8
+CJK = "\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff"
 ASCII_PUNCT = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 
@@ -91,13 +93,38 @@ def places(text: str, tokens: list[str]) -> list[tuple[int, int]]:
     return out
 
 
-def segmenter(lexicon: dict[str, float], bigrams: dict[str, float], compat: bool = True):
-    """A column function text -> array<string>. Dictionaries are those of one language, broadcast with the
-    function; pass a bounded one."""
+class Words:
+    """A dictionary shipped once to each executor, as one text and an array of scores; a worker process makes it a
+    map once, at its first look-up."""
+
+    _made: dict[str, dict[str, float]] = {}
+
+    def __init__(self, shipped):
+        self.shipped, self.key = shipped, uuid4().hex
+
+    def map(self) -> dict[str, float]:
+        if self.key not in Words._made:
+            Words._made.clear()
+            text, scores = self.shipped.value
+            Words._made[self.key] = dict(zip(text.split("\n"), scores.tolist())) if text else {}
+        return Words._made[self.key]
+
+
+def shipped_words(lexicon: DataFrame) -> Words:
+    """The whole of lexicon (word, zipf), but words that segment() never looks up: those of over eight characters or
+    with a character that is no CJK."""
+    usable = lexicon.filter(F.col("word").rlike(rf"^[{CJK}]{{1,{MOST}}}$")).select("word", "zipf").toArrow()
+    text = "\n".join(usable["word"].to_pylist())
+    return Words(lexicon.sparkSession.sparkContext.broadcast((text, usable["zipf"].to_numpy())))
+
+
+def segmenter(lexicon: dict[str, float] | Words, bigrams: dict[str, float], compat: bool = True):
+    """A column function text -> array<string>. Dictionaries are those of one language; a large one comes as Words."""
 
     @F.pandas_udf("array<string>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else segment(t, lexicon, bigrams, compat))
+        words = lexicon.map() if isinstance(lexicon, Words) else lexicon
+        return s.map(lambda t: None if t is None else segment(t, words, bigrams, compat))
 
     def apply(text: Column) -> Column:
         return run(text)

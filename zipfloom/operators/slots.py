@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..functions.lang import is_chinese
 from .placeholders import SLOTS, placeholders
 from .pos import ZH_ADJECTIVE, ZH_ONE, ZH_VERB, ZH_VERB_END, tag_lower_en
-from .segment_zh import is_blank, is_punct, places, segment
+from .segment_zh import Words, is_blank, is_punct, places, segment
 
 # fixed values
 EN_REGISTER = ["please", "pls", "kindly", "would", "could"]
@@ -129,12 +129,13 @@ def slots_zh_of(text: str, lexicon: dict[str, float], bigrams: dict[str, float])
     return merged
 
 
-def slots_zh(lexicon: dict[str, float], bigrams: dict[str, float]):
-    """A column function text -> array<slot> over one language's bounded dictionaries."""
+def slots_zh(lexicon: dict[str, float] | Words, bigrams: dict[str, float]):
+    """A column function text -> array<slot> over one language's dictionaries; a large one comes as Words."""
 
     @F.pandas_udf(SLOTS)
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else slots_zh_of(t, lexicon, bigrams))
+        words = lexicon.map() if isinstance(lexicon, Words) else lexicon
+        return s.map(lambda t: None if t is None else slots_zh_of(t, words, bigrams))
 
     return run
 

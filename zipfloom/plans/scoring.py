@@ -154,16 +154,15 @@ def guard_rewrites(spark, d):
     return guard.judge(h, candidate="optimized", slots=_slots(spark, d))
 
 
-ZH_WORDS = 20_000  # words of the segmentation dictionary, the most frequent
-
-
-def _zh_words(spark, d) -> dict[str, float]:
-    """The dictionary is broadcast with the segmenter, so it is bounded."""
+def _zh_lexicon(spark, d) -> DataFrame:
+    """(word, zipf) of all Chinese words of the corpus tables."""
     f = table(spark, d, "domain_freq").filter("lang = 'zh' and word_count > 0 and word is not null")
     n = f.groupBy(F.trim("word").alias("word")).agg(F.sum("word_count").alias("n"))
-    total = n.agg(F.sum("n")).first()[0] or 1
-    top = n.orderBy(F.desc("n"), F.asc("word")).limit(ZH_WORDS)
-    return {r["word"]: r["z"] for r in top.select("word", S.corpus_zipf(F.col("n"), F.lit(total)).alias("z")).collect()}
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("word", S.corpus_zipf(F.col("n"), F.col("total")).alias("zipf"))
+
+
+def _zh_words(spark, d) -> segment_zh.Words:
+    return segment_zh.shipped_words(_zh_lexicon(spark, d))
 
 
 def _slots(spark, d):
