@@ -138,3 +138,38 @@ def test_answers(spark):
 
     r = {x["id"]: x for x in rewrites.ask(spark.createDataFrame([(1, "ok"), (2, "bad")], "id int, p string"), client, "id", "p").collect()}
     assert r[1]["answer"] == "ok 0.8" and r[2]["error"] == "no"
+
+
+def test_chinese_documents_are_scored_as_chinese(spark, tmp_path):
+    from zipfloom.operators import segment_zh
+    from zipfloom.plans import scoring as plans
+
+    text = {1: "财政政策影响经济", 2: "Fiscal policy matters", 3: "财政政策", 4: None}
+    spark.createDataFrame([(i, t, "s", None if i == 3 else 7) for i, t in text.items()], "doc_id long, text string, source string, bitext_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    n = {"财政": 40, "政策": 30, "影响": 20, "经": 10}
+    spark.createDataFrame([("zh", w, k) for w, k in n.items()], "lang string, word string, word_count long").write.parquet(f"{tmp_path}/domain_freq.parquet")
+    d, lex = str(tmp_path), {w: math.log10(k / 100 * 1e9) for w, k in n.items()}
+
+    def zipf(w):
+        return lex[w] if w in lex else 3.5 if len(w) == 1 else math.prod(lex.get(c, 3.5) for c in w) ** (1 / len(w))
+
+    cut = {i: segment_zh.segment(text[i], lex, {}) for i in (1, 3)}
+    pairs = [" ".join(p) for w in cut.values() for p in zip(w, w[1:])]
+    weight = {1: 0.5, 2: 1.0, 3: 1.2, 4: 1.3}
+    got = {r["doc_id"]: r for r in plans.sentence_measures(spark, d).collect()}
+    tokens = [(r["doc_id"], r["token"], r["zipf"]) for r in plans.token_scores(spark, d).orderBy("doc_id", "pos").collect()]
+    for i, words in cut.items():
+        big = [1.3 if k and math.log10(pairs.count(f"{words[k - 1]} {w}") / len(pairs) * 1e9) > 5 else 1.0 for k, w in enumerate(words)]
+        w = [weight.get(len(x), 1.4) * b for x, b in zip(words, big)]
+        assert got[i]["score"] == pytest.approx(sum(max(zipf(x), 1.75) * y for x, y in zip(words, w)) / sum(w))
+        assert got[i]["n_tokens"] == len(words) > 1
+        assert [(t, z) for k, t, z in tokens if k == i] == [(x, pytest.approx(zipf(x))) for x in words]
+    assert [t for k, t, _ in tokens if k == 2] == ["Fiscal", "policy", "matters"] and got[4]["n_tokens"] == 0
+    h = {r["doc_id"]: r for r in plans.hybrid_score(spark, d).collect()}
+    assert h[1]["token_count"] == len(cut[1])
+    assert h[1]["hybrid_score"] == pytest.approx(math.prod(zipf(x) for x in cut[1]) ** (1 / len(cut[1])))
+    # the batch starts in Chinese, so its English sentence is cut and scored as Chinese too
+    r = {x["doc_id"]: x for x in plans.rank_sentences(spark, d).collect()}
+    assert len(r) == 4 and r[2]["score"] == pytest.approx((zipf("Fiscal") * 1.4 + 1.4 * zipf("policy") * 1.3 + 1.4 * zipf("matters") * 1.3) / (1.4 * 3.6))
+    # a document of no batch in its own language
+    assert r[3]["score"] == pytest.approx(got[3]["score"])

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import text as T
-from .lexicon import with_bigram, with_zipf
+from .lexicon import with_bigram, with_zipf, with_zipf_zh
+
+
+def _lang(lang: str | Column) -> Column:
+    return F.lit(lang) if isinstance(lang, str) else lang
 
 
 def scored_tokens(docs: DataFrame, key: str, lexicon: DataFrame, bigrams: DataFrame | None = None, text: str = "text", lang: str = "en", tokens: Column | None = None) -> DataFrame:
@@ -18,14 +22,22 @@ def scored_tokens(docs: DataFrame, key: str, lexicon: DataFrame, bigrams: DataFr
     return with_bigram(t, bigrams) if bigrams is not None else t.withColumn("bigram", F.lit(None).cast("double"))
 
 
-def token_scores(scored: DataFrame, key: str, lang: str = "en") -> DataFrame:
-    return scored.select(key, "pos", "token", S.score_floor(F.col("zipf"), F.lit(lang)).alias("zipf"))
+def scored_tokens_zh(rows: DataFrame, lexicon: DataFrame, bigrams: DataFrame | None = None) -> DataFrame:
+    """As scored_tokens, of the token rows of segmented Chinese texts."""
+    t = with_zipf_zh(rows, lexicon)
+    return with_bigram(t, bigrams) if bigrams is not None else t.withColumn("bigram", F.lit(None).cast("double"))
+
+
+def token_scores(scored: DataFrame, key: str, lang: str | Column = "en") -> DataFrame:
+    """lang: one language, or the column of scored that names each token's."""
+    return scored.select(key, "pos", "token", S.score_floor(F.col("zipf"), _lang(lang)).alias("zipf"))
 
 
-def sentence_measures(docs: DataFrame, scored: DataFrame, key: str, lang: str = "en") -> DataFrame:
-    """(key, score, live_avg, collocation, avg_word_length, n_tokens, complexity), a row for every doc."""
-    z = S.score_floor(F.col("zipf"), F.lit(lang))
-    w = S.token_weight(F.col("token"), F.lit(lang)) * S.bigram_weight(F.col("pos"), F.col("bigram"))
+def sentence_measures(docs: DataFrame, scored: DataFrame, key: str, lang: str | Column = "en") -> DataFrame:
+    """(key, score, live_avg, collocation, avg_word_length, n_tokens, complexity), a row for every doc. lang as in
+    token_scores."""
+    z = S.score_floor(F.col("zipf"), _lang(lang))
+    w = S.token_weight(F.col("token"), _lang(lang)) * S.bigram_weight(F.col("pos"), F.col("bigram"))
     m = scored.groupBy(key).agg(
         (F.sum(z * w) / F.sum(w)).alias("score"),
         F.avg(z).alias("live_avg"),

@@ -33,10 +33,20 @@ def _lexicons(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lexicon.freq_table(t.select(F.lower("token").alias("token"))), lexicon.bigram_table(t)
 
 
-def _scored(docs: DataFrame, name: str) -> DataFrame:
-    """Tokens with both scores, stored: the measures below read them more than once."""
+def _scored(spark: SparkSession, d: str, docs: DataFrame, name: str, pairs: bool = True, lang: DataFrame | None = None) -> DataFrame:
+    """(doc_id, pos, token, prev, zipf, bigram, lang) of both languages, stored: what follows reads them more than
+    once. lang (doc_id, lang) is the language to score each document in, by default its own."""
+    s = Scratch(spark, name)
+    if lang is None:
+        lang = docs.select("doc_id", L.detect_language(F.coalesce("text", F.lit(""))).alias("lang"))
+    docs = docs.select("doc_id", "text")
     lex, big = _lexicons(docs)
-    return Scratch(docs.sparkSession, name).write(scoring.scored_tokens(docs, "doc_id", lex, big), "scored")
+    is_zh = lang.filter("lang = 'zh'").select("doc_id")
+    en = scoring.scored_tokens(docs.join(is_zh, "doc_id", "left_anti"), "doc_id", lex, big if pairs else None)
+    words = docs.join(is_zh, "doc_id", "left_semi").select("doc_id", segment_zh.segmenter(_zh_words(spark, d), {})(F.col("text")).alias("words"))
+    cut = s.write(T.token_rows(words, ["doc_id"], F.col("words")), "words")
+    zh = scoring.scored_tokens_zh(cut, _zh_lexicon(spark, d), lexicon.bigram_table(cut) if pairs else None)
+    return s.write(en.withColumn("lang", F.lit("en")).unionByName(zh.withColumn("lang", F.lit("zh"))), "scored")
 
 
 def lang_detect(spark, d):
@@ -65,14 +75,12 @@ def domain_tables(spark, d):
 
 
 def token_scores(spark, d):
-    docs = _docs(spark, d)
-    lex, _ = _lexicons(docs)
-    return scoring.token_scores(scoring.scored_tokens(docs, "doc_id", lex), "doc_id")
+    return scoring.token_scores(_scored(spark, d, _docs(spark, d), "tokens", pairs=False), "doc_id", F.col("lang"))
 
 
 def sentence_measures(spark, d):
     docs = _docs(spark, d)
-    m = scoring.sentence_measures(docs, _scored(docs, "measures"), "doc_id")
+    m = scoring.sentence_measures(docs, _scored(spark, d, docs, "measures"), "doc_id", F.col("lang"))
     return scoring.multi_layer(m)
 
 
@@ -81,17 +89,21 @@ def lowest_tokens(spark, d):
 
 
 def rank_sentences(spark, d):
+    """A batch is scored in the language of its first sentence that is not empty; documents of no batch each in
+    their own."""
     docs = _docs(spark, d)
-    m = scoring.sentence_measures(docs, _scored(docs, "rank"), "doc_id").withColumn("score", F.round("score", 9))
+    own = docs.withColumn("own", L.detect_language(F.coalesce("text", F.lit(""))))
+    batch = ranking.batch_language(own, "bitext_id", "text", "own", "doc_id").select(F.col("bitext_id").alias("_b"), "lang")
+    lang = own.join(batch.filter("_b is not null"), F.col("bitext_id") == F.col("_b"), "left").select("doc_id", F.coalesce("lang", "own").alias("lang"))
+    m = scoring.sentence_measures(docs, _scored(spark, d, docs, "rank", lang=lang), "doc_id", F.col("lang")).withColumn("score", F.round("score", 9))
     s = Scratch(spark, "ranked")
     return ranking.rank_sentences(docs.select("doc_id", "bitext_id").join(m.select("doc_id", "score"), "doc_id"), "bitext_id", "doc_id", write=s.write)
 
 
 def hybrid_score(spark, d):
     docs = _docs(spark, d)
-    lex, _ = _lexicons(docs)
     tables = lexicon.domain_tables(docs, "source", L.detect_language(F.coalesce("text", F.lit(""))))
-    return scoring.hybrid_measures(docs, scoring.scored_tokens(docs, "doc_id", lex), tables, "doc_id", by="source")
+    return scoring.hybrid_measures(docs, _scored(spark, d, docs, "hybrid", pairs=False), tables, "doc_id", by="source")
 
 
 def domain_detect(spark, d):
