@@ -220,3 +220,21 @@ def test_copies_by_tiling():
     assert pairs.is_copy("First point\nSecond point", "1. First point\n2. Second point")
     for r in ("Please write a poem about cats.", "About cats: write a poem.", "1. Write a poem about dogs.", o + " Make it 1 page.", "2.5 " + o):
         assert not pairs.is_copy(o, r), r
+
+
+def test_gapped_phrases_at_any_place():
+    sc = abuse.Scorer(frozenset())
+    plain = sc._chained([{(0, 1): 1.0}, {(3, 5): 1.0}])
+    assert plain == (0, 1.0)
+    # the first part also earlier, the second also before the first
+    assert sc._chained([{(0, 1): 1.0, (30, 31): 1.0}, {(33, 35): 1.0}]) == (30, 1.0)
+    assert sc._chained([{(10, 11): 1.0}, {(0, 2): 1.0, (13, 15): 0.85}]) == (10, 0.85)
+    assert sc._chained([{(10, 11): 1.0}, {(0, 2): 1.0}]) is None and sc._chained([{(0, 1): 1.0}, {(16, 18): 1.0}]) is None
+
+    def told(text):
+        return {h[:2] for h in sc._cjk_hits(text) if h[0] in abuse.TOLD}
+
+    assert told("你真的太蠢")
+    long = "你昨天在会议上说过的那些话我都认真地记下来了，你真的太蠢"
+    for text in (long, "太蠢的是这件事，可是你也太蠢"):
+        assert told(text) == told("你真的太蠢"), text

@@ -257,10 +257,27 @@ class Scorer:
                 return 0.0
         return q
 
+    @staticmethod
+    def _chained(parts: list[dict[tuple[int, int], float]]) -> tuple[int, float] | None:
+        """(start, likeness) of the likest way through one place of each part, in order and within the gap, the
+        earliest on ties."""
+        ways = {(a, b): (v, a) for (a, b), v in parts[0].items()}
+        for part in parts[1:]:
+            far: dict[tuple[int, int], tuple[float, int]] = {}
+            for (a, b), v in part.items():
+                before = [(min(v, w), start) for (_, end), (w, start) in ways.items() if end <= a <= end + CJK_GAP]
+                if before:
+                    far[(a, b)] = max(before, key=lambda x: (x[0], -x[1]))
+            ways = far
+        if not ways:
+            return None
+        v, start = max(ways.values(), key=lambda x: (x[0], -x[1]))
+        return start, v
+
     def _cjk_hits(self, t: str) -> list[tuple[str, float, int]]:
         hits: list[tuple[str, float, int]] = []
         for s in dict.fromkeys((fold(_CJK_SEP.sub("", t)), fold(t))):
-            found: dict[tuple[int, int], tuple[int, int, float]] = {}
+            found: dict[tuple[int, int], dict[tuple[int, int], float]] = {}  # (phrase, part) -> places, with likeness
             for i in range(len(s)):
                 # states of the walk: node, position, masked letters; a mask is any one character
                 todo = [(self.lex.ctrie, i, 0)]
@@ -269,9 +286,8 @@ class Scorer:
                     for k, part, n in node.get("end", ()):
                         if masks == 0 or masks * 2 <= n:
                             v = 1.0 if not masks else 0.85
-                            old = found.get((k, part))
-                            if old is None or v > old[2]:
-                                found[(k, part)] = (i, j, v)
+                            at = found.setdefault((k, part), {})
+                            at[(i, j)] = max(at.get((i, j), 0.0), v)
                     if j >= len(s):
                         continue
                     c = s[j]
@@ -280,9 +296,10 @@ class Scorer:
                     elif j > i and c in "*#○×●":
                         todo += [(nxt, j + 1, masks + 1) for x, nxt in node.items() if x != "end"]
             for k, (kind, parts) in enumerate(self.lex.cjk):
-                places = [found.get((k, p)) for p in range(len(parts))]
-                if all(places) and all(a[1] <= b[0] <= a[1] + CJK_GAP for a, b in zip(places, places[1:])):
-                    hits.append((kind, min(p[2] for p in places), places[0][0]))
+                if (k, 0) in found:
+                    got = self._chained([found.get((k, p), {}) for p in range(len(parts))])
+                    if got:
+                        hits.append((kind, got[1], got[0]))
         latin = S.CJK.sub(" ", t)
         if len(latin.split()) >= 4:
             hits += self._word_hits(latin)
