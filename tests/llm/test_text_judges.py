@@ -238,3 +238,19 @@ def test_gapped_phrases_at_any_place():
     long = "你昨天在会议上说过的那些话我都认真地记下来了，你真的太蠢"
     for text in (long, "太蠢的是这件事，可是你也太蠢"):
         assert told(text) == told("你真的太蠢"), text
+
+
+def test_one_misspelled_term_is_enough():
+    sc = abuse.Scorer(frozenset())
+    for t in ("You moronn.", "You moronn!", "They are vermyn and should go."):
+        assert sc.text(t)[0] >= abuse.FLAG, t
+    assert abuse.Scorer(frozenset({"canal"})).text("Ils ont ouvert une boulangerie au bord du canal!")[0] < abuse.FLAG
+    for t in ("The moronn left.", "For project Tetar, the clerk repairs the meter.", "The handbook says that calling a colleague a moronn leads to a warning."):
+        assert sc.text(t)[0] < abuse.FLAG, t
+
+
+def test_ordinary_words_by_share(spark):
+    near = ["You moronn."] * 4
+    few = spark.createDataFrame([(t,) for t in near], "text string")
+    many = spark.createDataFrame([(t,) for t in near + ["Good day."] * 19_996], "text string")
+    assert "moronn" in abuse.ordinary_words(few) and "moronn" not in abuse.ordinary_words(many)

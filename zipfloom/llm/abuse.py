@@ -26,6 +26,8 @@ FLAG = 0.6  # score from which a document counts as abusive
 TOLD = frozenset({"INSULT", "HARM", "HATE", "SEXUAL"})  # what is scored; the rest is its window
 GAP = 3  # words between two words of a phrase
 CJK_GAP = 14  # characters for "…"
+NEAR, CLEAR = 0.7, 0.79  # likeness of a word one error away, if it may be a name, and if not
+RARE, SHARE = 3, 3e-4  # a word near a term is ordinary from this count and this share of the documents
 KEPT = 200_000  # words and sentences a worker remembers
 
 # fixed values: letters of other scripts that look like Latin ones, and signs used for letters
@@ -126,7 +128,7 @@ class Lexicon:
                 if "end" in nxt and depth + 1 >= 3:
                     for e, r in enumerate(new):
                         if r & accept and (e == 0 or depth + 1 >= 5):
-                            out[nxt["end"]] = max(out.get(nxt["end"], 0), 0.95 if e == 0 else 0.7)
+                            out[nxt["end"]] = max(out.get(nxt["end"], 0), 0.95 if e == 0 else NEAR)
                             break
                 # letters that stand one place too early, to be met by the next step
                 todo.append((nxt, new, [r & (hit >> 1) for r in rows[:-1]] if errors else None, depth + 1))
@@ -226,12 +228,22 @@ class Scorer:
         words = [fold(w).strip("-") for w in _WORD.findall(t)]
         return [w for w in words if w and any(c.isalnum() for c in w)]
 
+    @staticmethod
+    def _names(t: str) -> set[str]:
+        """Folded words with a capital and small letters after the sentence's first word: names, also German nouns."""
+        raw = [w for w in _WORD.findall(t) if any(c.isalnum() for c in w)]
+        return {fold(w).strip("-") for w in raw[1:] if w[0].isupper() and not w.isupper()}
+
     def _word_hits(self, t: str) -> list[tuple[str, float, int]]:
         words = self.words(t)
+        names = self._names(t)
         at: list[dict[int, float]] = []
         for w in words:
             trimmed = w.rstrip("!|+'*") if not any(c.isalpha() for c in w[-1:]) else w
             at.append(self.word(w) or (self.word(trimmed) if trimmed and trimmed != w else {}))
+            if w not in names and trimmed.isalpha():
+                plain = at[-1] if trimmed == w else self.word(trimmed)  # a stop read as a letter makes no clear word
+                at[-1] = {k: CLEAR if v == NEAR and k in plain else v for k, v in at[-1].items()}
         hits = []
         lex = self.lex
         for i, m in enumerate(at):
@@ -239,7 +251,7 @@ class Scorer:
                 for n in lex.by_first.get(k, ()):
                     kind, slots = lex.phrases[n]
                     q = self._follow(at, i, slots)
-                    if q >= (0.7 if kind in TOLD else 0.8):
+                    if q >= (NEAR if kind in TOLD else 0.8):
                         hits.append((kind, q, i))
         return hits
 
@@ -325,7 +337,7 @@ class Scorer:
         everyday = 0.5 if "EVERYDAY" in best else 0.0
         if "INSULT" in best:
             q = best["INSULT"]
-            insult = 0.5 * q + (0.3 if q >= 0.8 else 0.2) * min(2, n.get("ADDRESS", 0)) - report
+            insult = 0.5 * q + (0.3 if q >= CLEAR else 0.2) * min(2, n.get("ADDRESS", 0)) - report
         else:
             insult = 0.0
         scores = {
@@ -366,8 +378,9 @@ def scorer(ordinary: frozenset[str] = frozenset()) -> Scorer:
 
 
 def ordinary_words(documents: DataFrame) -> frozenset[str]:
-    """Words in plain letters one error from terms, commoner in all documents than those terms, and in three
-    places at least. What is counted lies within one error of the lexicon, which bounds the result."""
+    """Words in plain letters one error from terms, commoner in all documents than those terms, of at least RARE
+    places and SHARE places a document. What is counted lies within one error of the lexicon, which bounds the
+    result."""
 
     def run(batches):
         sc = scorer()
@@ -390,10 +403,11 @@ def ordinary_words(documents: DataFrame) -> frozenset[str]:
                         n[(w, term)] = n.get((w, term), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "term", "n"])
 
+    least = max(RARE, SHARE * documents.count())
     counts = documents.select(documents["text"].alias("text")).mapInArrow(run, "word string, term string, n long").groupBy("word", "term").agg(F.sum("n").alias("n"))
     own: dict[str, int] = {}
     like: dict[str, tuple[int, list[str]]] = {}
-    for r in counts.filter("n >= 3 or word = term").collect():
+    for r in counts.filter((F.col("n") >= least) | (F.col("word") == F.col("term"))).collect():
         if r["word"] == r["term"]:
             own[r["term"]] = r["n"]
         else:
