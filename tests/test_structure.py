@@ -41,13 +41,14 @@ def closure(edges):
     return reach
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_hierarchy_against_brute_force(spark, seed):
+# one task and ten hops a job; several tasks, one hop a job, parents of more than two children salted
+@pytest.mark.parametrize("seed, size", [(1, {}), (2, {}), (2, {"rows": 9, "hot": 2}), (3, {"rows": 20, "hot": 1})])
+def test_hierarchy_against_brute_force(spark, seed, size):
     rng = random.Random(seed)
     n = 24
     edges = {(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(26)}
     nodes = spark.createDataFrame([(f"n{i}",) for i in range(n)], "id string")
-    h = Hierarchy(spark, nodes, spark.createDataFrame(sorted(edges), "parent string, child string"))
+    h = Hierarchy(spark, nodes, spark.createDataFrame(sorted(edges), "parent string, child string"), **size)
     reach = closure(edges)
     assert {r["id"] for r in h.cyclic.collect()} == {x for x in reach if x in reach[x]}
     comp = {r["id"]: r["component"] for r in h.cyclic.collect()}

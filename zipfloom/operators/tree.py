@@ -1,22 +1,26 @@
 """Parent-child links to full hierarchies: paths, depths, roots, descendants and circular links.
 
-Level-wise frontier joins go from the roots. A node joins the frontier once all its parents are done, so
-each link is followed once; what no frontier reaches lies on a closed walk or below one. The unreached part
-is trimmed from its leaves, and the rest split into strongly connected components by colouring, which
-keeps one row per node however long a cycle is.
+Level-wise frontier joins go from the roots. A node joins the frontier once all its parents are done, so each
+link is followed once; what no frontier reaches lies on a closed walk or below one. The unreached part is
+trimmed from its leaves by the same frontier on turned links, and the rest split into strongly connected
+components by colouring, which keeps one row per node however long a cycle is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from math import ceil
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import Scratch, static_plans
+from ..session import Scratch, own_session
 from .names import concept_records, is_name, name_index, resolve
 
-LEVELS = 2  # levels of the frontier in one job
-SALTS = 8  # partitions the children of one parent may lie in
-HOPS = 6  # hops chained in one job where a hop uses the one before it only once
+ROWS = 100_000  # links and states one task takes
+HOT = 50_000  # links of one node in one partition; more are salted
+CHUNK = 1_000_000  # path members a task holds back before it hands rows on
 
 
 def parent_edges(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -35,186 +39,270 @@ def parent_edges(concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return live.select("id"), edges
 
 
-class Hierarchy:
-    """Runs the passes eagerly, one job a level; the results are tables in the shared folder."""
+class Frontier:
+    """Hops of a frontier over distinct links (src, dst), level by level, the least value of a node kept.
 
-    def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, paths: bool = True):
-        self.spark, self.paths, self.scratch = spark, paths, Scratch(spark, "tree")
-        s = self.scratch
-        e = edges.filter(F.col("parent").isNotNull() & F.col("child").isNotNull()).select("parent", "child").distinct()
-        indeg = e.groupBy("child").agg(F.count(F.lit(1)).alias("indeg"))
-        # partitioned by parent once, a hot parent's children over SALTS partitions; each level then moves its
-        # frontier only, hashed on the executors (shuffle_hash), since a broadcast a level fills the driver
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.edges = s.write(e.join(indeg, "child").withColumn("salt", F.pmod(F.xxhash64("child"), F.lit(SALTS)).cast("int")), "edges")
-        self.nodes = s.write(nodes.filter(F.col("id").isNotNull()).select("id").distinct(), "nodes")
-        with static_plans(spark):
-            self.placed = self.edges.repartition(parts, "parent", "salt").persist()
-            self.reached = self._peel()
+    A state is a row (id, val, seen, need, out, fresh, done). A hop hands a value made of val and dst from each fresh
+    node along its links. With `wait` a node becomes fresh once, when a value has come over each of its links, and is
+    done a hop later; without it, whenever its value falls. While links and states are many, a job is one hop over
+    partitions by their counted number, the links of nodes above HOT salted. Links of done nodes are dropped when they
+    are half of all. What then fits ROWS, as the tail of a deep thin hierarchy does, makes its last hops in one task.
+    """
+
+    def __init__(self, spark: SparkSession, scratch: Scratch, name: str, links: DataFrame, grow: bool, wait: bool, rows: int = ROWS, hot: int = HOT):
+        """grow: values are (depth, path, root) and grow by dst at each link; otherwise they are handed on as they are."""
+        self.spark, self.scratch, self.name, self.grow, self.wait, self.rows, self.hot = spark, scratch, name, grow, wait, rows, hot
+        s = scratch
+        one = lambda end, i, o: links.select(F.col(end).alias("id"), F.lit(i).alias("need"), F.lit(o).alias("out"))
+        self.degrees = s.write(one("dst", 1, 0).unionByName(one("src", 0, 1)).groupBy("id").agg(F.sum("need").alias("need"), F.sum("out").alias("out")), f"{name}/degrees")
+        to = self.degrees.select(F.col("id").alias("dst"), "need", "out")
+        own = self.degrees.filter("out > 0").select(F.col("id").alias("src"), F.col("out").alias("_links"))
+        t = links.join(to, "dst").join(own, "src").select("src", "dst", "need", "out", F.pmod(F.xxhash64("dst"), self._salts(F.col("_links"))).alias("salt"))
+        self.links, n = s.write_counted(t, f"{name}/links0", n=F.count(F.lit(1)))
+        self.n_links, self.prunes, self.placed = n["n"], 0, None
+
+    def _salts(self, n: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / F.lit(self.hot))).cast("bigint")
+
+    def _meet(self, r: DataFrame) -> DataFrame:
+        """r: (id, val, own, seen, need, out, done); own is the value the node had before, null for what arrives."""
+        m = r.groupBy("id").agg(F.min("val").alias("val"), F.min("own").alias("own"), F.sum("seen").alias("seen"), F.max("need").alias("need"), F.max("out").alias("out"), F.max("done").alias("done"))
+        fresh = (F.col("seen") == F.col("need")) & ~F.col("done") if self.wait else F.col("own").isNull() | (F.col("val") < F.col("own"))
+        return m.select("id", "val", "seen", "need", "out", fresh.alias("fresh"), "done")
+
+    def _step(self) -> Column:
+        if not self.grow:
+            return F.col("val")
+        return F.struct((F.col("val.depth") + 1).alias("depth"), F.concat("val.path", F.array("dst")).alias("path"), F.col("val.root").alias("root"))
+
+    def _hop(self, state: DataFrame, parts: int) -> DataFrame:
+        """One hop over stored links and a stored state: the frontier moves to the placed links, what arrives to its node."""
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        if self.placed is None:
+            self.placed = self.links.withColumnsRenamed({"need": "_need", "out": "_out"}).repartition(parts, "src", "salt").persist()
+        f = state.filter("fresh").select(F.col("id").alias("src"), "val", F.explode(F.sequence(F.lit(0).cast("bigint"), self._salts(F.col("out")) - 1)).alias("salt"))
+        a = self.placed.join(f.hint("shuffle_hash"), ["src", "salt"])
+        a = a.select(F.col("dst").alias("id"), self._step().alias("val"), F.lit(None).cast(state.schema["val"].dataType).alias("own"), F.lit(1).cast("bigint").alias("seen"), F.col("_need").alias("need"), F.col("_out").alias("out"), F.lit(False).alias("done"))
+        return self._meet(a.unionByName(state.select("id", "val", F.col("val").alias("own"), "seen", "need", "out", (F.col("fresh") & F.lit(self.wait)).alias("done"))))
+
+    def _tail(self, state: DataFrame) -> DataFrame:
+        """The last hops, in one task that holds at most ROWS links and states and hands nodes on as they are done."""
+        grow, wait, schema = self.grow, self.wait, to_arrow_schema(state.schema)
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in state.schema if f.name not in ("id", "need", "out")]
+        links = self.links.select(F.col("dst").alias("id"), "need", "out", *nulls, F.col("src").alias("_src"))
+        both = links.select(*state.columns, "_src").unionByName(state.withColumn("_src", F.lit(None).cast("string"))).coalesce(1)
+
+        def run(batches):
+            kids: dict[str, list] = {}
+            val, seen, front = {}, {}, []
+            for b in batches:
+                for r in b.to_pylist():
+                    if r["_src"] is not None:
+                        kids.setdefault(r["_src"], []).append((r["id"], r["need"]))
+                        continue
+                    val[r["id"]] = tuple(r["val"].values()) if grow else r["val"]
+                    seen[r["id"]] = r["seen"]
+                    if r["fresh"]:
+                        front.append(r["id"])
+
+            def rows(ids):
+                out = [{"id": i, "val": dict(zip(("depth", "path", "root"), val[i])) if grow else val[i], "seen": 0, "need": 0, "out": 0, "fresh": False, "done": wait} for i in ids]
+                return pa.RecordBatch.from_pylist(out, schema=schema)
+
+            held, size = [], 0
+            while front:
+                met = set()
+                for x in front:
+                    for y, need in kids.get(x, ()):
+                        v = (val[x][0] + 1, [*val[x][1], y], val[x][2]) if grow else val[x]
+                        less = y not in val or v < val[y]
+                        if less:
+                            val[y] = v
+                        if wait:
+                            seen[y] = seen.get(y, 0) + 1
+                            if seen[y] == need:
+                                met.add(y)
+                        elif less:
+                            met.add(y)
+                if wait:
+                    held += front
+                    size += sum(len(val[x][1]) if grow else 1 for x in front)
+                    if size > CHUNK:
+                        yield rows(held)
+                        for x in held:
+                            del val[x]
+                        held, size = [], 0
+                front = sorted(met)
+            yield rows(held if wait else list(val))
+
+        return both.mapInArrow(run, state.schema)
+
+    def _prune(self, done: DataFrame) -> None:
+        self._unplace()
+        self.spark.conf.set("spark.sql.shuffle.partitions", str(ceil(self.n_links / self.rows)))
+        gone = done.filter("done").select(F.col("id").alias("src"))
+        left = self.links.join(gone.hint("shuffle_hash"), "src", "left_anti").select(self.links.columns)
+        self.prunes += 1
+        self.links, n = self.scratch.write_counted(left, f"{self.name}/links{self.prunes}", n=F.count(F.lit(1)))
+        self.n_links = n["n"]
+        self.scratch.drop(f"{self.name}/links{self.prunes - 1}")
+
+    def _unplace(self) -> None:
+        if self.placed is not None:
             self.placed.unpersist()
-            self.cyclic = self._cycles()
+            self.placed = None
+
+    def run(self, start: DataFrame) -> DataFrame:
+        """start: (id, val, out), all fresh. With `wait` the done states, else the last state of every node met."""
+        s, turn, used = self.scratch, 0, 0
+        # re-planning starts a driver thread for every exchange, and hundreds of them live at once in such a loop
+        self.spark.conf.set("spark.sql.adaptive.enabled", "false")
+        parts = self.spark.conf.get("spark.sql.shuffle.partitions")
+        at = lambda i: f"{self.name}/state/turn={i:06d}"
+        tally = {"fresh": F.count_if("fresh"), "rows": F.count_if(~F.col("done")), "used": F.sum(F.when(F.col("done"), F.col("out")).otherwise(0))}
+        zero = F.lit(0).cast("bigint")
+        first = start.select("id", "val", zero.alias("seen"), zero.alias("need"), F.coalesce("out", zero).alias("out"), F.lit(True).alias("fresh"), F.lit(False).alias("done"))
+        state, n = s.write_counted(first, at(0), **tally)
+        schema = state.schema
+        while n["fresh"]:
+            turn += 1
+            live, size = state.filter("not done"), self.n_links + n["rows"]
+            live = self._tail(live) if size <= self.rows else self._hop(live, ceil(size / self.rows))
+            state, n = s.write_counted(live, at(turn), **tally)
+            used += n["used"] or 0
+            if self.wait and n["fresh"] and 2 * used >= self.n_links:
+                # no link leads back to a done node, so what later turns meet needs none of theirs
+                self._prune(self.spark.read.schema(schema).parquet(s.path(f"{self.name}/state")))
+                used = 0
+            if not self.wait:
+                s.drop(at(turn - 1))
+        self._unplace()
+        self.spark.conf.set("spark.sql.adaptive.enabled", "true")
+        self.spark.conf.set("spark.sql.shuffle.partitions", parts)
+        s.drop(f"{self.name}/links{self.prunes}", f"{self.name}/degrees")
+        self.table = f"{self.name}/state" if self.wait else at(turn)
+        return self.spark.read.schema(schema).parquet(s.path(self.table)).filter("done" if self.wait else "true")
 
-    def _start(self) -> DataFrame:
-        roots = self.nodes.join(self.edges.select(F.col("child").alias("id")).distinct(), "id", "left_anti")
-        path = F.array("id") if self.paths else F.array().cast("array<string>")
-        return roots.select("id", F.lit(0).alias("depth"), path.alias("path"), F.col("id").alias("root"), F.lit(0).alias("longest"))
+
+class Hierarchy:
+    """Runs the passes eagerly, in a session of its own; the results are tables in the shared folder.
+
+    Several parents, repeated links and nodes without links are as usual; null ids and links with a null end are
+    left out; an empty graph gives empty tables.
+    """
+
+    def __init__(self, spark: SparkSession, nodes: DataFrame, edges: DataFrame, rows: int = ROWS, hot: int = HOT):
+        self.spark, self.rows, self.hot = spark, rows, hot
+        self.loop = own_session(spark)
+        s = self.scratch = Scratch(self.loop, "tree")
+        self.edges = s.write(edges.filter(F.col("parent").isNotNull() & F.col("child").isNotNull()).select("parent", "child").distinct(), "edges")
+        listed = s.write(nodes.filter(F.col("id").isNotNull()).select("id"), "listed")
+        self.nodes = s.write(listed.unionByName(self.edges.select(F.explode(F.array("parent", "child")).alias("id"))).distinct(), "nodes")
+        self.reached = self._peel()
+        self.left, n = s.write_counted(self.nodes.join(self.reached.select("id"), "id", "left_anti"), "left", n=F.count(F.lit(1)))
+        self.n_left = n["n"]
+        self.cyclic = self._given(self._cycles(), "cycles")
+
+    def _given(self, df: DataFrame, name: str) -> DataFrame:
+        """A table of this object's session in the caller's."""
+        return self.spark.read.schema(df.schema).parquet(self.scratch.path(name))
+
+    def _frontier(self, name: str, links: DataFrame, grow: bool, wait: bool) -> Frontier:
+        return Frontier(self.loop, self.scratch, name, links, grow, wait, self.rows, self.hot)
+
+    def _unmet(self, nodes: DataFrame, f: Frontier, val: Column) -> DataFrame:
+        """The nodes no link leads to, as start of a frontier."""
+        return nodes.join(f.degrees, "id", "left").filter("coalesce(need, 0) = 0").select("id", val.alias("val"), "out")
 
     def _peel(self) -> DataFrame:
-        """Levels from the roots. Of several parents the one of least (depth, path, id) leads the path."""
-        s, turn = self.scratch, 0
-        ready = lambda d: d.filter("seen = indeg").select("id", "best.depth", "best.path", "best.root", "longest")
-        wait = lambda d: d.filter("seen < indeg")
-        met = self._start().select("id", F.lit(0).alias("seen"), F.lit(0).alias("indeg"), F.struct("depth", "path", F.lit("").alias("parent"), "root").alias("best"), "longest", F.lit(0).alias("step"))
-        met, n = s.write_counted(met, "met/turn=000000", ready=F.count(F.lit(1)))
-        last = met
-        while n["ready"]:
-            turn += 1
-            steps = []
-            for step in range(LEVELS):
-                last = self._advance(ready(last), wait(last) if turn > 1 or step else None, step)
-                steps.append(last)
-            all_ = steps[0]
-            for x in steps[1:]:
-                all_ = all_.unionByName(x)
-            # only the last step's waiting rows are still waiting
-            all_ = all_.filter(F.expr(f"seen = indeg or step = {LEVELS - 1}"))
-            met, n = s.write_counted(all_, f"met/turn={turn:06d}", ready=F.count_if(F.expr(f"step = {LEVELS - 1} and seen = indeg")))
-            last = met.filter(f"step = {LEVELS - 1}")
-        return ready(self.spark.read.schema(met.schema).parquet(s.path("met")))
-
-    def _advance(self, front: DataFrame, waiting: DataFrame | None, step: int) -> DataFrame:
-        """The children of the frontier with what is known of them. The exchange it ends in is shared by
-        all that use the result, so chained steps are computed once."""
-        path = F.concat("path", F.array("child")) if self.paths else F.col("path")
-        spread = front.withColumnRenamed("id", "parent").withColumn("salt", F.explode(F.lit(list(range(SALTS)))))
-        arrived = self.placed.join(spread.hint("shuffle_hash"), ["parent", "salt"])
-        arrived = arrived.select(F.col("child").alias("id"), F.lit(1).alias("seen"), "indeg", F.struct((F.col("depth") + 1).alias("depth"), path.alias("path"), "parent", "root").alias("best"), (F.col("longest") + 1).alias("longest"))
-        if waiting is not None:
-            arrived = arrived.unionByName(waiting.select(arrived.columns))
-        met = arrived.groupBy("id").agg(F.sum("seen").cast("int").alias("seen"), F.max("indeg").alias("indeg"), F.min("best").alias("best"), F.max("longest").alias("longest"))
-        return met.withColumn("step", F.lit(step))
-
-    def _shrink(self, kept: DataFrame, edges: DataFrame, name: str) -> DataFrame:
-        """Drops nodes without a kept child, HOPS rounds a job, until none goes."""
-        s, n, i = self.scratch, -1, 0
-        while n:
-            i += 1
-            for _ in range(HOPS):
-                kept = edges.join(kept.withColumnRenamed("id", "child").hint("shuffle_hash"), "child", "left_semi").select(F.col("parent").alias("id")).distinct()
-            was = n
-            kept, got = s.write_counted(kept, f"{name}/{i}", n=F.count(F.lit(1)))
-            n = got["n"]
-            if n == was:
-                break
-        return kept
-
-    def _spread(self, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
-        """The least label that reaches each node over links(src, dst), which hold a link of each node to itself."""
-        s, i, total = self.scratch, 0, None
-        while True:
-            i += 1
-            for _ in range(HOPS):
-                labels = links.join(labels.withColumnRenamed("id", "src").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("label"))
-            # the checksum stands still when no label moved
-            labels, now = s.write_counted(labels, f"{name}/{i}", n=F.count(F.lit(1)), sum=F.sum(F.xxhash64("id", "label").cast("decimal(38,0)")))
-            if now == total:
-                return labels
-            total = now
+        """Levels from the roots. Of several shortest paths to a node the least counts."""
+        f = self._frontier("peel", self.edges.select(F.col("parent").alias("src"), F.col("child").alias("dst")), True, True)
+        return f.run(self._unmet(self.nodes, f, F.struct(F.lit(0).alias("depth"), F.array("id").alias("path"), F.col("id").alias("root"))))
+
+    def _trim(self, nodes: DataFrame, links: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """(the nodes left when those without a child among the links go, again and again; their number)."""
+        f = self._frontier(name, links.select(F.col("child").alias("src"), F.col("parent").alias("dst")), False, True)
+        gone = f.run(self._unmet(nodes, f, F.lit(0)))
+        kept, n = self.scratch.write_counted(nodes.join(gone.select("id"), "id", "left_anti"), f"{name}/kept", n=F.count(F.lit(1)))
+        self.scratch.drop(f"{name}/state")
+        return kept, n["n"]
+
+    def _inside(self, links: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        n = nodes.select("id")
+        return self.scratch.write(links.join(n.withColumnRenamed("id", "parent"), "parent", "left_semi").join(n.withColumnRenamed("id", "child"), "child", "left_semi").select("parent", "child"), name)
 
     def _cycles(self) -> DataFrame:
         """(id, component) of the nodes on a closed walk."""
         s = self.scratch
-        loops = self.edges.filter("parent = child").select(F.col("parent").alias("id"), F.col("parent").alias("component"))
-        out = s.write(loops, "cyclic/loops")
-        left = s.write(self.nodes.unionByName(self.edges.select(F.col("child").alias("id"))).distinct().join(self.reached.select("id"), "id", "left_anti"), "left")
-        inner = self.edges.filter("parent <> child").select("parent", "child")
-        inner = inner.join(left.withColumnRenamed("id", "parent"), "parent", "left_semi").join(left.withColumnRenamed("id", "child"), "child", "left_semi")
-        inner = s.write(inner, "inner")
-        core = self._shrink(left, inner, "core")
-        found, turn = [out], 0
-        while core.count():
+        found = [self.edges.filter("parent = child").select(F.col("parent").alias("id"), F.col("parent").alias("component"))]
+        core, n, turn = self.left, self.n_left, 0
+        if n:
+            inner = self._inside(self.edges.filter("parent <> child"), core, "inner0")
+            core, n = self._trim(core, inner, "trim0")
+        while n:
             turn += 1
-            here = core.withColumnRenamed("id", "parent")
-            inner = s.write(inner.join(here, "parent", "left_semi").join(core.withColumnRenamed("id", "child"), "child", "left_semi"), f"inner{turn}")
-            selfs = core.select(F.col("id").alias("src"), F.col("id").alias("dst"))
-            colour = self._spread(core.select("id", F.col("id").alias("label")), inner.select(F.col("parent").alias("src"), F.col("child").alias("dst")).unionByName(selfs), f"colour{turn}")
+            inner = self._inside(inner, core, f"inner{turn}")
+            f = self._frontier(f"colour{turn}", inner.select(F.col("parent").alias("src"), F.col("child").alias("dst")), False, False)
+            # the least node that reaches each node
+            colour = f.run(core.join(f.degrees, "id", "left").select("id", F.col("id").alias("val"), "out")).select("id", F.col("val").alias("colour"))
             # inside one colour, what reaches the colour's own node forms its component
-            a, b = colour.select(F.col("id").alias("parent"), F.col("label").alias("lp")), colour.select(F.col("id").alias("child"), F.col("label").alias("lc"))
-            same = s.write(inner.join(a, "parent").join(b, "child").filter("lp = lc").select(F.col("child").alias("src"), F.col("parent").alias("dst")), f"same{turn}")
-            start = colour.select("id", F.when(F.col("id") == F.col("label"), F.lit(0)).otherwise(F.lit(1)).alias("label"))
-            back = self._spread(start, same.unionByName(selfs), f"back{turn}")
-            comp = s.write(back.filter("label = 0").select("id").join(colour, "id").select("id", F.col("label").alias("component")), f"comp{turn}")
-            sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
-            found.append(comp.join(sizes, "component", "left_semi").select("id", "component"))
-            core = self._shrink(s.write(core.join(comp.select("id"), "id", "left_anti"), f"rest{turn}"), inner.join(comp.select(F.col("id").alias("parent")), "parent", "left_anti").join(comp.select(F.col("id").alias("child")), "child", "left_anti"), f"core{turn}")
+            a, b = colour.select(F.col("id").alias("parent"), F.col("colour").alias("cp")), colour.select(F.col("id").alias("child"), F.col("colour").alias("cc"))
+            same = s.write(inner.join(a, "parent").join(b, "child").filter("cp = cc").select(F.col("child").alias("src"), F.col("parent").alias("dst")), f"same{turn}")
+            f = self._frontier(f"back{turn}", same, False, False)
+            back = f.run(colour.filter("id = colour").join(f.degrees, "id", "left").select("id", F.lit(0).alias("val"), "out"))
+            comp = s.write(back.select("id").join(colour, "id").select("id", F.col("colour").alias("component")), f"comp{turn}")
+            several = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component")
+            found.append(comp.join(several, "component", "left_semi").select("id", "component"))
+            core, n = self._trim(s.write(core.join(comp, "id", "left_anti"), f"rest{turn}"), self._inside(inner, core.join(comp, "id", "left_anti"), f"between{turn}"), f"trim{turn}")
+            s.drop(f"inner{turn - 1}", f"colour{turn}", f"same{turn}", f"back{turn}", f"trim{turn - 1}", f"between{turn}", f"rest{turn}")
         all_ = found[0]
         for f in found[1:]:
             all_ = all_.unionByName(f)
-        return s.write(all_.groupBy("id").agg(F.min("component").alias("component")), "cycles")
+        out = s.write(all_.groupBy("id").agg(F.min("component").alias("component")), "cycles")
+        s.drop(*[f"comp{i}" for i in range(1, turn + 1)], "inner0", f"inner{turn}", "trim0", f"trim{turn}")
+        return out
 
     def tree(self) -> DataFrame:
-        """(id, path, depth, root, longest, on_cycle, component): one row a node.
+        """(id, path, depth, root, on_cycle, component): one row a node.
 
-        depth counts links from the root along the shortest path, longest along the longest. Nodes on or
-        below a closed walk take the shortest path from a root where one leads to them, with longest null;
-        without one, path, depth and root are null.
+        depth counts links from the root along a shortest path; of several the least path is given. To nodes on or
+        below a closed walk the frontier goes on from those it has reached; where no root leads, path, depth and root
+        are null.
         """
-        s = self.scratch
-        known = self.reached.select("id", "depth", "path", "root", "longest")
-        every = self.nodes.unionByName(self.edges.select(F.col("child").alias("id"))).unionByName(self.edges.select(F.col("parent").alias("id"))).distinct()
-        rest = every.join(known.select("id"), "id", "left_anti")
-        rest = s.write(rest, "unreached")
-        parts = [known]
-        if rest.limit(1).count():
-            into = self.edges.join(rest.withColumnRenamed("id", "child"), "child", "left_semi").select("parent", "child").persist()
-            tally = {"n": F.count(F.lit(1)), "sum": F.sum(F.xxhash64("id", "depth", "path").cast("decimal(38,0)"))}
-            best, was = s.write_counted(self._extend(known, into), "entry/0", **tally)
-            i = 0
-            while True:
-                i += 1
-                more = self._extend(best, into).unionByName(best).groupBy("id").agg(F.min(F.struct("depth", "path", "root")).alias("b")).select("id", "b.depth", "b.path", "b.root")
-                best, now = s.write_counted(more, f"entry/{i}", **tally)
-                if now == was:
-                    break
-                was = now
-            parts.append(rest.join(best, "id", "left").select("id", "depth", "path", "root", F.lit(None).cast("int").alias("longest")))
-        all_ = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return all_.join(self.cyclic, "id", "left").select("id", "path", "depth", "root", "longest", F.col("component").isNotNull().alias("on_cycle"), "component")
-
-    @staticmethod
-    def _extend(known: DataFrame, into: DataFrame) -> DataFrame:
-        k = known.select(F.col("id").alias("parent"), "depth", "path", "root")
-        met = into.join(k, "parent").filter(~F.array_contains("path", F.col("child")))
-        b = met.groupBy(F.col("child").alias("id")).agg(F.min(F.struct((F.col("depth") + 1).alias("depth"), F.concat("path", F.array("child")).alias("path"), "root")).alias("b"))
-        return b.select("id", "b.depth", "b.path", "b.root")
+        known = self._given(self.reached, "peel/state").filter("done").select("id", "val")
+        if self.n_left:
+            into = self.edges.join(self.left.withColumnRenamed("id", "child"), "child", "left_semi").select(F.col("parent").alias("src"), F.col("child").alias("dst"))
+            f = self._frontier("below", into, True, False)
+            met = f.run(self.reached.select("id", "val").join(f.degrees.select("id", "out"), "id"))
+            below = self._given(met, f.table).join(self._given(self.left, "left"), "id", "right").select("id", "val")
+            known = known.unionByName(below)
+        return known.join(self.cyclic, "id", "left").select("id", "val.path", "val.depth", "val.root", F.col("component").isNotNull().alias("on_cycle"), "component")
 
     def descendants(self) -> DataFrame:
         """(ancestor, descendant), distinct, between components; a node off every cycle is its own component.
 
         Members of one cycle are broader and narrower than each other; they are in tree().component and not
-        expanded into pairs. Each round joins the pairs with themselves, so the rounds grow as the logarithm
-        of the depth.
+        expanded into pairs. Round k joins the pairs whose shortest walk has exactly 2^k links with all pairs of at
+        most as many, so that in a tree every pair is derived once and the rounds grow as the logarithm of the depth.
         """
-        s = self.scratch
-        c = self.cyclic
-        e = self.edges.select("parent", "child")
+        s, c = self.scratch, self.loop.read.schema(self.cyclic.schema).parquet(self.scratch.path("cycles"))
+        e = self.edges
         for side in ("parent", "child"):
             m = c.select(F.col("id").alias(side), F.col("component").alias("_c"))
             e = e.join(m, side, "left").withColumn(side, F.coalesce("_c", side)).drop("_c")
-        pairs, got = s.write_counted(e.filter("parent <> child").select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant")).distinct(), "pairs/0", n=F.count(F.lit(1)))
-        n, i = got["n"], 0
-        while n:
-            i += 1
-            step = pairs.select("ancestor", F.col("descendant").alias("_m")).join(pairs.select(F.col("ancestor").alias("_m"), "descendant"), "_m").select("ancestor", "descendant")
-            was = n
-            pairs, got = s.write_counted(pairs.unionByName(step).distinct(), f"pairs/{i}", n=F.count(F.lit(1)))
-            n = got["n"]
-            s.drop(f"pairs/{i - 1}")
-            if n == was:
-                break
-        return pairs
-
-
-def concept_hierarchy(concepts: DataFrame, paths: bool = True) -> Hierarchy:
+        first = e.filter("parent <> child").select(F.col("parent").alias("ancestor"), F.col("child").alias("descendant"), F.lit(1).alias("links")).distinct()
+        pairs, n = s.write_counted(first, "pairs/round=0", n=F.count(F.lit(1)))
+        k, schema = 0, pairs.schema
+        while n["n"]:
+            # each round's new pairs are a table of their own, and the table of all is read over them
+            so_far = self.loop.read.schema(schema).parquet(s.path("pairs"))
+            far = pairs.filter(F.col("links") == 2**k).select("ancestor", F.col("descendant").alias("_m"))
+            new = far.join(so_far.select(F.col("ancestor").alias("_m"), "descendant", "links"), "_m").groupBy("ancestor", "descendant").agg((F.min("links") + 2**k).cast("int").alias("links"))
+            k += 1
+            pairs, n = s.write_counted(new.join(so_far.select("ancestor", "descendant"), ["ancestor", "descendant"], "left_anti"), f"pairs/round={k}", n=F.count(F.lit(1)))
+        return self.spark.read.schema(schema).parquet(s.path("pairs")).select("ancestor", "descendant")
+
+
+def concept_hierarchy(concepts: DataFrame) -> Hierarchy:
     nodes, edges = parent_edges(concepts)
-    return Hierarchy(concepts.sparkSession, nodes, edges, paths)
+    return Hierarchy(concepts.sparkSession, nodes, edges)

@@ -14,7 +14,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return concept_hierarchy(table(spark, d, "concepts"), paths=False).cyclic.select("id")
+    return concept_hierarchy(table(spark, d, "concepts")).cyclic.select("id")
 
 
 def p1_tree(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +23,7 @@ def p1_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return concept_hierarchy(table(spark, d, "concepts"), paths=False).descendants()
+    return concept_hierarchy(table(spark, d, "concepts")).descendants()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +78,16 @@ SQL = {
 comp AS (SELECT w.a AS id, min(w.b) AS component FROM walk w JOIN walk v ON v.a = w.b AND v.b = w.a GROUP BY 1)
 SELECT DISTINCT coalesce(c.component, w.a) AS ancestor, coalesce(d.component, w.b) AS descendant
 FROM walk w LEFT JOIN comp c ON c.id = w.a LEFT JOIN comp d ON d.id = w.b WHERE coalesce(c.component, w.a) <> coalesce(d.component, w.b)""",
+    # every way from a root that meets no node twice, of which the shortest and then least is taken
+    "p1_tree": _EDGES
+    + """, walk AS (SELECT parent AS a, child AS b FROM edges UNION SELECT w.a, e.child FROM walk w JOIN edges e ON e.parent = w.b),
+comp AS (SELECT a AS id, least(a, min(b)) AS component FROM (SELECT w.a, w.b FROM walk w JOIN walk v ON v.a = w.b AND v.b = w.a) GROUP BY 1),
+ways AS (
+  SELECT id, [id] AS way FROM rec WHERE deleted_at IS NULL AND id NOT IN (SELECT child FROM edges)
+  UNION ALL SELECT e.child, list_append(w.way, e.child) FROM ways w JOIN edges e ON e.parent = w.id WHERE NOT list_contains(w.way, e.child)),
+best AS (SELECT id, arg_min(way, (len(way), way)) AS way FROM ways GROUP BY id)
+SELECT r.id, array_to_string(way, '/') AS path, CAST(len(way) - 1 AS INT) AS depth, way[1] AS root, component IS NOT NULL AS on_cycle, component
+FROM (SELECT DISTINCT id FROM rec WHERE deleted_at IS NULL) r LEFT JOIN best USING (id) LEFT JOIN comp USING (id)""",
     "p2_found": _ORPHANS + "SELECT DISTINCT ref_table, ref_id, ref_field, ref_value, kind FROM judged WHERE kind IS NOT NULL",
     "p2_counts": _ORPHANS + "SELECT ref_table, strftime(ref_time, '%Y-%m') AS month, kind, count(*) AS n_orphans FROM judged WHERE kind IS NOT NULL GROUP BY ALL",
 }

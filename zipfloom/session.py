@@ -6,8 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
-from contextlib import contextmanager
 
+from py4j.protocol import Py4JError, Py4JNetworkError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 DEFAULTS = {
@@ -32,27 +32,25 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where the session names none."""
+    """The folder all executors share: spark.checkpoint.dir. A local session that names none gets one of its own; on a
+    cluster a folder of one machine would lose rows, so that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not os.environ.get("ZIPFLOOM_LOCAL_SHARED"):
         os.environ["ZIPFLOOM_LOCAL_SHARED"] = tempfile.mkdtemp(prefix="zipfloom-")
-    own = "file://" + os.environ["ZIPFLOOM_LOCAL_SHARED"]
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    return "file://" + os.environ["ZIPFLOOM_LOCAL_SHARED"]
 
 
-@contextmanager
-def static_plans(spark: SparkSession):
-    """Plans without runtime re-planning, for loops of many small jobs: re-planning starts a driver thread for
-    every exchange, and hundreds of them live at once in such a loop."""
-    before = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", before)
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session of the same context and settings, to change settings in without changing the caller's."""
+    child = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and spark.conf.isModifiable(k):
+            child.conf.set(k, v)
+    return child
 
 
 class Scratch:
@@ -65,7 +63,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop)
+        atexit.register(self._at_exit)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -80,10 +78,17 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def drop(self, name: str | None = None) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
+    def drop(self, *names: str) -> None:
+        """Deletes the named tables, or all of them."""
+        jvm = self.spark.sparkContext._jvm
+        if jvm is None:  # at exit, after the session was stopped
+            return
+        for name in names or ("",):
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
+
+    def _at_exit(self) -> None:
+        try:
+            self.drop()
+        except (Py4JError, Py4JNetworkError, ConnectionError, AttributeError):  # the JVM is gone, and on a local session its folder may be left
             pass
