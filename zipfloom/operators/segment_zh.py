@@ -113,7 +113,7 @@ class Words:
 def shipped_words(lexicon: DataFrame) -> Words:
     """The whole of lexicon (word, zipf), but words that segment() never looks up: those of over eight characters or
     with a character that is no CJK."""
-    usable = lexicon.filter(F.col("word").rlike(rf"^[{CJK}]{{1,{MOST}}}$")).select("word", "zipf").toArrow()
+    usable = lexicon.filter(F.col("word").rlike(rf"\A[{CJK}]{{1,{MOST}}}\z")).select("word", "zipf").toArrow()
     text = "\n".join(usable["word"].to_pylist())
     return Words(lexicon.sparkSession.sparkContext.broadcast((text, usable["zipf"].to_numpy())))
 

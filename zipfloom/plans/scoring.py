@@ -167,9 +167,9 @@ def guard_rewrites(spark, d):
 
 
 def _zh_lexicon(spark, d) -> DataFrame:
-    """(word, zipf) of all Chinese words of the corpus tables."""
+    """(word, zipf) of all Chinese words of the corpus tables, without the blanks around them."""
     f = table(spark, d, "domain_freq").filter("lang = 'zh' and word_count > 0 and word is not null")
-    n = f.groupBy(F.trim("word").alias("word")).agg(F.sum("word_count").alias("n"))
+    n = f.groupBy(F.regexp_replace("word", rf"\A[{T.WS}]+|[{T.WS}]+\z", "").alias("word")).agg(F.sum("word_count").alias("n"))
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select("word", S.corpus_zipf(F.col("n"), F.col("total")).alias("zipf"))
 
 

@@ -47,12 +47,60 @@ def _table(name: str, expr: str, where: str = "true") -> str:
 {name} AS (SELECT word, n, {ZIPF.format(n="n", total="(SELECT sum(n) FROM " + name + "_n)")} AS zipf FROM {name}_n)"""
 
 
-SCORED = f"""{TOKENS}, {_table("lex", "lower(token)")}, {_table("big", "concat_ws(' ', prev, token)", "prev IS NOT NULL")},
+# Chinese words by dynamic programming over units (a CJK character, a blank or mark, a run of others): each unit's best
+# sum is that of a word of up to eight units before it; the sums of the last eight units are carried on.
+UNIT_CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
+ZH_WORDS = rf"""zh_counts AS (SELECT regexp_replace(word, '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g') AS word, sum(word_count) AS n FROM domain_freq WHERE lang = 'zh' AND word_count > 0 AND word IS NOT NULL GROUP BY 1),
+zh_lex AS (SELECT word, greatest(0, least(10, log10(n / (SELECT sum(n) FROM zh_counts) * 1e9))) AS zipf FROM zh_counts)"""
+
+
+def _cut(texts: str) -> str:
+    """cut (doc_id, pos, token, prev) of the texts (doc_id, t)."""
+    return rf"""{ZH_WORDS},
+units AS MATERIALIZED (SELECT doc_id, regexp_extract_all(t, '[{UNIT_CJK}]|[{WS_RE2}[:punct:]]|[^{UNIT_CJK}{WS_RE2}[:punct:]]+') AS us FROM ({texts})),
+ends AS MATERIALIZED (SELECT doc_id, us, unnest(range(1, len(us) + 1)) AS j FROM units),
+spans AS MATERIALIZED (SELECT doc_id, j, k, array_to_string(us[j - k + 1:j], '') AS w FROM (SELECT *, unnest(range(1, least(j, 8) + 1)) AS k FROM ends)),
+usable AS (SELECT *, regexp_full_match(w, '[{UNIT_CJK}]+') AS cjk FROM spans WHERE k = 1 OR regexp_full_match(w, '[{UNIT_CJK}]+')),
+gains AS MATERIALIZED (
+  SELECT doc_id, j, list({{'k': k, 'cjk': cjk, 'own': NOT regexp_matches(w, '^[{WS_RE2}[:punct:]]$'),
+    'gain': CASE WHEN cjk THEN ln(greatest(coalesce(zipf, 3.5), 0.1)) * CASE k WHEN 1 THEN 0.3::DOUBLE WHEN 2 THEN 1.0 WHEN 3 THEN 1.1 ELSE 1.05 END ELSE 0.1 END}}) AS options
+  FROM usable LEFT JOIN zh_lex ON word = w GROUP BY ALL),
+sums AS (
+  SELECT doc_id, 0::BIGINT AS j, [0.0::DOUBLE] AS best, [false] AS paired, 0::BIGINT AS k FROM units
+  UNION ALL
+  SELECT doc_id, j, list_append(best, pick.s)[-8:], list_append(paired, pick.p)[-8:], pick.k FROM (
+    SELECT g.doc_id, g.j, best, paired, list_max(list_transform(options, lambda x: {{'s': best[len(best) - x.k + 1] + x.gain + CASE WHEN x.cjk AND paired[len(paired) - x.k + 1] THEN 0.4 * ln(3.5) ELSE 0 END, 'k': x.k, 'p': paired[len(paired) - x.k + 1] OR (x.own AND g.j > x.k)}})) AS pick
+    FROM sums s JOIN gains g ON g.doc_id = s.doc_id AND g.j = s.j + 1)),
+steps AS MATERIALIZED (SELECT doc_id, j, k FROM sums WHERE j > 0),
+marks AS (SELECT doc_id, len(us)::BIGINT AS j FROM units UNION ALL SELECT m.doc_id, m.j - s.k FROM marks m JOIN steps s ON s.doc_id = m.doc_id AND s.j = m.j),
+cut_words AS (SELECT s.doc_id, s.j, p.w AS token FROM marks m JOIN steps s ON s.doc_id = m.doc_id AND s.j = m.j JOIN spans p ON p.doc_id = s.doc_id AND p.j = s.j AND p.k = s.k WHERE NOT regexp_matches(p.w, '^[{WS_RE2}[:punct:]]$')),
+cut AS (SELECT doc_id, CAST(row_number() OVER v - 1 AS INT) AS pos, token, lag(token) OVER v AS prev FROM cut_words WINDOW v AS (PARTITION BY doc_id ORDER BY j))"""
+
+
+OWN = "SELECT doc_id, " + L1.replace("(t,", "(coalesce(t, ''),") + " AS lang FROM d"
+# the language of the first sentence of the batch that is not empty
+BATCH = f"""SELECT doc_id, CASE WHEN bitext_id IS NULL THEN lang ELSE coalesce(min({{'at': doc_id, 'lang': lang}}) FILTER (WHERE t <> '') OVER (PARTITION BY bitext_id), {{'at': 0, 'lang': 'en'}}).lang END AS lang FROM d JOIN ({OWN}) USING (doc_id)"""
+
+
+def _scored(lang: str) -> str:
+    """measures of each document in the language that lang (doc_id, lang) gives it."""
+    return f"""WITH RECURSIVE {TOKENS}, {_table("lex", "lower(token)")}, {_table("big", "concat_ws(' ', prev, token)", "prev IS NOT NULL")},
+doc_lang AS ({lang}),
+{_cut("SELECT doc_id, t FROM d JOIN doc_lang USING (doc_id) WHERE lang = 'zh' AND t IS NOT NULL")},
+zh_big_n AS (SELECT concat_ws(' ', prev, token) AS word, count(*) AS n FROM cut WHERE prev IS NOT NULL GROUP BY 1),
+zh_big AS (SELECT word, {ZIPF.format(n="n", total="(SELECT sum(n) FROM zh_big_n)")} AS zipf FROM zh_big_n),
+zh_chars AS (SELECT w, unnest(string_split(w, '')) AS c FROM (SELECT DISTINCT trim(token) AS w FROM cut)),
+zh_mean AS (SELECT w, exp(avg(ln(greatest(coalesce(zipf, 3.5), 0.01)))) AS z FROM zh_chars LEFT JOIN zh_lex ON word = c GROUP BY 1),
 scored AS (
-  SELECT doc_id, pos, token, prev, coalesce(lex.zipf, 4.0) AS raw, greatest(coalesce(lex.zipf, 4.0), 2.0) AS z, CASE WHEN prev IS NOT NULL THEN coalesce(big.zipf, 4.0) END AS bigram
-  FROM tokens LEFT JOIN lex ON lex.word = lower(token) LEFT JOIN big ON big.word = concat_ws(' ', prev, token) AND prev IS NOT NULL),
+  SELECT doc_id, pos, token, prev, 'en' AS lang, coalesce(lex.zipf, 4.0) AS raw, greatest(coalesce(lex.zipf, 4.0), 2.0) AS z, CASE WHEN prev IS NOT NULL THEN coalesce(big.zipf, 4.0) END AS bigram
+  FROM tokens JOIN doc_lang USING (doc_id) LEFT JOIN lex ON lex.word = lower(token) LEFT JOIN big ON big.word = concat_ws(' ', prev, token) AND prev IS NOT NULL WHERE lang = 'en'
+  UNION ALL
+  SELECT doc_id, pos, token, prev, 'zh', raw, greatest(raw, 1.75), bigram FROM (
+    SELECT doc_id, pos, token, prev, coalesce(l.zipf, CASE WHEN length(trim(token)) <= 1 THEN 3.5 END, m.z) AS raw, CASE WHEN prev IS NOT NULL THEN coalesce(b.zipf, 4.0) END AS bigram
+    FROM cut LEFT JOIN zh_lex l ON l.word = trim(token) LEFT JOIN zh_mean m ON m.w = trim(token) LEFT JOIN zh_big b ON b.word = concat_ws(' ', prev, token) AND prev IS NOT NULL)),
 weighed AS (
-  SELECT *, CASE WHEN length(token) <= 2 THEN 0.4 WHEN length(token) <= 4 THEN 0.7 WHEN length(token) <= 7 THEN 1.0 ELSE 1.2 END * CASE WHEN pos > 0 AND bigram > 5.0 THEN 1.3 ELSE 1.0 END AS w FROM scored),
+  SELECT *, CASE WHEN lang = 'zh' THEN CASE length(token) WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 WHEN 3 THEN 1.2 WHEN 4 THEN 1.3 ELSE 1.4 END
+    WHEN length(token) <= 2 THEN 0.4 WHEN length(token) <= 4 THEN 0.7 WHEN length(token) <= 7 THEN 1.0 ELSE 1.2 END * CASE WHEN pos > 0 AND bigram > 5.0 THEN 1.3 ELSE 1.0 END AS w FROM scored),
 m AS (
   SELECT doc_id, sum(z * w) / sum(w) AS score, avg(z) AS live_avg, avg(CASE WHEN prev IS NOT NULL THEN CASE WHEN bigram > 5.0 THEN 1.0 ELSE 0.0 END END) AS collocation, avg(length(token)) AS avg_word_length, count(*) AS n_tokens
   FROM weighed GROUP BY doc_id),
@@ -61,6 +109,9 @@ measures AS (
     coalesce(n_tokens, 0) AS n_tokens, 1 / (1 + sqrt(coalesce(n_tokens, 0) / 20.0) + sqrt(coalesce(avg_word_length, 0) / 5.0)) AS complexity
   FROM d LEFT JOIN m USING (doc_id))"""
 
+
+SCORED = _scored(OWN)
+
 DOMAIN = f"""c AS (SELECT coalesce(source, '') AS name, unnest(CASE WHEN lg = 'zh' THEN {K4} ELSE {K5} END) AS word FROM (SELECT *, {L1.replace("(t,", "(coalesce(t, ''),")} AS lg FROM d)),
 cn AS (SELECT name, word, count(*) AS n FROM c GROUP BY ALL),
 domain_table AS (SELECT name, word, n, {ZIPF.format(n="n", total="sum(n) OVER (PARTITION BY name)")} AS zipf FROM cn)"""
@@ -132,11 +183,11 @@ SQL = {
     "zipf_table": f"WITH {TOKENS}, {_table('x', 'token')} SELECT word, n AS count, zipf FROM x",
     "zipf_top_n": f"WITH {TOKENS}, {_table('x', 'token')} SELECT word, n AS count, zipf FROM x ORDER BY n DESC, word LIMIT 20",
     "domain_tables": f"WITH {DOCS}, {DOMAIN} SELECT name, word, n AS count, zipf FROM domain_table",
-    "token_scores": f"WITH {SCORED} SELECT doc_id, pos, token, z AS zipf FROM scored",
-    "sentence_measures": f"WITH {SCORED} SELECT *, 0.4 * score + 0.2 * collocation + 0.15 * complexity + 0.15 AS final_score FROM measures",
-    "lowest_tokens": f"WITH {SCORED}, u AS (SELECT doc_id, token, min(pos) AS pos, min(z) AS zipf FROM scored GROUP BY ALL) SELECT doc_id, token, zipf, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY zipf, pos) AS INT) AS rank FROM u QUALIFY rank <= 5",
-    "rank_sentences": f"WITH {SCORED} SELECT doc_id, bitext_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY bitext_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM d JOIN measures USING (doc_id)",
-    "hybrid_score": f"""WITH {SCORED}, {DOMAIN}, s AS (SELECT doc_id, raw, x.zipf AS dz FROM scored JOIN d USING (doc_id) LEFT JOIN domain_table x ON x.name = coalesce(d.source, '') AND x.word = token),
+    "token_scores": f"{SCORED} SELECT doc_id, pos, token, z AS zipf FROM scored",
+    "sentence_measures": f"{SCORED} SELECT *, 0.4 * score + 0.2 * collocation + 0.15 * complexity + 0.15 AS final_score FROM measures",
+    "lowest_tokens": f"{SCORED}, u AS (SELECT doc_id, token, min(pos) AS pos, min(z) AS zipf FROM scored GROUP BY ALL) SELECT doc_id, token, zipf, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY zipf, pos) AS INT) AS rank FROM u QUALIFY rank <= 5",
+    "rank_sentences": f"{_scored(BATCH)} SELECT doc_id, bitext_id, round(score, 9) AS score, CAST(row_number() OVER (PARTITION BY bitext_id ORDER BY round(score, 9) DESC, doc_id) AS INT) AS rank FROM d JOIN measures USING (doc_id)",
+    "hybrid_score": f"""{SCORED}, {DOMAIN}, s AS (SELECT doc_id, raw, x.zipf AS dz FROM scored JOIN d USING (doc_id) LEFT JOIN domain_table x ON x.name = coalesce(d.source, '') AND x.word = token),
 g AS (SELECT doc_id, exp(avg(ln(coalesce(0.6 * raw + 0.4 * dz, raw) + 1e-12))) AS h, count(*) AS n, count(dz) AS hit FROM s GROUP BY 1)
 SELECT doc_id, coalesce(h, 0) AS hybrid_score, coalesce(n, 0) AS token_count, coalesce(hit / greatest(n, 1), 0) AS domain_coverage FROM d LEFT JOIN g USING (doc_id)""",
     "domain_detect": DETECT,
@@ -144,6 +195,7 @@ SELECT doc_id, coalesce(h, 0) AS hybrid_score, coalesce(n, 0) AS token_count, co
     "substitution_verdicts": VERDICTS,
     "pos_tags": f"WITH {TOKENS}, u AS (SELECT DISTINCT token, lower(token) AS w FROM tokens) SELECT token, {TAG} AS en FROM u",
     "slots_en": SLOTS,
+    "segment_chinese": f"WITH RECURSIVE {_cut('SELECT doc_id, text AS t FROM documents WHERE ' + f"regexp_matches(text, '[{CJK_ZH}]')")} SELECT doc_id, pos, token FROM cut",
     "cosine_neighbours": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT a.vec_id AS query, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
 SELECT query, neighbour, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS INT) AS rank FROM s QUALIFY rank <= 10""",
     "history_newest": f"WITH {LATEST} SELECT id, ts_millis FROM h ORDER BY ts_millis DESC, id LIMIT 50",
