@@ -254,3 +254,19 @@ def test_ordinary_words_by_share(spark):
     few = spark.createDataFrame([(t,) for t in near], "text string")
     many = spark.createDataFrame([(t,) for t in near + ["Good day."] * 19_996], "text string")
     assert "moronn" in abuse.ordinary_words(few) and "moronn" not in abuse.ordinary_words(many)
+
+
+def test_abuse_on_unseen_wordings():
+    from .abuse_wordings import ABUSIVE, HARMLESS
+
+    sc = abuse.Scorer()
+    flags = lambda lines: [sc.text(x)[0] >= abuse.FLAG for x in lines.splitlines()]
+    hit = [f for lines in ABUSIVE.values() for f in flags(lines)]
+    assert sum(hit) >= 0.9 * len(hit)
+    assert sum(flags(HARMLESS)) <= 0.05 * len(HARMLESS.splitlines())
+
+
+def test_quotation_told_of_in_the_next_sentence():
+    sc = abuse.Scorer()
+    assert sc.text('"You are a filthy bastard." The court fined him for it.')[0] < abuse.FLAG
+    assert sc.text("You are a filthy bastard. The court fined him for it.")[0] >= abuse.FLAG

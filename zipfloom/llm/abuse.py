@@ -13,6 +13,7 @@ Null, empty and blank texts score 0. Every sentence of a text is read.
 from __future__ import annotations
 
 import unicodedata
+from typing import NamedTuple
 
 import pyarrow as pa
 import regex
@@ -23,9 +24,12 @@ from . import abuse_terms as T
 from . import segment as S
 
 FLAG = 0.6  # score from which a document counts as abusive
-TOLD = frozenset({"INSULT", "HARM", "HATE", "SEXUAL"})  # what is scored; the rest is its window
+KINDS = ("INSULT", "WEAK", "ADDRESS", "HARM", "HATE", "SEXUAL", "HALF", "REPORT", "SPEECH", "TOLD_OF", "HARMLESS", "EVERYDAY")
+TOLD = frozenset({"INSULT", "WEAK", "HARM", "HATE", "SEXUAL", "HALF"})  # what is scored; the rest is its window
 GAP = 3  # words between two words of a phrase
 CJK_GAP = 14  # characters for "…"
+REACH, CJK_REACH = 6, 16  # words, characters between an insult and what turns it against somebody
+LONG = 9  # letters from which a word may be two errors away
 NEAR, CLEAR = 0.7, 0.79  # likeness of a word one error away, if it may be a name, and if not
 RARE, SHARE = 3, 3e-4  # a word near a term is ordinary from this count and this share of the documents
 KEPT = 200_000  # words and sentences a worker remembers
@@ -41,44 +45,64 @@ _CJK_SEP = regex.compile(r"(?<=[\p{Han}\p{Hiragana}\p{Katakana}ー])[ \u3000·
 _QUOTE = regex.compile(r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」|『[^』]*』")
 
 
+_PART = regex.compile(r"[^'’]+")
+_TIGHT = regex.compile(r"[\s'’\-]*")  # between words of one run
+
+
 def fold(word: str) -> str:
     """Lower case without accents."""
     w = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", word).lower().replace("ß", "ss"))
     return unicodedata.normalize("NFC", "".join(c for c in w if not unicodedata.combining(c) or c in "゙゚"))
 
 
+def _spread(alt: str) -> list[str]:
+    """The words an alternative stands for: a class by its name, with what stands before it."""
+    before, at, name = alt.partition("@")
+    return [before + w for w in T.CLASSES[name].split()] if at else [alt]
+
+
 class Lexicon:
     """Phrases as rows of alternatives of word numbers, and the trie of the words."""
 
     def __init__(self):
         self.words: dict[str, int] = {}
         self.phrases: list[tuple[str, list[frozenset[int]]]] = []
-        self.cjk: list[tuple[str, list[str]]] = []
-        for kind in ("INSULT", "ADDRESS", "HARM", "HATE", "SEXUAL", "REPORT", "EVERYDAY"):
+        self.cjk: list[tuple[str, list[list[str]]]] = []
+        for kind in KINDS:
             for line in getattr(T, kind).strip().splitlines():
                 if S.CJK.search(line):
-                    self.cjk.append((kind, [fold(x) for x in line.split("…")]))
+                    self.cjk.append((kind, [[fold(x) for x in _spread(part)] for part in line.split("…")]))
                 else:
-                    self.phrases.append((kind, [frozenset(self._word(w) for w in slot.split("|")) for slot in line.split()]))
+                    self.phrases.append((kind, [frozenset(self._word(w) for alt in slot.split("|") for w in _spread(alt)) for slot in line.split()]))
         self.trie: dict = {}
         for w, i in self.words.items():
             node = self.trie
             for c in w.rstrip("-") if w.endswith("-") else w:
                 node = node.setdefault(c, {})
             node["prefix" if w.endswith("-") else "end"] = i
+        self.left: dict[int, tuple[int, int]] = {}  # by node: least and most letters to the end of a word
+        self._measure(self.trie)
         self.ctrie: dict = {}
         for k, (_, parts) in enumerate(self.cjk):
             for j, p in enumerate(parts):
-                node = self.ctrie
-                for c in p:
-                    node = node.setdefault(c, {})
-                node.setdefault("end", []).append((k, j, len(p)))
+                for word in p:
+                    node = self.ctrie
+                    for c in word:
+                        node = node.setdefault(c, {})
+                    node.setdefault("end", []).append((k, j, len(word)))
         self.by_first: dict[int, list[int]] = {}
         for n, (_, slots) in enumerate(self.phrases):
             for w in slots[0]:
                 self.by_first.setdefault(w, []).append(n)
         self.ordinary = set(T.ORDINARY.split())
 
+    def _measure(self, node: dict) -> tuple[int, int]:
+        below = [self._measure(x) for c, x in node.items() if c not in ("end", "prefix")]
+        ends = [(0, 0)] if "end" in node else []
+        got = ends + [(a + 1, b + 1) for a, b in below if b >= 0]
+        self.left[id(node)] = (min(a for a, _ in got), max(b for _, b in got)) if got else (0, -1)
+        return self.left[id(node)]
+
     def _word(self, w: str) -> int:
         w = fold(w[:-1]) + "-" if w.endswith("-") and len(w) > 1 else fold(w)
         return self.words.setdefault(w, len(self.words))
@@ -110,12 +134,16 @@ class Lexicon:
         for _ in range(errors):
             start.append((start[-1] | start[-1] << 1) & full)
         out: dict[int, float] = {}
+        left = self.left
         todo = [(self.trie, start, None, 0)]
         while todo:
             node, rows, swap, depth = todo.pop()
             for c, nxt in node.items():
                 if c == "end" or c == "prefix":
                     continue
+                least, most = left[id(nxt)]
+                if depth + 1 + least > m + errors or depth + 1 + most < m - errors:
+                    continue
                 hit = mask.get(c, 0) | wild
                 new = [(rows[0] & hit) << 1]
                 for e in range(1, errors + 1):
@@ -127,7 +155,7 @@ class Lexicon:
                     continue
                 if "end" in nxt and depth + 1 >= 3:
                     for e, r in enumerate(new):
-                        if r & accept and (e == 0 or depth + 1 >= 5):
+                        if r & accept and (e == 0 or depth + 1 >= (5 if e == 1 else LONG)):
                             out[nxt["end"]] = max(out.get(nxt["end"], 0), 0.95 if e == 0 else NEAR)
                             break
                 # letters that stand one place too early, to be met by the next step
@@ -135,6 +163,22 @@ class Lexicon:
         return out
 
 
+_OWNERS = frozenset("your dein deine deiner ton ta tes votre vos".split())  # of something named, not called so
+
+
+class Hit(NamedTuple):
+    """A phrase met: its place in words (characters in scripts without word spaces), and what is around it."""
+
+    kind: str
+    q: float
+    at: int
+    last: int
+    word: str
+    alone: bool  # set off by marks on both sides, as one calls somebody
+    closed: bool  # a mark follows
+    quoted: bool
+
+
 def plain_forms(word: str) -> list[str]:
     """What a word may be without its disguise, the word itself left out. Signs not used for a letter become
     '*', any letter."""
@@ -170,7 +214,8 @@ class Scorer:
         self.lex = Lexicon()
         self.lex.ordinary |= ordinary
         self.seen: dict[str, dict[int, float]] = {}
-        self.said: dict[str, tuple[float, str]] = {}
+        self.said: dict[str, tuple] = {}
+        self.known: dict[str, tuple[str, dict[int, float], dict[int, float]]] = {}
 
     def word(self, w: str) -> dict[int, float]:
         got = self.seen.get(w)
@@ -202,11 +247,12 @@ class Scorer:
         if not out:
             for x in [w, *forms]:
                 if len(x) >= 5 and x not in lex.ordinary and x.count("*") <= 1:
-                    for k, v in lex.near(x, 1).items():
+                    for k, v in lex.near(x, 2 if len(x) >= LONG else 1).items():
                         out[k] = max(out.get(k, 0), v)
         return out
 
-    def sentence(self, text: str) -> tuple[float, str]:
+    def sentence(self, text: str) -> tuple[tuple[tuple[str, float, bool, bool], ...], bool]:
+        """(findings (category, score, in quotation), whether others' words are told of), the same for the same text."""
         got = self.said.get(text)
         if got is None:
             if len(self.said) > KEPT:
@@ -214,50 +260,73 @@ class Scorer:
             got = self.said[text] = self._sentence(text)
         return got
 
-    def _sentence(self, text: str) -> tuple[float, str]:
+    def _sentence(self, text: str):
         t = _HIDDEN.sub("", unicodedata.normalize("NFKC", text))
         if S.CJK.search(t):
-            hits = self._cjk_hits(t)
+            hits, reach, t = self._cjk_hits(t), CJK_REACH, t
         else:
-            hits = self._word_hits(t)
-        return self._weigh(hits, t)
+            t = _SPACED.sub(lambda m: _JOINED_BY.sub("", m[0]), t)
+            hits, reach = self._word_hits(t), REACH
+        return self._weigh(hits, reach)
 
-    @staticmethod
-    def words(t: str) -> list[str]:
-        t = _SPACED.sub(lambda m: _JOINED_BY.sub("", m[0]), t)
-        words = [fold(w).strip("-") for w in _WORD.findall(t)]
-        return [w for w in words if w and any(c.isalnum() for c in w)]
+    def token(self, raw: str) -> tuple[str, dict[int, float], dict[int, float]]:
+        """(folded, likeness to words of the lexicon, the same if it is surely no name) of a word as written."""
+        got = self.known.get(raw)
+        if got is None:
+            if len(self.known) > KEPT:
+                self.known.clear()
+            w = fold(raw).strip("-")
+            if not any(c.isalnum() for c in w):
+                got = ("", {}, {})
+            else:
+                trimmed = w.rstrip("!|+'*") if not any(c.isalpha() for c in w[-1:]) else w
+                at = self.word(w) or (self.word(trimmed) if trimmed and trimmed != w else {})
+                sure = at
+                if trimmed.isalpha():
+                    plain = at if trimmed == w else self.word(trimmed)  # a stop read as a letter makes no clear word
+                    sure = {k: CLEAR if v == NEAR and k in plain else v for k, v in at.items()}
+                got = (w, at, sure)
+            self.known[raw] = got
+        return got
 
-    @staticmethod
-    def _names(t: str) -> set[str]:
-        """Folded words with a capital and small letters after the sentence's first word: names, also German nouns."""
-        raw = [w for w in _WORD.findall(t) if any(c.isalnum() for c in w)]
-        return {fold(w).strip("-") for w in raw[1:] if w[0].isupper() and not w.isupper()}
-
-    def _word_hits(self, t: str) -> list[tuple[str, float, int]]:
-        words = self.words(t)
-        names = self._names(t)
-        at: list[dict[int, float]] = []
-        for w in words:
-            trimmed = w.rstrip("!|+'*") if not any(c.isalpha() for c in w[-1:]) else w
-            at.append(self.word(w) or (self.word(trimmed) if trimmed and trimmed != w else {}))
-            if w not in names and trimmed.isalpha():
-                plain = at[-1] if trimmed == w else self.word(trimmed)  # a stop read as a letter makes no clear word
-                at[-1] = {k: CLEAR if v == NEAR and k in plain else v for k, v in at[-1].items()}
-        hits = []
-        lex = self.lex
+    def _pieces(self, t: str):
+        """(start, end, word); what an apostrophe joins is apart unless the lexicon has it joined."""
+        for m in _WORD.finditer(t):
+            raw, a = m[0], m.start()
+            if ("'" in raw or "’" in raw) and not self.lex.exact(fold(raw).replace("’", "'")):
+                for part in _PART.finditer(raw):
+                    yield a + part.start(), a + part.end(), part[0]
+            else:
+                yield a, m.end(), raw
+
+    def _word_hits(self, t: str) -> list[Hit]:
+        spans, at = [], []
+        first = True
+        for a, b, raw in self._pieces(t):
+            w, like, sure = self.token(raw)
+            if w:
+                name = not first and raw[0].isupper() and not raw.isupper()  # names, also German nouns
+                at.append(like if name else sure)
+                spans.append((a, b, w))
+                first = False
+        if not any(at):
+            return []
+        hits, lex = [], self.lex
+        quotes = [m.span() for m in _QUOTE.finditer(t)]
         for i, m in enumerate(at):
-            for k in m:
-                for n in lex.by_first.get(k, ()):
-                    kind, slots = lex.phrases[n]
-                    q = self._follow(at, i, slots)
-                    if q >= (NEAR if kind in TOLD else 0.8):
-                        hits.append((kind, q, i))
+            for n in {n for k in m for n in lex.by_first.get(k, ())}:
+                kind, slots = lex.phrases[n]
+                q, last = self._follow(at, i, slots)
+                if q >= (NEAR if kind in TOLD else 0.8):
+                    a, b = spans[i][0], spans[last][1]
+                    closed = last + 1 == len(at) or not _TIGHT.fullmatch(t[b : spans[last + 1][0]])
+                    alone = closed and (i == 0 or not _TIGHT.fullmatch(t[spans[i - 1][1] : a]))
+                    hits.append(Hit(kind, q, i, last, spans[i][2], alone, closed, any(x <= a and b <= y for x, y in quotes)))
         return hits
 
     @staticmethod
-    def _follow(at: list[dict[int, float]], i: int, slots: list[frozenset[int]]) -> float:
-        """The least likeness of a phrase's words from position i on, 0 where it is not there."""
+    def _follow(at: list[dict[int, float]], i: int, slots: list[frozenset[int]]) -> tuple[float, int]:
+        """(the least likeness of a phrase's words from position i on, 0 where it is not there; its last position)."""
         q = max((at[i][k] for k in slots[0] if k in at[i]), default=0.0)
         for slot in slots[1:]:
             for j in range(i + 1, min(len(at), i + 2 + GAP)):
@@ -266,8 +335,8 @@ class Scorer:
                     q, i = min(q, v), j
                     break
             else:
-                return 0.0
-        return q
+                return 0.0, i
+        return q, i
 
     @staticmethod
     def _chained(parts: list[dict[tuple[int, int], float]]) -> tuple[int, float] | None:
@@ -286,13 +355,16 @@ class Scorer:
         v, start = max(ways.values(), key=lambda x: (x[0], -x[1]))
         return start, v
 
-    def _cjk_hits(self, t: str) -> list[tuple[str, float, int]]:
-        hits: list[tuple[str, float, int]] = []
+    def _cjk_hits(self, t: str) -> list[Hit]:
+        hits: list[Hit] = []
+        root = self.lex.ctrie
         for s in dict.fromkeys((fold(_CJK_SEP.sub("", t)), fold(t))):
             found: dict[tuple[int, int], dict[tuple[int, int], float]] = {}  # (phrase, part) -> places, with likeness
-            for i in range(len(s)):
+            for i, c in enumerate(s):
+                if c not in root:
+                    continue
                 # states of the walk: node, position, masked letters; a mask is any one character
-                todo = [(self.lex.ctrie, i, 0)]
+                todo = [(root[c], i + 1, 0)]
                 while todo:
                     node, j, masks = todo.pop()
                     for k, part, n in node.get("end", ()):
@@ -302,53 +374,61 @@ class Scorer:
                             at[(i, j)] = max(at.get((i, j), 0.0), v)
                     if j >= len(s):
                         continue
-                    c = s[j]
-                    if c in node:
-                        todo.append((node[c], j + 1, masks))
-                    elif j > i and c in "*#○×●":
-                        todo += [(nxt, j + 1, masks + 1) for x, nxt in node.items() if x != "end"]
-            for k, (kind, parts) in enumerate(self.lex.cjk):
-                if (k, 0) in found:
-                    got = self._chained([found.get((k, p), {}) for p in range(len(parts))])
-                    if got:
-                        hits.append((kind, got[1], got[0]))
+                    x = s[j]
+                    if x in node:
+                        todo.append((node[x], j + 1, masks))
+                    elif x in "*#○×●":
+                        todo += [(nxt, j + 1, masks + 1) for y, nxt in node.items() if y != "end"]
+            quotes = [m.span() for m in _QUOTE.finditer(s)]
+            for k in sorted(k for k, part in found if part == 0):
+                kind, parts = self.lex.cjk[k]
+                got = self._chained([found.get((k, p), {}) for p in range(len(parts))])
+                if got:
+                    hits.append(Hit(kind, got[1], got[0], got[0], str(k), False, False, any(x < got[0] < y for x, y in quotes)))
         latin = S.CJK.sub(" ", t)
         if len(latin.split()) >= 4:
             hits += self._word_hits(latin)
         return hits
 
     @staticmethod
-    def _weigh(hits: list[tuple[str, float, int]], text: str) -> tuple[float, str]:
-        """Scores of the window. An insult counts in full only against somebody; report, prohibition and
-        everyday sense take off, except beside a threat to the reader."""
-        best: dict[str, float] = {}
-        n: dict[str, int] = {}
-        for kind, q, _ in hits:
-            best[kind] = max(best.get(kind, 0), q)
-        for kind in best:
-            n[kind] = len({i for k, _, i in hits if k == kind})
-        if not best.keys() & TOLD:
-            return 0.0, ""
-        report = 0.5 if "REPORT" in best else 0.0
-        if report and n["REPORT"] > 1:
-            report = 0.7
-        if report and _QUOTE.search(text):
-            report = 0.8
-        everyday = 0.5 if "EVERYDAY" in best else 0.0
-        if "INSULT" in best:
-            q = best["INSULT"]
-            insult = 0.5 * q + (0.3 if q >= CLEAR else 0.2) * min(2, n.get("ADDRESS", 0)) - report
-        else:
-            insult = 0.0
-        scores = {
-            "insult": insult,
-            "threat": 0.9 * best.get("HARM", 0) - report * ("ADDRESS" not in best),
-            "hate": 0.85 * best.get("HATE", 0) + 0.1 * (n.get("HATE", 0) > 1) - report - everyday,
-            "sexual": 0.8 * best.get("SEXUAL", 0) + 0.1 * (n.get("SEXUAL", 0) > 1) - report - everyday,
-        }
-        kind = max(scores, key=lambda k: (scores[k], k))
-        s = max(0.0, min(1.0, scores[kind]))
-        return s, kind if s else ""
+    def _weigh(hits: list[Hit], reach: int):
+        """Scores of each hit's window. An insult counts in full only against somebody: within reach of an address or
+        of contempt, or called out alone. Report, prohibition, fiction and everyday sense take off."""
+        kinds = {h.kind for h in hits}
+        told = bool(kinds & {"REPORT", "SPEECH", "TOLD_OF"})
+        if not kinds & TOLD:
+            return (), told
+        of = lambda kind: [h for h in hits if h.kind == kind]
+        reports = len({h.at for h in of("REPORT")})
+        report = (0.5 if reports == 1 else 0.7) if reports else 0.5 if "TOLD_OF" in kinds else 0.0
+        everyday, harmless = 0.5 * ("EVERYDAY" in kinds), 0.5 * ("HARMLESS" in kinds)
+        address = of("ADDRESS")
+        out = []
+        for h in hits:
+            # in a quotation, what stands around it tells whose words these are
+            off = 0.8 if h.quoted and told else report
+            if h.kind in ("INSULT", "WEAK"):
+                near = len({a.at for a in address if min(abs(a.at - h.last), abs(a.last - h.at), abs(a.at - h.at)) <= reach}) + h.alone
+                called = h.closed and any(0 < h.at - a.last <= 2 and a.word not in _OWNERS for a in address)
+                if h.kind == "WEAK" and not (h.alone and address or called):
+                    continue
+                out.append(("insult", 0.5 * h.q + (0.3 if h.q >= CLEAR else 0.2) * min(2, near) - off, h.quoted))
+            elif h.kind == "HARM":
+                out.append(("threat", 0.9 * h.q - off * (h.quoted or not address) - harmless, h.quoted))
+            elif h.kind == "HATE":
+                several = len({x.at for x in of("HATE")}) > 1
+                out.append(("hate", 0.85 * h.q + 0.1 * several - off - everyday, h.quoted))
+            elif h.kind == "SEXUAL":
+                several = len({x.at for x in hits if x.kind in ("SEXUAL", "HALF")}) > 1
+                out.append(("sexual", 0.8 * h.q + 0.1 * several - off - everyday, h.quoted))
+        halves = {h.word: h.q for h in of("HALF")}
+        if len(halves) > 1:
+            out.append(("sexual", 0.66 * min(halves.values()) - report - everyday, all(h.quoted for h in of("HALF"))))
+        best: dict[tuple[str, bool], float] = {}
+        for kind, v, quoted in out:
+            if v > 0:
+                best[kind, quoted] = max(best.get((kind, quoted), 0.0), min(1.0, v))
+        return tuple((kind, v, quoted) for (kind, quoted), v in best.items()), told
 
     def text(self, text: str | None) -> tuple[float, str]:
         best = (0.0, "")
@@ -359,11 +439,15 @@ class Scorer:
                 spans[-1] = (spans[-1][0], b)
             else:
                 spans.append((a, b))
-        for a, b in spans:
-            got = self.sentence(text[a:b].strip())
-            if got > best:
-                best = got
-        return best
+        got = [self.sentence(text[a:b].strip()) for a, b in spans]
+        for i, (found, told) in enumerate(got):
+            for kind, v, quoted in found:
+                # a quotation may be told of in the sentence before or after
+                if quoted and not told and any(got[j][1] for j in (i - 1, i + 1) if 0 <= j < len(got)):
+                    v = max(0.0, v - 0.6)
+                if (v, kind) > best:
+                    best = (v, kind)
+        return best if best[0] else (0.0, "")
 
 
 _SCORER: dict[frozenset[str], Scorer] = {}
@@ -377,34 +461,33 @@ def scorer(ordinary: frozenset[str] = frozenset()) -> Scorer:
     return _SCORER[ordinary]
 
 
+_SPARK_WORD = r"[\p{L}\p{N}\p{M}*#@$%!€|+'’\-]+"  # as _WORD
+
+
 def ordinary_words(documents: DataFrame) -> frozenset[str]:
-    """Words in plain letters one error from terms, commoner in all documents than those terms, of at least RARE
-    places and SHARE places a document. What is counted lies within one error of the lexicon, which bounds the
-    result."""
+    """Words in plain letters near terms, commoner in all documents than those terms, of at least RARE places and SHARE
+    places a document. Words are counted in the JVM and the automaton meets each distinct one once. What comes to the
+    driver are terms and words of SHARE places a document, of which there are no more than a document's mean number of
+    words over SHARE, however many documents there are."""
+    words = documents.select(F.explode(F.regexp_extract_all(documents["text"], F.lit(_SPARK_WORD), F.lit(0))).alias("w"))
+    # words of two characters and less are near no term
+    words = words.filter(F.length("w") > 2).groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
     def run(batches):
-        sc = scorer()
-        name = {i: w for w, i in sc.lex.words.items()}
-        near: dict[str, tuple[str, ...]] = {}
+        lex = scorer().lex
+        name = {i: w for w, i in lex.words.items()}
         for b in batches:
-            n: dict[tuple[str, str], int] = {}
-            for text in b.column("text").to_pylist():
-                if not text:
-                    continue
-                for w in _WORD.findall(text):
-                    w = fold(w).strip("-'’")
-                    got = near.get(w)
-                    if got is None:
-                        if len(near) > KEPT:
-                            near.clear()
-                        exact = sc.lex.exact(w)
-                        got = near[w] = tuple(name[k] for k in exact) if exact else tuple(name[k] for k in sc.lex.near(w, 1)) if len(w) >= 5 and w.isalpha() else ()
-                    for term in got:
-                        n[(w, term)] = n.get((w, term), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.string()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "term", "n"])
-
-    least = max(RARE, SHARE * documents.count())
-    counts = documents.select(documents["text"].alias("text")).mapInArrow(run, "word string, term string, n long").groupBy("word", "term").agg(F.sum("n").alias("n"))
+            rows = []
+            for w, n in zip(b.column("w").to_pylist(), b.column("n").to_pylist()):
+                w = fold(w).strip("-'’")
+                exact = lex.exact(w)
+                near = exact or (lex.near(w, 2 if len(w) >= LONG else 1) if len(w) >= 5 and w.isalpha() else {})
+                rows += [(w, name[k], n) for k in near]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["word", "term", "n"])
+
+    least = F.greatest(F.lit(float(RARE)), F.lit(SHARE) * F.col("documents"))
+    counts = words.mapInArrow(run, "word string, term string, n long").groupBy("word", "term").agg(F.sum("n").alias("n"))
+    counts = counts.crossJoin(F.broadcast(documents.agg(F.count(F.lit(1)).alias("documents"))))  # one row
     own: dict[str, int] = {}
     like: dict[str, tuple[int, list[str]]] = {}
     for r in counts.filter((F.col("n") >= least) | (F.col("word") == F.col("term"))).collect():
