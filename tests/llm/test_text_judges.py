@@ -270,3 +270,22 @@ def test_quotation_told_of_in_the_next_sentence():
     sc = abuse.Scorer()
     assert sc.text('"You are a filthy bastard." The court fined him for it.')[0] < abuse.FLAG
     assert sc.text("You are a filthy bastard. The court fined him for it.")[0] >= abuse.FLAG
+
+
+def test_scripts_without_a_model_have_segments(model):
+    segs = langid.judged(model, ["Сегодня хорошая погода. 오늘 날씨가 좋습니다. The mayor still checks the bridge."])[0]
+    assert [s[2] for s in segs] == ["und", "und", "en"] and segs[0][3] == 0.0
+    assert all(0 <= s[0] < s[1] for s in segs)
+
+
+def test_a_seventh_language_comes_from_its_labels():
+    ru = ["Мэр каждое утро проверяет состояние моста и сада.", "Никто не знает, когда будет готов отчёт.", "Напишите, пожалуйста, короткую записку о школе."] * 8
+    rng = random.Random(4)
+    rows = [("ru", t) for t in ru] + [(lang, sentence(rng, lang)) for lang in ("en", "de") for _ in range(40)]
+    m = langid.train(rows)
+    assert "ru" in m.langs and langid.main_language(langid.judged(m, ["Мэр не знает, когда будет готов мост."])[0]) == "ru"
+
+
+def test_kana_is_a_feature_of_the_model(model):
+    got = [langid.main_language(x) for x in langid.judged(model, ["市长每天早上检查花园的情况。", "市長は毎朝庭の様子を調べています。"])]
+    assert got == ["zh", "ja"] and (np.exp(model.kana).sum(axis=0) < 1.01).all()

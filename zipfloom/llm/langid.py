@@ -2,8 +2,10 @@
 
 Interpolated Kneser-Ney character models, one per language, kept as sorted hash arrays: for every n-gram that
 any language has seen, the row of all languages' log probabilities with the backing-off already done, so a
-position costs one binary search where its longest n-gram is known. The lowest length-normalised
-cross-entropy wins; segments worse than what held-out text of the winner shows are rejected ("und").
+position costs one binary search where its longest n-gram is known. To the log probabilities of the characters
+comes that of one feature of the clause, its use of kana, counted per language in the fitted text. The lowest
+length-normalised cross-entropy wins; segments worse than a limit calibrated on text of other sources, in the
+language and in languages without a model, are rejected ("und"). Segments of scripts no model is of are "und" too.
 """
 
 from __future__ import annotations
@@ -22,16 +24,28 @@ ORDER = 5
 SLICE_CHARS = 500_000
 SAMPLE = 2500  # labelled rows a language the models are fitted on, at most
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-SCRIPT = {"ja": "cjk", "zh": "cjk"}
+SCRIPT = {"ja": "cjk", "zh": "cjk"}  # of languages without text to count; the others by most of their labelled text
+KANA_WEIGHT = 3.0  # characters the use of kana counts for
 
-# Seeds so that a language without labelled rows has a model too.
+# Seeds so that a language without labelled rows has a model too, and everyday words are known; our own sentences.
 SEEDS = {
-    "de": "Das ist ein kurzer Text, der zeigt, wie die Sprache klingt. Wir haben gestern lange darüber gesprochen und sind uns nicht einig geworden. Bitte schreiben Sie mir, wenn Sie noch etwas brauchen. Die Kinder spielen im Garten, während ihre Eltern arbeiten. Was möchtest du heute machen?",
-    "en": "This is a short text that shows what the language sounds like. We talked about it for a long time yesterday and could not agree. Please write to me if you need anything else. The children play in the garden while their parents are working. What would you like to do today?",
-    "es": "Este es un texto corto que muestra cómo suena el idioma. Ayer hablamos mucho de ello y no nos pusimos de acuerdo. Por favor, escríbame si necesita algo más. Los niños juegan en el jardín mientras sus padres trabajan. ¿Qué te gustaría hacer hoy?",
-    "fr": "Ceci est un court texte qui montre comment sonne la langue. Nous en avons parlé longtemps hier et nous ne sommes pas tombés d'accord. Écrivez-moi si vous avez besoin d'autre chose. Les enfants jouent dans le jardin pendant que leurs parents travaillent. Que veux-tu faire aujourd'hui ?",
-    "ja": "これは言葉の響きを示す短い文章です。昨日は長い時間それについて話しましたが、意見は合いませんでした。ほかに必要なものがあれば書いてください。両親が働いている間、子供たちは庭で遊んでいます。今日は何をしたいですか。",
-    "zh": "这是一段短文，用来展示这种语言的样子。昨天我们谈了很久，但没有达成一致。如果您还需要什么，请写信给我。父母工作的时候，孩子们在花园里玩。你今天想做什么？",
+    "de": "Das ist ein kurzer Text, der zeigt, wie die Sprache klingt. Wir haben gestern lange darüber gesprochen und sind uns nicht einig geworden. Bitte schreiben Sie mir, wenn Sie noch etwas brauchen. Die Kinder spielen im Garten, während ihre Eltern arbeiten. Was möchtest du heute machen? Ich weiß nicht, ob er morgen wieder nach Hause kommt. Am Abend gehen wir oft noch eine Stunde durch den Wald. Sie hat ihre Schlüssel im Zug vergessen und musste auf ihren Bruder warten. Das Essen war gut, aber ein bisschen zu scharf für mich. Kannst du mir sagen, wann der nächste Bus fährt? Früher lebten hier viel mehr Menschen als jetzt. Man sollte nicht alles glauben, was in der Zeitung steht.",
+    "en": "This is a short text that shows what the language sounds like. We talked about it for a long time yesterday and could not agree. Please write to me if you need anything else. The children play in the garden while their parents are working. What would you like to do today? I do not know whether he will come home again tomorrow. In the evening we often walk through the woods for an hour. She left her keys on the train and had to wait for her brother. The food was good but a little too hot for me. Could you tell me when the next bus leaves? Many more people used to live here than now. You should not believe everything that is in the paper.",
+    "es": "Este es un texto corto que muestra cómo suena el idioma. Ayer hablamos mucho de ello y no nos pusimos de acuerdo. Por favor, escríbame si necesita algo más. Los niños juegan en el jardín mientras sus padres trabajan. ¿Qué te gustaría hacer hoy? No sé si mañana volverá a casa. Por la tarde solemos caminar una hora por el bosque. Ella olvidó las llaves en el tren y tuvo que esperar a su hermano. La comida estaba buena, pero un poco picante para mí. ¿Me puedes decir cuándo sale el próximo autobús? Antes vivía aquí mucha más gente que ahora. No hay que creer todo lo que dice el periódico.",
+    "fr": "Ceci est un court texte qui montre comment sonne la langue. Nous en avons parlé longtemps hier et nous ne sommes pas tombés d'accord. Écrivez-moi si vous avez besoin d'autre chose. Les enfants jouent dans le jardin pendant que leurs parents travaillent. Que veux-tu faire aujourd'hui ? Je ne sais pas s'il rentrera chez lui demain. Le soir, nous marchons souvent une heure dans la forêt. Elle a oublié ses clés dans le train et a dû attendre son frère. Le repas était bon, mais un peu trop épicé pour moi. Peux-tu me dire quand part le prochain bus ? Autrefois, beaucoup plus de gens vivaient ici. Il ne faut pas croire tout ce qui est écrit dans le journal.",
+    "ja": "これは言葉の響きを示す短い文章です。昨日は長い時間それについて話しましたが、意見は合いませんでした。ほかに必要なものがあれば書いてください。両親が働いている間、子供たちは庭で遊んでいます。今日は何をしたいですか。明日彼が家に帰ってくるかどうか分かりません。夜にはよく森の中を一時間ほど歩きます。彼女は電車に鍵を忘れて、兄を待たなければなりませんでした。料理はおいしかったけれど、私には少し辛すぎました。次のバスはいつ出るか教えてくれますか。昔はここにもっと多くの人が住んでいました。新聞に書いてあることを全部信じてはいけない。",
+    "zh": "这是一段短文，用来展示这种语言的样子。昨天我们谈了很久，但没有达成一致。如果您还需要什么，请写信给我。父母工作的时候，孩子们在花园里玩。你今天想做什么？我不知道他明天会不会回家。晚上我们常常在树林里走一个小时。她把钥匙忘在火车上，只好等她的哥哥。饭菜很好吃，不过对我来说有点辣。你能告诉我下一班公共汽车什么时候开吗？以前这里住的人比现在多得多。报纸上写的东西不能全信。",
+}
+# Sentences to calibrate the limit and the confidence on, in none of the fitted texts: of the languages with seeds, and
+# of languages nothing is fitted on.
+CALIBRATION = {
+    "de": "Das Wetter soll am Wochenende besser werden.|Mein Nachbar hat drei Katzen und einen alten Hund.|Wir treffen uns um acht vor dem Kino.|Gestern ist die Heizung ausgefallen, deshalb war es kalt.|Kinder unter sechs Jahren zahlen keinen Eintritt.|Der Arzt sagte, ich solle mehr Wasser trinken.|Leider haben wir die letzte Bahn verpasst.|Sie lernt seit zwei Jahren Geige.",
+    "en": "The weather should get better at the weekend.|My neighbour has three cats and an old dog.|We will meet at eight outside the cinema.|The heating broke down yesterday, so it was cold.|Children under six do not pay for entry.|The doctor told me to drink more water.|Unfortunately we missed the last train.|She has been learning the violin for two years.",
+    "es": "El tiempo mejorará el fin de semana.|Mi vecino tiene tres gatos y un perro viejo.|Nos vemos a las ocho delante del cine.|Ayer se estropeó la calefacción y hacía frío.|Los niños menores de seis años no pagan entrada.|El médico me dijo que bebiera más agua.|Por desgracia perdimos el último tren.|Ella aprende violín desde hace dos años.",
+    "fr": "Le temps devrait s'améliorer ce week-end.|Mon voisin a trois chats et un vieux chien.|On se retrouve à huit heures devant le cinéma.|Hier, le chauffage est tombé en panne, il faisait froid.|Les enfants de moins de six ans ne paient pas l'entrée.|Le médecin m'a dit de boire plus d'eau.|Malheureusement, nous avons raté le dernier train.|Elle apprend le violon depuis deux ans.",
+    "ja": "週末は天気が良くなるでしょう。|隣の人は猫を三匹と年取った犬を飼っています。|八時に映画館の前で会いましょう。|昨日は暖房が壊れたので寒かった。|六歳未満の子供は入場無料です。|医者にもっと水を飲むように言われた。|残念ながら終電に乗り遅れました。|国際会議開催予定。",
+    "zh": "周末天气应该会好一些。|我的邻居有三只猫和一条老狗。|我们八点在电影院门口见。|昨天暖气坏了，所以很冷。|六岁以下的儿童不用买票。|医生叫我多喝水。|可惜我们没赶上末班车。|她学小提琴已经两年了。",
+    "": "Il tempo dovrebbe migliorare nel fine settimana.|Il mio vicino ha tre gatti e un vecchio cane.|Het weer wordt dit weekend beter dan vorige week.|Mijn buurman heeft drie katten en een oude hond.|O tempo deve melhorar no fim de semana.|O meu vizinho tem três gatos e um cão velho.|Vädret ska bli bättre till helgen.|Min granne har tre katter och en gammal hund.|Pogoda powinna się poprawić w weekend.|Mój sąsiad ma trzy koty i starego psa.|Hava hafta sonu düzelecek gibi görünüyor.|Komşumun üç kedisi ve yaşlı bir köpeği var.|Sään pitäisi parantua viikonloppuna.|Naapurillani on kolme kissaa ja vanha koira.|Vremea ar trebui să se îmbunătățească la sfârșitul săptămânii.|Počasí by se mělo o víkendu zlepšit.",
 }
 
 
@@ -61,6 +75,8 @@ class Model:
 
     def __init__(self, langs, tables, contexts, floor):
         self.langs, self.tables, self.contexts, self.floor = langs, tables, contexts, floor
+        self.scripts = {lang: SCRIPT.get(lang, "latin") for lang in langs}
+        self.kana = np.zeros((3, len(langs)))  # log share of each use of kana among the clauses of each language
         self.limit = np.full(len(langs), np.inf)
         self.sharp = 1.0
 
@@ -108,13 +124,19 @@ class Model:
         count = np.bincount(own, minlength=len(texts)).astype(float)
         return out / np.maximum(count, 1)[:, None], count
 
+    def weighed(self, scripts: list[str], parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """scores() with the use of kana as one character more."""
+        mean, n = self.scores(parts)
+        if len(parts):
+            use = np.array([kana_use(p) if s == "cjk" else -1 for s, p in zip(scripts, parts)])
+            mean = np.where(use[:, None] >= 0, (mean * n[:, None] + KANA_WEIGHT * self.kana[np.maximum(use, 0)]) / (n[:, None] + 1), mean)
+        return mean, n
+
     def judge(self, scripts: list[str], parts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(language or 'und', confidence, lead over the runner-up a character) of each segment."""
-        mean, n = self.scores(parts)
-        for j, lang in enumerate(self.langs):
-            for i, s in enumerate(scripts):
-                if SCRIPT.get(lang, "latin") != s:
-                    mean[i, j] = -np.inf
+        mean, n = self.weighed(scripts, parts)
+        own = np.array([self.scripts[x] for x in self.langs])
+        mean = np.where(np.array(scripts, dtype=object)[:, None] == own[None, :], mean, -np.inf) if len(parts) else mean
         if not len(parts):
             return [], np.zeros(0), np.zeros(0)
         best = mean.argmax(axis=1)
@@ -125,8 +147,9 @@ class Model:
         conf = 1 / np.maximum(z.sum(axis=1), 1e-9)
         rest = mean.copy()
         rest[np.arange(len(parts)), best] = -np.inf
-        lead = np.where(np.isfinite(rest.max(axis=1)), top - rest.max(axis=1), 9.0)
-        ok = np.isfinite(top) & (-top <= self.limit[best])
+        with np.errstate(invalid="ignore"):
+            lead = np.where(np.isfinite(rest.max(axis=1)), top - rest.max(axis=1), 9.0)
+        ok = np.isfinite(top) & (misfit(top, lead) <= self.limit[best])
         return [self.langs[b] if o else "und" for b, o in zip(best, ok)], np.where(ok, conf, 0.0), lead
 
 
@@ -186,6 +209,18 @@ def contexts_floor(unigram_context: tuple) -> np.ndarray:
     return np.exp(unigram_context[1][0].astype(float))
 
 
+def misfit(top: np.ndarray, lead: np.ndarray) -> np.ndarray:
+    """What a limit is held against: the best cross-entropy, less its lead over the next language, if there is one."""
+    return -top - np.where(lead < 9.0, lead, 0.0)
+
+
+def kana_use(part: str) -> int:
+    """0 without kana, 2 where it begins or ends a clause as grammar does, else 1 (a name within another language)."""
+    if not S.KANA.search(part):
+        return 0
+    return 2 if S.HIRAGANA_END.search(part) or S.KANA.match(part) else 1
+
+
 def _segments(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     for a, b in S.sentences(text):
@@ -195,53 +230,90 @@ def _segments(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-def train(labelled: list[tuple[str, str]], langs: tuple = LANGS, rounds: int = 2) -> Model:
+def train(labelled: list[tuple[str, str]], langs: tuple | None = None, rounds: int = 2) -> Model:
     """labelled: (language, text). Labels may be wrong and texts mixed: after each round only the segments
-    that a model of the others gives the label's language are fitted on. A tenth is held out to calibrate."""
-    seeds = {lang: [p for _, _, s, p in _segments(SEEDS.get(lang, "")) if s == SCRIPT.get(lang, "latin")] for lang in langs}
-    fits = lambda lang, s, p: SCRIPT.get(lang, "latin") == s and (s != "cjk" or bool(S.KANA.search(p)) == (lang == "ja"))
-    segs = [(lang, s, p) for lang, text in labelled if lang in seeds for _, _, s, p in _segments(text) if fits(lang, s, p)]
+    that a model of the others gives the label's language are fitted on. A tenth is held out, which with the sentences of
+    CALIBRATION sets limits and confidence. Languages are those of the labels and of the seeds."""
+    langs = tuple(sorted(langs or set(SEEDS) | {lang for lang, _ in labelled}))
+    every = [(lang, s, p) for lang, text in labelled if lang in langs for _, _, s, p in _segments(text)]
+    seen: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
+    for lang, s, p in every:
+        seen[lang][s] += len(p)
+    script = {lang: SCRIPT.get(lang, "latin") if lang in SEEDS or not seen[lang] else max(sorted(seen[lang]), key=seen[lang].get) for lang in langs}
+    seeds = {lang: [p for _, _, s, p in _segments(SEEDS.get(lang, "")) if s == script[lang]] for lang in langs}
+    segs = [x for x in every if x[1] == script[x[0]]]
     held = segs[::10]
     used = [x for i, x in enumerate(segs) if i % 10]
+
+    def fitted(rows: list) -> Model:
+        by = {lang: list(v) for lang, v in seeds.items()}
+        for lang, _, p in rows:
+            by[lang].append(p)
+        m = fit(by)
+        m.scripts = script
+        for j, lang in enumerate(m.langs):
+            uses = np.bincount([kana_use(p) for p in by[lang]], minlength=3) + 1.0
+            m.kana[:, j] = np.log(uses / uses.sum())
+        return m
+
     # each half is cleaned by a model of the other, which cannot have learnt its wrong labels by heart
     for _ in range(rounds - 1):
         kept = []
         for k in (0, 1):
-            by = {lang: list(v) for lang, v in seeds.items()}
-            for lang, _, p in used[1 - k :: 2]:
-                by[lang].append(p)
             half = used[k::2]
-            got = fit(by).judge([s for _, s, _ in half], [p for _, _, p in half])[0]
+            got = fitted(used[1 - k :: 2]).judge([s for _, s, _ in half], [p for _, _, p in half])[0]
             kept += [x for x, g in zip(half, got) if x[0] == g]
         used = kept
-    by = {lang: list(v) for lang, v in seeds.items()}
-    for lang, _, p in used:
-        by[lang].append(p)
-    model = fit(by)
-    got, _, _ = model.judge([s for _, s, _ in held], [p for _, _, p in held])
-    mean, n = model.scores([p for _, _, p in held])
-    own = defaultdict(list)
-    for (lang, _, _), g, m in zip(held, got, mean):
-        if g == lang:
-            own[lang].append(-m[model.langs.index(lang)])
-    for j, lang in enumerate(model.langs):
-        if len(own[lang]) >= 20:
-            v = np.array(own[lang])
-            model.limit[j] = max(np.quantile(v, 0.99) + 1.0, v.mean() + 6 * v.std(), 6.0 if SCRIPT.get(lang) else 3.0)
-    # sharpness: the grid value of least negative log likelihood on held-out segments
+    model = fitted(used)
+    _calibrate(model, held)
+    return model
+
+
+def _fits(model: Model, rows: list[tuple[str, str, str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language before any rejection, lead, misfit) of (language, script, part) rows."""
+    limit, model.limit = model.limit, np.full(len(model.langs), np.inf)
+    got, _, lead = model.judge([s for _, s, _ in rows], [p for _, _, p in rows])
+    mean, _ = model.weighed([s for _, s, _ in rows], [p for _, _, p in rows])
+    model.limit = limit
+    top = np.array([m[model.langs.index(g)] if g in model.langs else -np.inf for g, m in zip(got, mean)])
+    return got, lead, misfit(top, lead)
+
+
+def _calibrate(model: Model, held: list[tuple[str, str, str]]) -> None:
+    """Limits and sharpness. The limit of a script's languages is that which errs least on the calibration sentences
+    (too high: others taken for one of them; too low: they are rejected), but not below nearly all of the held-out
+    ones; where no other language of the script is at hand, half as much again as the farthest."""
+    own = [(lang, *x[2:]) for lang, text in CALIBRATION.items() if lang in model.langs for t in text.split("|") for x in _segments(t)]
+    none = [("", *x[2:]) for t in CALIBRATION[""].split("|") for x in _segments(t)]
+    known = held + own
+    mean, n = model.weighed([s for _, s, _ in known], [p for _, _, p in known])
+    got, lead, far = _fits(model, known)
+    got2, _, far2 = _fits(model, own + none)
+    for script in set(model.scripts.values()):
+        right = np.array([f for (x, s, _), g, f in zip(known, got, far) if s == script and x == g])
+        if len(right) < 5:
+            continue
+        pairs = [(f, x == g) for (x, s, _), g, f in zip(own + none, got2, far2) if s == script]
+        if any(s == script for _, s, _ in none):
+            errors = lambda limit: sum((f <= limit) != ok for f, ok in pairs)  # noqa: E731, B023
+            limit = max(np.quantile(right, 0.995), min(sorted(f for f, _ in pairs), key=errors))
+        else:
+            limit = 1.5 * right.max()
+        for j, lang in enumerate(model.langs):
+            if model.scripts[lang] == script:
+                model.limit[j] = limit
+    # sharpness: the grid value of least negative log likelihood
     # (a label the model contradicts by a wide margin is taken for a wrong label)
-    lead = model.judge([s for _, s, _ in held], [p for _, _, p in held])[2]
-    truth = [(i, model.langs.index(lang)) for i, ((lang, _, _), g, m) in enumerate(zip(held, got, lead)) if g != "und" and (g == lang or m < 0.15)]
+    truth = [(i, model.langs.index(lang)) for i, ((lang, _, _), g, m) in enumerate(zip(known, got, lead)) if g == lang or m < 0.15]
     if truth:
         i, j = np.array(truth).T
-        best = None
+        value = None
         for b in (0.05, 0.1, 0.2, 0.4, 0.7, 1.0):
             x = mean[i] * (b * np.minimum(n[i], 60))[:, None]
             nll = float((np.log(np.exp(x - x.max(1, keepdims=True)).sum(1)) + x.max(1) - x[np.arange(len(i)), j]).mean())
-            if best is None or nll < best[0]:
-                best = (nll, b)
-        model.sharp = best[1]
-    return model
+            if value is None or nll < value[0]:
+                value = (nll, b)
+        model.sharp = value[1]
 
 
 def labelled_sample(rows: DataFrame, per_lang: int) -> list[tuple[str, str]]:
@@ -291,9 +363,6 @@ def judged(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, flo
     out: list[list] = [[] for _ in texts]
     doubt = []
     for i, (a, b, script, part), lang, c, m in zip(owner, flat, langs, conf, lead):
-        if script == "cjk":
-            known, m = _ja_or_zh(part, lang, m)
-            lang, c = known, max(c, 0.5) if known != "und" else c
         whole = S.is_sentence(script, part)
         if not whole and c < 0.7 and script == "latin":  # a scrap that could be any language's
             lang, c = "und", 0.0
@@ -309,9 +378,15 @@ def _by_head(model: Model, out: list[list], segs: list[tuple[int, int, str, str]
     in, or is in, is of that language."""
     langs = [{x[2] for x in entry} for entry in out]
     differs = [(i, k, s, p) for i, k, s, p in segs if len(langs[i] - {"und"}) > 1 or len(out[i]) > 1 and "und" in langs[i]]
+    cjk = []
     for i, k, s, p in differs:
-        if s == "cjk" and "zh" in langs[i] and out[i][k][2] != "zh" and not S.KANA.search(p[:4]) and not S.HIRAGANA_END.search(p):
-            out[i][k] = (*out[i][k][:2], "zh", 0.5, *out[i][k][4:])
+        if s == "cjk" and not S.KANA.search(p[:4]) and kana_use(p) == 1:
+            cjk.append((i, k, p))
+    # a name in kana inside a Chinese clause: the clause without it
+    bare = [(i, k, S.KANA.sub("", p)) for i, k, p in cjk]
+    for (i, k, _), g, c in zip(bare, *model.judge(["cjk"] * len(bare), [p for _, _, p in bare])[:2]):
+        if g in langs[i]:
+            out[i][k] = (*out[i][k][:2], g, float(c), *out[i][k][4:])
     latin = [(i, k, " ".join(p.split()[:4])) for i, k, s, p in differs if s == "latin"]
     got, conf, by = model.judge(["latin"] * len(latin), [h for _, _, h in latin])
     begins: dict[int, list[tuple[int, str]]] = defaultdict(list)
@@ -326,17 +401,6 @@ def _by_head(model: Model, out: list[list], segs: list[tuple[int, int, str, str]
         out[i][k] = (*out[i][k][:2], g, c, *out[i][k][4:])
 
 
-def _ja_or_zh(part: str, lang: str, lead: float) -> tuple[str, float]:
-    """What the script says before the models: Japanese clauses hold kana and end in hiragana; a Japanese
-    name inside a Chinese clause stands at its end and leaves the clause's own first characters Chinese."""
-    kana = len(S.KANA.findall(part))
-    if not kana:
-        return ("zh", max(lead, 1.0)) if S.is_sentence("cjk", part) else (lang, lead)
-    if S.HIRAGANA_END.search(part) or S.KANA.match(part):
-        return "ja", max(lead, 1.0)
-    return lang, lead
-
-
 def whole_languages(segs: list[tuple]) -> dict[str, int]:
     """Letters by language over the whole sentences of an entry. A sentence of a language that holds less
     than the leading one must be clearly its own to count."""
@@ -364,7 +428,7 @@ def main_language(segs: list[tuple]) -> str | None:
 
 def identify(rows: DataFrame, model: Model, out: str) -> DataFrame:
     """out: 'segments' (id, seg_no, seg_start, seg_end, lang, confidence) or 'entries' (id, code, main_lang,
-    confidence, langs). rows: id, original, code. Null or blank originals give no row; a segment that fits
+    confidence, langs). rows: id, original, code; main_lang is und where no segment fits, null without letters. Null or blank originals give no row; a segment that fits
     no model has lang 'und' and confidence 0; offsets count code points."""
     shipped = rows.sparkSession.sparkContext.broadcast(model)  # arrays bounded by the fitting sample
 
@@ -382,6 +446,7 @@ def identify(rows: DataFrame, model: Model, out: str) -> DataFrame:
                     main = main_language(segs)
                     own = [(s[3], s[5]) for s in segs if s[2] == main]
                     conf = sum(c * n for c, n in own) / max(1, sum(s[5] for s in segs)) if own else 0.0
+                    main = main or ("und" if segs else None)
                     recs.append((i, code, main, conf, sorted(whole_languages(segs))))
                 yield pd.DataFrame(recs, columns=["id", "code", "main_lang", "confidence", "langs"])
 
@@ -393,6 +458,7 @@ def identify(rows: DataFrame, model: Model, out: str) -> DataFrame:
 def findings(entries: DataFrame) -> DataFrame:
     """(id, kind, lang): mixed entries, one row a language; else missing or wrong labels."""
     one = lambda kind, lang: F.struct(kind.alias("kind"), lang.alias("lang"))
-    single = F.when(F.col("code").isNull(), "missing").when(F.col("code") != F.col("main_lang"), "wrong")
+    # a text of no language a model knows lacks a label, but its label may be right
+    single = F.when(F.col("code").isNull(), "missing").when((F.col("code") != F.col("main_lang")) & (F.col("main_lang") != "und"), "wrong")
     all_ = F.when(F.size("langs") >= 2, F.transform("langs", lambda x: one(F.lit("mixed"), x))).when(F.col("main_lang").isNotNull(), F.array(one(single, F.col("main_lang"))))
     return entries.select("id", F.explode(all_).alias("f")).select("id", "f.kind", "f.lang").filter("kind is not null")

@@ -14,6 +14,9 @@ _ZERO_WIDTH = regex.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]")
 KANA = regex.compile(r"[\p{Hiragana}\p{Katakana}]")
 HIRAGANA_END = regex.compile(r"\p{Hiragana}\P{L}*$")
+# letters of the other scripts; what is of none of them is one class more
+OTHERS = {name: regex.compile(rf"[\p{{{name}}}\p{{M}}]+") for name in ("Cyrillic", "Greek", "Hangul", "Arabic", "Hebrew", "Thai", "Devanagari")}
+_REST = regex.compile(r"[[\p{L}\p{M}]--[\p{Latin}\p{Han}\p{Hiragana}\p{Katakana}]]+", regex.V1)
 LATIN_WORD = regex.compile(r"[\p{Latin}\p{M}'’]+")
 
 
@@ -37,7 +40,7 @@ def wording(sentence: str) -> str:
 
 
 def frame(words: str) -> tuple[str, str]:
-    """('cjk' | 'latin' | '', the part in that script): the script of the clause itself.
+    """('cjk' | 'latin' | another script's name | '', the part in that script): the script of the clause itself.
 
     A foreign term may be longer than the clause that names it, so where the Latin letters outweigh the
     others, the script the clause begins in decides.
@@ -45,6 +48,13 @@ def frame(words: str) -> tuple[str, str]:
     cjk = CJK.findall(words)
     latin = LATIN_WORD.findall(words)
     n = sum(map(len, latin))
+    rest = _REST.findall(words)
+    if sum(map(len, rest)) > len(cjk) + n:
+        for name, r in OTHERS.items():
+            part = r.findall(words)
+            if 2 * sum(map(len, part)) >= sum(map(len, rest)):
+                return name.lower(), " ".join(part)
+        return "other", " ".join(rest)
     if not cjk and not n:
         return "", ""
     first = 0
