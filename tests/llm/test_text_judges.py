@@ -289,3 +289,29 @@ def test_a_seventh_language_comes_from_its_labels():
 def test_kana_is_a_feature_of_the_model(model):
     got = [langid.main_language(x) for x in langid.judged(model, ["市长每天早上检查花园的情况。", "市長は毎朝庭の様子を調べています。"])]
     assert got == ["zh", "ja"] and (np.exp(model.kana).sum(axis=0) < 1.01).all()
+
+
+def test_refusals_of_unseen_wordings():
+    from .refusal_wordings import ANSWERS, REFUSALS
+
+    hit = [pairs.refuses(x, "Write a poem about bridges.") for x in REFUSALS.splitlines()]
+    assert sum(hit) >= 0.9 * len(hit)
+    assert not any(pairs.refuses(x, "Please say something about the town.") for x in ANSWERS.splitlines())
+    # a rewrite that keeps the prompt is none, whatever it says
+    prompt = "I cannot help my neighbour with the old bridge and the garden fence today."
+    assert not pairs.refuses("Well: I cannot help my neighbour with the old bridge or the garden fence today.", prompt)
+
+
+def test_pushdown_parser():
+    is_open = lambda t: bool(pairs.open_at_end(t)) or pairs.cut_mark(t)
+    for t in ("<ul><li>one</li><li>two", "A word in *emph", "1. one\n2. two\n3.", "# Title\n##", "text <div", "say (this", "**bold", "a `code", "```\nx", "„so", "x\n- one\n-"):
+        assert is_open(t), t
+    for t in ("<ul><li>one<li>two</ul>", "*emph* and _more_", "1. one\n2. two", "a * b * c", "snake_case_name", "<name> writes <br> here", "*open\n\nnext paragraph", ":-) done", "2*3", "{x} [y] (z)"):
+        assert not is_open(t), t
+
+
+def test_copies_behind_long_lead_ins():
+    original = "Please write a short note about the bridge and why it matters to the town."
+    lead = "After thinking about what you asked for and reading it several times I would like to offer you the following improved version"
+    assert pairs.is_copy(original, f"{lead}: {original}") and pairs.is_copy(original, f"My version of it - {original}") and pairs.is_copy(original, f"{lead}:\n1. {original}\n2. {original}")
+    assert not pairs.is_copy(original, f"{original} Add where it was built.") and not pairs.is_copy(original, f"The bridge is old. It is long. {original}")

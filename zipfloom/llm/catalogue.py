@@ -34,8 +34,9 @@ def p4_entries(spark: SparkSession, d: str) -> DataFrame:
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     entries, model = _labelled_history(spark, d)
     entries = Scratch(spark, "pairs").write(entries.select("id", "original", "optimized"), "entries")
-    first = Scratch(spark, "pairs").write(pairs.first_pass(entries, model), "first")
-    return pairs.settle(first, pairs.sentence_ends(entries))
+    s = Scratch(spark, "judged")
+    first = s.write(pairs.first_pass(entries, model), "first")
+    return pairs.settle(first, s.write(pairs.sentence_ends(entries), "ends"))
 
 
 def p5_terms(spark: SparkSession, d: str) -> DataFrame:

@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import refusal
 from . import segment as S
 from .langid import Model, judged, main_language, whole_languages
 
@@ -41,36 +42,9 @@ _LEAD = regex.compile(rf"^\W{{0,4}}{_ANNOUNCE}[^\n:：。]{{0,60}}(?:[:：]|\n|\
 _LEAD_ALONE = regex.compile(r"^\W{0,4}(?:here (?:is|are)|here's|sure|certainly|hier ist|gerne|voici|aquí está|好的|以下是|はい)\b[^\n.。!?]{0,60}\W*$", regex.I)
 _HERE_YOU_GO = regex.compile(r"^\W{0,4}(?:here you (?:go|are)|sure thing|bitte sehr|voilà|aquí tienes|どうぞ|请看|如下)\W{0,4}", regex.I)
 
-_REFUSAL = [
-    # en: I + inability or unwillingness, or the task as subject
-    r"\bI(?:'m| am)? (?:really |truly |afraid |sorry,? |but |so |that |I )*(?:can ?not|can't|could not|couldn't|will not|won't|am (?:not able|unable|not allowed|not permitted)|'?m (?:not able|unable|not allowed|not permitted)|not able|unable|not allowed|must (?:decline|refuse)|have to (?:decline|refuse)|would (?:rather|prefer) not|do not feel comfortable|don't feel comfortable|decline|refuse|must pass)\b(?! to (?:see|find|tell) )",
-    r"\b(?:this|that|it|the (?:request|prompt|text|content|topic))\b[^.]{0,30}\b(?:falls outside|is outside|is beyond|goes beyond|goes against|violates?|conflicts? with|would not be appropriate|is not (?:something I|possible for me|appropriate)|cannot be (?:processed|answered|rewritten))",
-    r"\bno (?:rewrite|rewriting|answer|version|response|help)\b[^.]{0,60}\b(?:can|could|will) be (?:provided|given|offered)",
-    r"\b(?:against|conflict with|violat\w+) (?:our|my|the) (?:guidelines|policy|policies|rules)",
-    # de
-    r"\b(?:ich|wir)\b[^.]{0,40}\b(?:kann|könnte|darf|möchte|werde|können|dürfen)\b[^.]{0,40}\b(?:nicht|keine)\b[^.]{0,40}\b(?:helfen|beantworten|umformulieren|umschreiben|bearbeiten|schreiben|erfüllen|nachkommen|unterstützen|geben|antworten)",
-    r"\b(?:kann|darf|möchte|werde) ich\b[^.]{0,40}\b(?:nicht|keine)\b[^.]{0,40}\b(?:helfen|beantworten|umformulieren|umschreiben|bearbeiten|schreiben|erfüllen|nachkommen|unterstützen|geben|antworten)",
-    r"\b(?:muss|möchte) ich\b[^.]{0,40}\bablehnen|\b(?:gebe|erteile) ich\b[^.]{0,20}\bkeine\b|\bich\b[^.]{0,50}\b(?:lehne|ablehnen|verweigere)",
-    r"(?:diese[rsn]?|dies|das)\b[^.]{0,30}\b(?:anfrage|bitte|text|thema|aufgabe|inhalt)?[^.]{0,20}\b(?:ist mir nicht möglich|liegt außerhalb|übersteigt|verstößt gegen|entspricht nicht (?:den|unseren))|\bist es mir nicht möglich|\bmir (?:leider )?nicht möglich",
-    # fr
-    r"\bje (?:ne )?(?:peux|puis|suis|saurais|souhaite|veux|pourrai)\b[^.]{0,12}\b(?:pas|malheureusement pas)\b[^.]{0,50}\b(?:répondre|aider|reformuler|traiter|réécrire|écrire|en mesure|autorisée?|donner|satisfaire|accéder|faire)",
-    r"\bje (?:dois|préfère|souhaite|me vois)\b[^.]{0,30}\b(?:refuser|décliner|ne pas|m'abstenir|contrainte? de refuser)|\bje refuse\b",
-    r"\bil m'est (?:malheureusement )?impossible|\b(?:cela|ceci|cette demande|ce texte|ce contenu|ce sujet)\b[^.]{0,40}\b(?:dépasse|sort du cadre|n'est pas conforme|enfreint|est contraire|ne (?:peut|sera) (?:pas )?être)",
-    # es
-    r"\b(?:no puedo|no podré|no podría|no me es posible|me es imposible|me resulta imposible|no estoy en condiciones|no estoy autorizad[oa]|no tengo permitido|no me está permitido)\b",
-    r"\b(?:debo|tengo que|prefiero|quisiera)\b[^.]{0,20}\b(?:rechazar|declinar|negarme|no (?:escribir|responder|contestar|tratar|hablar|opinar|reformular))",
-    r"\b(?:esto|esta (?:solicitud|petición)|este (?:texto|contenido|tema))\b[^.]{0,40}\b(?:excede|está fuera|queda fuera|va en contra|infringe|incumple|no cumple)",
-    # zh
-    r"我[^。，]{0,6}(?:无法|不能|没法|没办法|不可以|不会|拒绝|必须拒绝|只能拒绝|不便|不方便|不愿|恕难)[^。]{0,12}(?:完成|改写|回答|处理|提供|帮|协助|满足|撰写|重写|优化|继续|讨论|请求|这)?",
-    r"超出[^。]{0,8}(?:能力|范围|权限)|(?:不予|无法予以|无法|不能|恕不|恕难)(?:改写|回答|提供|处理|从命|协助)|不符合[^。]{0,10}(?:规范|政策|准则|规定)[^。]{0,8}(?:不予|无法|不能)|(?:内容|问题|话题|请求)我?(?:不便|无法|不能)(?:回答|处理|改写|提供)",
-    # ja
-    r"(?:ご依頼|依頼|リクエスト|ご要望|件|文章|内容|質問|要求|お手伝い|書き換え|対応|回答|お答え|お応え|ご対応|話題|テーマ)[^。]{0,14}(?:できません|できかねます|いたしかねます|しかねます|お断り|控えさせて|応じられません|承れません|差し控え|お応えできない|ことはできません)",
-    r"(?:お断り(?:いたします|します|させて)|遠慮させていただきます|回答を控え|お力になれません|お手伝いできません)",
-]
-_REFUSES = [regex.compile(p, regex.I) for p in _REFUSAL]
 # Words that make a sentence an order to write such a thing, not the thing itself.
 _ORDERS = regex.compile(
-    r"\b(?:write|compose|draft|formulate|find|make|tell|say that|explain|give|put|set|show|cut|sum)\b[^.]{0,30}\b(?:letter|note|email|mail|reply|response|excuse|words|apology|message|that says|than)\b|\b(?:schreib\w*|entwirf|formulier\w*|such\w*|verfass\w*)\b|\b(?:écris|écrivez|rédige\w*|ébauche\w*|formule\w*|cherche\w*|trouve\w*)\b|\b(?:escrib[ea]|redact[ea]|elabor[ea]|formul[ea]|busc[ao]|busque)\b|写一|撰写|起草|拟一|写张|找.{0,8}说法|書いてください|作成して|起草して|考案して|探してください|言い方",
+    r"\b(?:write|compose|draft|formulate|find|make|tell|say that|explain|give|put|set|show|cut|sum)\b[^.]{0,30}\b(?:letter|note|email|mail|reply|response|excuse|words|apology|message|that says|than)\b|\b(?:schreib\w*(?! ich\b)|entwirf|formulier\w*|such\w*|verfass\w*)\b|\b(?:écris|écrivez|rédige\w*|ébauche\w*|formule\w*|cherche\w*|trouve\w*)\b|\b(?:escrib[ea]|redact[ea]|elabor[ea]|formul[ea]|busc[ao]|busque)\b|写一|撰写|起草|拟一|写张|找.{0,8}说法|書いてください|作成して|起草して|考案して|探してください|言い方",
     regex.I,
 )
 
@@ -85,6 +59,7 @@ _DANGLING |= {w.replace("ü", "ue") for w in _DANGLING}  # tokens spell umlauts
 _DANGLING_CJK = ("的", "和", "与", "及", "在", "把", "被", "对", "向", "给", "为", "从", "但", "而", "或", "以", "将", "是", "不", "最", "让", "はの", "の", "を", "が", "に", "は", "へ", "と", "で", "や", "も", "から", "より", "および", "または", "な", "し", "て")
 _OPEN_END = tuple(",;:，、；：-–—([{（【「『《“„«‘<…/&+=·") + ("...", "..")
 _PAIRS = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "」": "「", "』": "『", "》": "《", "”": "“", "»": "«"}
+KEPT = 0.5  # share of a prompt's tokens from which a rewrite is one, whatever it says beside
 _FINAL = regex.compile(r"[.!?。！？｡][\"'”“’»」』)）\]】*_`]*$")
 
 # ---- normal forms ---------------------------------------------------------------------------------
@@ -128,19 +103,32 @@ def says_nothing(text: str | None) -> bool:
 
 
 def refuses(text: str, original: str = "") -> bool:
-    """A sentence outside quotations, and not the prompt's own, declines the task and does not order a text
-    that declines something."""
-    t = S._QUOTED.sub(" ", unicodedata.normalize("NFKC", text).replace("\u2019", "'"))
-    own = None
+    """A sentence outside quotations, and not the prompt's own, declines the task and does not order a text that declines
+    something; and the text does not otherwise keep the prompt, as a rewrite does."""
+    t = unicodedata.normalize("NFKC", text).replace("\u2019", "'")
+    if not refusal.has_sign(t):
+        return False
+    t = S._QUOTED.sub(" ", t)
+    own = kept = None
     for a, b in S.sentences(t):
         s = t[a:b].strip()
-        if any(r.search(s) for r in _REFUSES) and not _ORDERS.search(s) and not regex.search(r"\{\w|\[[A-Z]|\$[A-Z]", s):
+        if refusal.has_sign(s) and not _ORDERS.search(s) and not regex.search(r"\{\w|\[[A-Z]|\$[A-Z]", s) and refusal.declines(s):
             own = squeeze(original) if own is None else own
-            if squeeze(s) not in own:
+            if squeeze(s) in own:
+                continue
+            if kept is None:
+                kept = _kept(original, text)
+            if kept < KEPT:
                 return True
     return False
 
 
+def _kept(original: str, rewrite: str) -> float:
+    """Share of the prompt's tokens that tiles of the rewrite cover."""
+    a, b = tokens(original), tokens(rewrite)
+    return sum(k for _, _, k in tiles(a, b, 2)) / len(a) if a else 0.0
+
+
 def tiles(a: list[str], b: list[str], least: int = 3) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in a, start in b, length) of maximal common runs, longest first, each
     token used once; ties go to the earliest."""
@@ -174,18 +162,24 @@ def tiles(a: list[str], b: list[str], least: int = 3) -> list[tuple[int, int, in
 
 # list and heading marks at the start of a line, inside any wrapping
 _MARK = regex.compile(r"^[ \t\"'“„«‘*_`#>+•·‣▪◦–—-]*[(（]?(?:\d{1,3}[.)、）](?!\d)|[A-Za-z][.)）](?=\s)|[一二三四五六七八九十]{1,3}、)", regex.M)
-_PIECE = regex.compile(r"[^\n]{1,60}?(?:[:：]|\n|\s[-–—])[^\p{L}\p{N}]*")  # a lead-in of unknown wording
+# a lead-in of unknown wording: one sentence, of any length, that ends as lead-ins do
+_PIECE = regex.compile(r"[^\n.!?。！？]+(?:[:：]|\n|\s[-–—])[^\p{L}\p{N}]*")
 
 
 def covered(original: str, rewrite: str) -> bool:
     """Tiles of the rewrite are the whole original, once or repeated, in its order. Uncovered are list marks and a
-    short piece at the very start, that ends as lead-ins do, at most."""
+    lead-in at the very start at most."""
+    a = squeeze(original)
+    have = Counter(squeeze(rewrite))
+    if any(have[x] < n for x, n in Counter(a).items()):
+        return False  # some of the original's letters are not there
     t = regex.sub(r"[①-⑳]", lambda m: f"{ord(m[0]) - 0x245F}. ", rewrite)
     t = unicodedata.normalize("NFKC", t)
     letters = [(i, x) for i, c in enumerate(t) if not _ALNUM.match(c) for x in c.casefold()]
-    a, b = squeeze(original), [x for _, x in letters]
+    b = [x for _, x in letters]
     marks = {i for m in _MARK.finditer(t) for i in range(*m.span())}
-    spare = 60 + sum(i in marks for i, _ in letters)
+    lead = _PIECE.match(t)
+    spare = (sum(i < lead.end() for i, _ in letters) if lead else 0) + sum(i in marks for i, _ in letters)
     have = Counter(b)
     for times in range(len(b) // len(a), 0, -1):
         if len(b) - times * len(a) > spare:
@@ -219,12 +213,32 @@ def is_copy(original: str, rewrite: str) -> bool:
     return covered(original, rewrite) or (rest != rewrite.strip() and covered(original, rest))
 
 
+# elements whose end tag may not be left out
+_ELEMENTS = frozenset("ul ol div span b i u em strong table code pre a h1 h2 h3 h4 h5 h6 blockquote section article dl details summary sup sub".split())
+_TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*)?(/?)>")
+_CUT_TAG = regex.compile(r"</?(?:" + "|".join(sorted(_ELEMENTS | {"li", "p", "td", "tr", "th"})) + r")(?:\s[^<>]*)?$|</[A-Za-z]*$")
+_BARE_MARK = regex.compile(r"(?:^|\n)[ \t]*(?:\d{1,3}[.)]|[-*+•]|#{1,6})[ \t]*$")
+
+
+_SPECIAL = regex.compile(r'[`*_<"“”„«»()\[\]{}（）【】「」『』《》]|\n\n')
+
+
 def open_at_end(text: str) -> list[str]:
-    """Pushdown parse: what is still open at the end, outermost first. Fences and code spans hide what they
-    hold; list markers, emoticons and closers without an opener are passed over; straight quotes toggle."""
+    """Pushdown parse: what is still open at the end, outermost first. Fences and code spans hide what they hold;
+    elements of markup close what is inside them; emphasis ends with its paragraph; emoticons and closers without an
+    opener are passed over; straight quotes toggle."""
     stack: list[str] = []
     i, n = 0, len(text)
+
+    def close(x: str) -> None:
+        while stack.pop() != x:
+            pass
+
     while i < n:
+        special = _SPECIAL.search(text, i)
+        if not special:
+            break
+        i = special.start()
         c = text[i]
         if text.startswith("```", i):
             if stack and stack[-1] == "```":
@@ -243,36 +257,59 @@ def open_at_end(text: str) -> list[str]:
                 stack.append("`")
         elif stack and stack[-1] == "`":
             pass
+        elif c == "<":
+            m = _TAG.match(text, i)
+            name = m[2].lower() if m else ""
+            if name in _ELEMENTS and not m[3]:
+                if not m[1]:
+                    stack.append(f"<{name}>")
+                elif f"<{name}>" in stack:
+                    close(f"<{name}>")
+            if m:
+                i = m.end()
+                continue
+        elif text.startswith("\n\n", i):
+            while stack and stack[-1] in ("*", "_", "**"):
+                stack.pop()
         elif text.startswith("**", i):
             if "**" in stack:
-                while stack.pop() != "**":
-                    pass
+                close("**")
             else:
                 stack.append("**")
             i += 2
             continue
+        elif c in "*_":
+            before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
+            if c in stack and not before.isspace() and not after.isalnum():
+                close(c)
+            elif c not in stack and after.isalpha() and (before.isspace() or before in "([{\"'“„«"):
+                stack.append(c)
         elif c == '"':
             if '"' in stack:
-                while stack.pop() != '"':
-                    pass
+                close('"')
             else:
                 stack.append('"')
         elif c in "“”" and "„" in stack:
-            while stack.pop() != "„":
-                pass
+            close("„")
         elif c in "([{（【「『《“«„":
             stack.append(c)
         elif c in _PAIRS:
             if _PAIRS[c] in stack:
-                while stack.pop() != _PAIRS[c]:
-                    pass
+                close(_PAIRS[c])
         i += 1
     return stack
 
 
+def cut_mark(text: str) -> bool:
+    """The text ends in a tag without its end, or in a list or heading mark with nothing after it."""
+    return bool(_CUT_TAG.search(text)) or bool(_BARE_MARK.search(text)) and "\n" in text.strip()
+
+
 def ending(original: str, rewrite: str) -> tuple[str, str, str, int]:
     """('truncated' | 'whole' | 'unsure...', opening, last, length) of the rewrite's end."""
     t = regex.sub(r"[\s\u200b]+$", "", rewrite)
+    if cut_mark(t) and not cut_mark(regex.sub(r"\s+$", "", original)):
+        return "truncated", "", "", 0
     still = open_at_end(t)
     if still and len(still) > len(open_at_end(original)):
         return "truncated", "", "", 0
