@@ -82,6 +82,10 @@ class Lexicon:
             node["prefix" if w.endswith("-") else "end"] = i
         self.left: dict[int, tuple[int, int]] = {}  # by node: least and most letters to the end of a word
         self._measure(self.trie)
+        whole = [w for w in self.words if not w.endswith("-")]
+        self.heads = {w[:i] for w in whole for i in range(len(w) + 1)}
+        self.tails = {w[i:] for w in whole for i in range(len(w) + 1)}
+        self.middles = {w[i:j] for w in whole if len(w) >= LONG - 2 for i in range(len(w)) for j in range(i, len(w) + 1)}
         self.ctrie: dict = {}
         for k, (_, parts) in enumerate(self.cjk):
             for j, p in enumerate(parts):
@@ -119,10 +123,22 @@ class Lexicon:
             out[node["end"]] = 1.0
         return out
 
+    def _may_be_near(self, word: str, errors: int) -> bool:
+        """Of errors + 1 pieces of a word, one letter apart, so many edits (each of two neighbouring letters at most)
+        leave one as it is: it heads, ends or is inside a term. Without one the automaton need not run."""
+        if "*" in word:
+            return True
+        n = (len(word) - errors) // (errors + 1)
+        if word[:n] in self.heads or word[-n:] in self.tails:
+            return True
+        return errors > 1 and word[n + 1 : len(word) - n - 1] in self.middles
+
     def near(self, word: str, errors: int) -> dict[int, float]:
         """Words of the trie within so many edits; '*' in the word is any one letter and no error.
 
         The automaton's states are sets of bits, one a number of errors; each edge of the trie is a step."""
+        if errors and not self._may_be_near(word, errors):
+            return {}
         m, accept = len(word), 1 << len(word)
         wild = sum(1 << i for i, c in enumerate(word) if c == "*")
         mask: dict[str, int] = {}
@@ -473,26 +489,31 @@ def ordinary_words(documents: DataFrame) -> frozenset[str]:
     # words of two characters and less are near no term
     words = words.filter(F.length("w") > 2).groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
-    def run(batches):
+    def folded(batches):
+        lex = scorer().lex
+        for b in batches:
+            w = [fold(x).strip("-'’") for x in b.column("w").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([bool(lex.exact(x)) for x in w], pa.bool_()), b.column("n")], names=["word", "exact", "n"])
+
+    def terms(batches):
         lex = scorer().lex
         name = {i: w for w, i in lex.words.items()}
         for b in batches:
             rows = []
-            for w, n in zip(b.column("w").to_pylist(), b.column("n").to_pylist()):
-                w = fold(w).strip("-'’")
-                exact = lex.exact(w)
-                near = exact or (lex.near(w, 2 if len(w) >= LONG else 1) if len(w) >= 5 and w.isalpha() else {})
+            for w, exact, n in zip(*(b.column(c).to_pylist() for c in ("word", "exact", "n"))):
+                near = lex.exact(w) if exact else lex.near(w, 2 if len(w) >= LONG else 1) if len(w) >= 5 and w.isalpha() else {}
                 rows += [(w, name[k], n) for k in near]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["word", "term", "n"])
 
     least = F.greatest(F.lit(float(RARE)), F.lit(SHARE) * F.col("documents"))
-    counts = words.mapInArrow(run, "word string, term string, n long").groupBy("word", "term").agg(F.sum("n").alias("n"))
-    counts = counts.crossJoin(F.broadcast(documents.agg(F.count(F.lit(1)).alias("documents"))))  # one row
+    counts = words.mapInArrow(folded, "word string, exact boolean, n long").groupBy("word", "exact").agg(F.sum("n").alias("n"))
+    counts = counts.crossJoin(F.broadcast(documents.agg(F.count(F.lit(1)).alias("documents")))).filter(F.col("exact") | (F.col("n") >= least))  # one row
+    counts = counts.select("word", "exact", "n").mapInArrow(terms, "word string, term string, n long")
     own: dict[str, int] = {}
     like: dict[str, tuple[int, list[str]]] = {}
-    for r in counts.filter((F.col("n") >= least) | (F.col("word") == F.col("term"))).collect():
+    for r in counts.collect():
         if r["word"] == r["term"]:
-            own[r["term"]] = r["n"]
+            own[r["term"]] = own.get(r["term"], 0) + r["n"]
         else:
             n, terms = like.get(r["word"], (0, []))
             like[r["word"]] = (max(n, r["n"]), [*terms, r["term"]])
