@@ -359,7 +359,12 @@ def judged(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, flo
         for seg in _segments(t or ""):
             flat.append(seg)
             owner.append(i)
-    langs, conf, lead = model.judge([x[2] for x in flat], [x[3] for x in flat])
+    # a clause that several texts have is judged once
+    once = list(dict.fromkeys((x[2], x[3]) for x in flat))
+    number = {x: i for i, x in enumerate(once)}
+    at = [number[x[2], x[3]] for x in flat]
+    langs, conf, lead = model.judge([s for s, _ in once], [p for _, p in once])
+    langs, conf, lead = [langs[i] for i in at], conf[at], lead[at]
     out: list[list] = [[] for _ in texts]
     doubt = []
     for i, (a, b, script, part), lang, c, m in zip(owner, flat, langs, conf, lead):

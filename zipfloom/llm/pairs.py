@@ -406,9 +406,8 @@ def first_pass(entries: DataFrame, model: Model) -> DataFrame:
                     recs.append((i, "copy", None, None, None))
                 else:
                     ask.append((i, o, without_lead(r)))
-            mine = judged(m, [o for _, o, _ in ask])
-            theirs = judged(m, [r for _, _, r in ask])
-            for (i, o, r), x, y in zip(ask, mine, theirs):
+            both = judged(m, [o for _, o, _ in ask] + [r for _, _, r in ask])
+            for (i, o, r), x, y in zip(ask, both, both[len(ask) :]):
                 if other_language(x, y):
                     recs.append((i, "other_language", None, None, None))
                     continue
