@@ -127,6 +127,55 @@ def test_orphans_arrive_and_reopen(spark):
     assert kinds() == {}
 
 
+DELIVERIES = [
+    ([concept("a", down=["ghost"], made=5, gone=8)], []), ([concept("a", down=["ghost"], made=5)], []), ([concept("x", ali=["ghost"], made=9)], []), ([], [("1", "z", "ghost", "k", "en", day(7), "c")]),
+]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (3, 2, 1, 0), (1, 3, 0, 2)])
+def test_orphans_do_not_depend_on_the_order(spark, order):
+    """A record deleted and delivered again, in any order of batches, leaves the references of the others."""
+    s = orphans.OrphanState(spark, buckets=3)
+    for i in order:
+        s.update(frame(spark, DELIVERIES[i][0]), spark.createDataFrame(DELIVERIES[i][1], ALIAS))
+    assert [(r["ref_table"], r["ref_value"], r["kind"]) for r in s.orphans().collect()] == [("aliases", "ghost", "late")]
+    assert [(r["ref_table"], r["month"], r["kind"], r["n_orphans"]) for r in s.counts().collect()] == [("aliases", "2024-01", "late", 1)]
+
+
+def test_orphan_state_goes_on_merges_and_appends_little(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(orphans, "FAN", 3)
+    path, none = f"file://{tmp_path}/state", spark.createDataFrame([], ALIAS)
+    s = orphans.OrphanState(spark, path, buckets=4)
+    s.update(frame(spark, [concept(f"p{i}", down=[f"t{i}", f"no{i}"], made=5) for i in range(40)]), none)
+    for i in range(5):
+        s = orphans.OrphanState(spark, path)  # another driver
+        s.update(frame(spark, [concept(f"q{i}", text=f"no{i}", made=1)]), none)
+        assert s._read("refs").filter(f"v = {s.at['batch']}").count() <= 1  # what changed, not what there is
+    assert all(len(x) < 6 for x in s.at["segments"].values())
+    assert s.orphans().count() == 75 and {r["kind"] for r in s.orphans().collect()} == {"missing"}
+    last = {r["batch"]: r["n_orphans"] for r in s.snapshots().collect()}
+    assert sorted(last.values(), reverse=True) == [80, 79, 78, 77, 76, 75]
+
+
+def test_orphan_stream_restarts(spark, tmp_path):
+    from zipfloom.streaming.live import orphan_stream
+
+    at = lambda x: f"file://{tmp_path}/{x}"
+
+    def run():
+        streams = orphan_stream(spark.readStream.schema(CONCEPT).parquet(at("c")), spark.readStream.schema(ALIAS).parquet(at("a")), at("state"), at("checkpoint"))
+        for q in streams:
+            q.awaitTermination()
+        return sorted((r["ref_id"], r["kind"]) for r in orphans.OrphanState(spark, at("state")).orphans().collect())
+
+    frame(spark, [concept("a", down=["tb", "tc"], made=5)]).write.parquet(at("c"))
+    spark.createDataFrame([("1", "x", "tz", "k", "en", day(5), "c")], ALIAS).write.parquet(at("a"))
+    assert run() == [("1", "missing"), ("a", "missing"), ("a", "missing")]
+    frame(spark, [concept("b", made=1), concept("z", made=9)]).write.mode("append").parquet(at("c"))
+    assert run() == [("1", "late"), ("a", "missing")]
+    assert run() == [("1", "late"), ("a", "missing")]
+
+
 def test_orphans_of_empty_tables(spark):
     s = orphans.replay(frame(spark, []), spark.createDataFrame([], ALIAS))
     assert s.orphans().count() == s.counts().count() == 0

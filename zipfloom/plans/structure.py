@@ -27,7 +27,7 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return replay(table(spark, d, "concepts"), table(spark, d, "aliases")).orphans().select("ref_table", "ref_id", "ref_field", "ref_value", "kind")
+    return replay(table(spark, d, "concepts"), table(spark, d, "aliases")).orphans().select("ref_table", "ref_id", "ref_field", "ref_value", "kind").distinct()
 
 
 def p2_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -53,6 +53,34 @@ def own_session(spark: SparkSession) -> SparkSession:
     return child
 
 
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder; those under way are left out."""
+    fs, p = _fs(spark, path)
+    return [n for n in (x.getPath().getName() for x in (fs.listStatus(p) if fs.exists(p) else [])) if not n.startswith(("_", "."))]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small ASCII file, whole or not at all."""
+    folder, name = path.rsplit("/", 1)
+    fs, under_way = _fs(spark, f"{folder}/_{name}")
+    out = fs.create(under_way, True)
+    out.writeBytes(text)
+    out.close()
+    _, p = _fs(spark, path)
+    fs.delete(p, False)
+    if not fs.rename(under_way, p):
+        raise OSError(f"cannot write {path}")
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
@@ -80,12 +108,14 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Deletes the named tables, or all of them."""
-        jvm = self.spark.sparkContext._jvm
-        if jvm is None:  # at exit, after the session was stopped
+        self.drop_paths(*[f"{self.root}/{name}".rstrip("/") for name in names or ("",)])
+
+    def drop_paths(self, *paths: str) -> None:
+        if self.spark.sparkContext._jvm is None:  # at exit, after the session was stopped
             return
-        for name in names or ("",):
-            p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}".rstrip("/"))
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        for path in paths:
+            fs, p = _fs(self.spark, path)
+            fs.delete(p, True)
 
     def _at_exit(self) -> None:
         try:

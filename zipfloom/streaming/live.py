@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -32,17 +33,21 @@ def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 hou
     return e.groupBy(F.window(time, width).alias("w"), kind).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), kind, "n")
 
 
-def orphan_stream(concepts: DataFrame, aliases: DataFrame, state: OrphanState, checkpoint: str) -> list[StreamingQuery]:
-    """Feeds arriving concepts and aliases into an orphan state, a batch at a time each."""
-    import threading
+def orphan_stream(concepts: DataFrame, aliases: DataFrame, path: str, checkpoint: str) -> list[StreamingQuery]:
+    """Feeds arriving concepts and aliases into the orphan state at `path`, a batch at a time each.
 
-    lock = threading.Lock()
+    The state notes each feed's batch with what the batch changed, so a stream started again goes on from both its
+    checkpoint and the state, and a batch that is delivered again counts once.
+    """
+    lock, state = threading.Lock(), OrphanState(concepts.sparkSession, path)
+    none = {"c": aliases.sparkSession.createDataFrame([], aliases.schema), "a": concepts.sparkSession.createDataFrame([], concepts.schema)}
 
-    def feed(batch: DataFrame, which: str) -> None:
-        empty = (aliases if which == "c" else concepts).schema
-        other = batch.sparkSession.createDataFrame([], empty)
+    def feed(batch: DataFrame, epoch: int, which: str) -> None:
         with lock:
-            state.update(batch, other) if which == "c" else state.update(other, batch)
+            if which == "c":
+                state.update(batch, none["c"], which, epoch)
+            else:
+                state.update(none["a"], batch, which, epoch)
 
-    one = lambda df, w: df.writeStream.foreachBatch(lambda b, _: feed(b, w)).option("checkpointLocation", f"{checkpoint}/{w}").trigger(availableNow=True).start()
+    one = lambda df, w: df.writeStream.foreachBatch(lambda b, e: feed(b, e, w)).option("checkpointLocation", f"{checkpoint}/{w}").trigger(availableNow=True).start()
     return [one(concepts, "c"), one(aliases, "a")]
