@@ -222,3 +222,10 @@ def test_whole_dictionary_segments(spark, tmp_path):
     assert words["天气预报"] == pytest.approx(np.log10(2 / total * 1e9))
     want = segment_zh.segment("天气预报", words, {})
     assert [r["token"] for r in plans.segment_chinese(spark, str(tmp_path)).orderBy("pos").collect()] == want
+
+
+def test_slots_in_python_are_those_of_the_expression(spark):
+    texts = ["Please explain how the global Fiscal Policy quickly affects our economic growth rate, if possible.", "Never compare Large old stone bridges with the one", "", "Explain IBM's  new   way - of doing things", "don't stop Émile élan", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
+    for r in df.select("t", slots.slots_en(F.col("t")).alias("s")).collect():
+        assert (None if r["t"] is None else slots.slots_en_of(r["t"])) == (None if r["s"] is None else [tuple(x) for x in r["s"]])

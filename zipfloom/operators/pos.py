@@ -49,6 +49,20 @@ def tag_lower_en(w: Column) -> Column:
     )
 
 
+_EN_LISTS = {w: tag for tag, words in reversed((("function", EN_FUNCTION), ("preposition", EN_PREPOSITION), ("pronoun", EN_PRONOUN), ("verb", EN_VERB), ("adjective", EN_ADJECTIVE))) for w in words}
+# endings in the order they are tried; the mark stands for a length of more than four bytes
+_EN_ENDINGS = ((("ly",), "adverb", True), (("ize", "ise", "ify", "ate", "ect"), "verb", False), (("tion", "sion", "ment", "ity", "ness", "ence", "ance", "ist", "ism", "ology", "graphy", "ics", "er", "or"), "noun", False), (("ed",), "adjective", True), (("al", "ous", "ive", "ful", "less", "able", "ible", "ic", "ical"), "adjective", False))
+
+
+def tag_word_en(w: str) -> str:
+    """tag_lower_en of one word, for scanners that run in Python."""
+    if not w:
+        return "other"
+    if w in _EN_LISTS:
+        return _EN_LISTS[w]
+    return next((tag for ends, tag, long in _EN_ENDINGS if w.endswith(ends) and (not long or len(w.encode()) > 4)), "noun")
+
+
 def tag_zh(word: Column) -> Column:
     one = F.lit("noun")
     for tag, chars in reversed(list(ZH_ONE.items())):

@@ -1,16 +1,19 @@
-"""Semantic slots of prompts. English runs on built-in expressions over the token array; Chinese follows its
-segmentation in an Arrow function."""
+"""Semantic slots of prompts. English alone runs on built-in expressions over the token array; slots of both languages
+with placeholders come from one Arrow function, as Chinese ones follow their segmentation."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lang import is_chinese
-from .placeholders import SLOTS, placeholders
-from .pos import ZH_ADJECTIVE, ZH_ONE, ZH_VERB, ZH_VERB_END, tag_lower_en
+from .placeholders import SLOTS, placeholder_spans
+from .pos import ZH_ADJECTIVE, ZH_ONE, ZH_VERB, ZH_VERB_END, tag_lower_en, tag_word_en
 from .segment_zh import Words, is_blank, is_punct, places, segment
 
 # fixed values
@@ -76,6 +79,43 @@ def slots_en(text: Column) -> Column:
     return merge_en(slots_en_raw(text))
 
 
+_CAPITAL = regex.compile(r"\p{Lu}\p{Alphabetic}*")
+_BY_WORD = {w: kind for kind, words in reversed((("register", EN_REGISTER), ("negation", EN_NEGATION), ("condition", EN_CONDITION), ("qtype", EN_QTYPE))) for w in words}
+_EN_TAGS = {"register": "politeness", "entity": "proper-noun", "action": "verb", "modifier": "adj", "object": "noun"}
+
+
+@lru_cache(200_000)
+def _word_en(token: str) -> tuple[str | None, bool, str, bool]:
+    """(kind by the word alone, with a capital, part of speech, generic)."""
+    w = token.lower()
+    return _BY_WORD.get(w), bool(_CAPITAL.fullmatch(token)), tag_word_en(w), w in EN_GENERIC
+
+
+def slots_en_of(text: str) -> list[tuple]:
+    """slots_en of one text, for use beside other scanners in one Arrow function."""
+    found = list(T._TOKEN.finditer(text))
+    half, out = len(found) // 2, []
+    for i, m in enumerate(found):
+        kind, capital, pos, generic = _word_en(m[0])
+        if kind is None:
+            if i and capital:
+                kind = "entity"
+            elif pos == "verb" and i <= half:
+                kind = "action"
+            elif pos == "adjective":
+                kind = "modifier"
+            elif pos == "noun" and i and not generic:
+                kind = "object"
+            else:
+                continue
+        last = out[-1] if out else None
+        if kind == "object" and last and last[0] in ("modifier", "object") and m.start() == last[3] + 1:
+            out[-1] = ("object", f"{last[1]} {m[0]}", last[2], m.end(), "phrase")
+        else:
+            out.append((kind, m[0], m.start(), m.end(), _EN_TAGS.get(kind)))
+    return out
+
+
 def _zh_pos(word: str) -> str:
     if not word:
         return "other"
@@ -129,26 +169,51 @@ def slots_zh_of(text: str, lexicon: dict[str, float], bigrams: dict[str, float])
     return merged
 
 
-def slots_zh(lexicon: dict[str, float] | Words, bigrams: dict[str, float]):
+class ZhSlots:
     """A column function text -> array<slot> over one language's dictionaries; a large one comes as Words."""
 
-    @F.pandas_udf(SLOTS)
-    def run(s: pd.Series) -> pd.Series:
-        words = lexicon.map() if isinstance(lexicon, Words) else lexicon
-        return s.map(lambda t: None if t is None else slots_zh_of(t, words, bigrams))
+    def __init__(self, lexicon: dict[str, float] | Words, bigrams: dict[str, float]):
+        self.lexicon, self.bigrams = lexicon, bigrams
+
+    def of(self, text: str) -> list[tuple]:
+        return slots_zh_of(text, self.lexicon.map() if isinstance(self.lexicon, Words) else self.lexicon, self.bigrams)
 
-    return run
+    def __call__(self, text: Column) -> Column:
+        of = self.of
 
+        @F.pandas_udf(SLOTS)
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(lambda t: None if t is None else of(t))
 
-def all_slots(text: Column, lang: Column | None = None, zh=None) -> Column:
+        return run(text)
+
+
+slots_zh = ZhSlots
+
+
+def all_slots(text: Column, lang: Column | None = None, zh: ZhSlots | None = None) -> Column:
     """Placeholders and slots by place; on one place placeholders come first. lang null or 'auto' is detected;
-    anything but zh is read as English. zh: what slots_zh() gives; without it Chinese has placeholders only."""
+    anything but zh is read as English. zh: slots_zh() of a dictionary; without it Chinese has placeholders only.
+    One Arrow function does it all, each distinct text of a batch once."""
     auto = F.when(is_chinese(text), "zh").otherwise("en")
     lg = auto if lang is None else F.when(lang.isNull() | (lang == "auto"), auto).otherwise(lang)
-    chinese = zh(F.when(lg == "zh", text)) if zh else F.array().cast(SLOTS)
-    found = F.concat(placeholders(text), F.when(lg == "zh", chinese).otherwise(slots_en(text)))
-    numbered = F.transform(found, lambda s, i: F.struct(s["char_start"].alias("_a"), i.alias("_i"), s.alias("s")))
-    return F.transform(F.array_sort(numbered), lambda x: x["s"])
+    chinese = zh.of if zh else lambda t: []
+
+    @F.pandas_udf(SLOTS)
+    def run(texts: pd.Series, langs: pd.Series) -> pd.Series:
+        known: dict[tuple[str, str], list[tuple]] = {}
+        out = []
+        for key in zip(texts, langs):
+            if key[0] is None:
+                out.append(None)
+                continue
+            if key not in known:
+                found = placeholder_spans(key[0]) + (chinese(key[0]) if key[1] == "zh" else slots_en_of(key[0]))
+                known[key] = sorted(found, key=lambda s: s[2])
+            out.append(known[key])
+        return pd.Series(out)
+
+    return run(text, lg)
 
 
 def slot_rows(df: DataFrame, key: str, slots: Column) -> DataFrame:
