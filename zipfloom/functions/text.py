@@ -78,7 +78,17 @@ def token_rows(df: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
     return pair.select(*keys, "pos", "token", F.when(F.col("pos") > 0, F.get("_k", F.col("pos") - 1)).alias("prev"))
 
 
-def escape_html(text: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+def _replaced(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for a, b in pairs:
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
+
+
+def escape_html(text: Column) -> Column:
+    """For text between tags: what a page writes for it, quotation marks as they are."""
+    return _replaced(text, (("&", "&amp;"), ("\u00a0", "&nbsp;"), ("<", "&lt;"), (">", "&gt;")))
+
+
+def escape_attribute(text: Column) -> Column:
+    """For a value between double quotation marks."""
+    return _replaced(text, (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")))

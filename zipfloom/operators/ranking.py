@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scoring import multi_layer
+
 
 def rank_sentences(scored: DataFrame, batch: str, pos: str = "input_pos", score: str = "score", write=None) -> DataFrame:
     """Adds rank, 1 for the best of its batch. `pos` is unique within a batch.
@@ -40,6 +42,13 @@ def rank_candidates(originals: DataFrame, candidates: DataFrame, key: str) -> Da
     return rank_sentences(c.unionByName(o), key, "pos").drop("pos")
 
 
+def score_candidates(measures: DataFrame, key: str, slot_preservation: Column, domain_relevance: Column | None = None, pos: str = "pos") -> DataFrame:
+    """measures of candidates (key, pos, ...) -> with final_score and rank, the layered score, best first of each key;
+    equal scores (to nine places) by pos."""
+    m = multi_layer(measures, slot_preservation, domain_relevance).withColumn("_s", F.round("final_score", 9))
+    return m.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("_s"), F.asc(pos)))).drop("_s")
+
+
 def lowest_tokens(scores: DataFrame, key: str, n: int) -> DataFrame:
     """(key, token, zipf, rank): the n distinct tokens (with case) of least score, ties by first position."""
     d = scores.groupBy(key, "token").agg(F.min("pos").alias("pos"), F.min("zipf").alias("zipf"))

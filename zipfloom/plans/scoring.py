@@ -14,6 +14,7 @@ from ..operators import diff, domain, embed, guard, lexicon, ontology, optimize,
 from ..operators.names import concept_records
 from ..session import Scratch
 from ..sources import history as H
+from ..sources import rewrites
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -230,15 +231,22 @@ def diff_counts(spark, d):
 
 
 def optimize_prompts(spark, d):
-    """The pipeline with each entry's stored rewrite as its only candidate, guarded by its exact slots."""
-    h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized", "original_score", "optimized_score"))
+    """The pipeline over each entry's rewrite read as an answer: its lines are the candidates, scored as the prompt is,
+    in the prompt's language, and guarded by the prompt's exact slots."""
+    h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized"))
     h = Scratch(spark, "optimize").write(h.filter("original is not null"), "history")
     # Arrow functions run in a projection of their own, not inside the filter
     exact = slots.slot_rows(h.select("id", _slots(spark, d)(F.col("original")).alias("slots")), "id", F.filter(F.col("slots"), lambda s: S.needs_exact(s["kind"])))
-    checks = verify.structural_check(exact, h.select("id", F.coalesce("optimized", F.lit("")).alias("candidate")))
-    kept = checks.groupBy("id").agg(F.max((F.col("issue") == "missing").cast("int")).alias("bad"))
-    c = h.filter("optimized is not null").join(kept, "id", "left").select("id", F.lit(0).alias("pos"), F.col("optimized").alias("text"), F.coalesce("optimized_score", F.lit(0.0)).alias("score"), F.when(F.col("bad") == 1, 0.0).otherwise(1.0).alias("preservation"), (F.coalesce("bad", F.lit(0)) == 0).alias("passes"))
-    o = h.select("id", F.col("original").alias("text"), F.coalesce("original_score", F.lit(0.0)).alias("score"))
+    lines = rewrites.candidate_rows(h.filter("optimized is not null"), "id", "optimized").withColumn("key", F.concat_ws("/", "id", "pos"))
+    checks = verify.structural_check(exact.select(F.col("id").alias("_id"), "slot_ord", "kind", "text").join(lines.select(F.col("id").alias("_id"), F.col("key").alias("id")), "_id"), lines.select(F.col("key").alias("id"), F.col("text").alias("candidate")))
+    kept = checks.groupBy("id").agg(F.max((F.col("issue") == "missing").cast("int")).alias("bad")).withColumnRenamed("id", "key")
+    docs = h.select(F.col("id").alias("doc_id"), F.col("original").alias("text")).unionByName(lines.select(F.col("key").alias("doc_id"), "text"))
+    own = h.select("id", L.detect_language(F.col("original")).alias("lang"))
+    lang = own.withColumnRenamed("id", "doc_id").unionByName(lines.join(own, "id").select(F.col("key").alias("doc_id"), "lang"))
+    m = scoring.sentence_measures(docs, _scored(spark, d, docs, "answers", lang=lang), "doc_id", F.col("lang")).select("doc_id", F.round("score", 9).alias("score"))
+    c = lines.join(m.withColumnRenamed("doc_id", "key"), "key").join(kept, "key", "left")
+    c = c.select("id", "pos", "text", "score", F.when(F.col("bad") == 1, 0.0).otherwise(1.0).alias("preservation"), (F.coalesce("bad", F.lit(0)) == 0).alias("passes"))
+    o = h.select("id", F.col("original").alias("text")).join(m.withColumnRenamed("doc_id", "id"), "id").select("id", "text", "score")
     return optimize.optimize(o, c)
 
 
@@ -255,10 +263,97 @@ def score_bands(spark, d):
     return h.select("id", S.sentence_band(F.col("optimized_score")).alias("band"), S.word_band(F.col("optimized_score")).alias("word_band"), S.delta_class(delta).alias("delta"), S.ring_share(F.col("optimized_score")).alias("ring"))
 
 
+def slots_en_merged(spark, d):
+    docs = table(spark, d, "history").select("id", "original").distinct()
+    return slots.slot_rows(docs, "id", slots.slots_en(F.col("original")))
+
+
+def verify_slots(spark, d):
+    """Each English slot of a prompt against the slot at the same place of its rewrite: 1.0 if it reads the same, 0.8 if
+    only its kind is the same."""
+    h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized"))
+    mine = slots.slot_rows(h, "id", slots.slots_en_raw(F.col("original")))
+    theirs = slots.slot_rows(h, "id", slots.slots_en_raw(F.col("optimized"))).select("id", "slot_ord", F.col("kind").alias("_k"), F.col("text").alias("_t"))
+    same = mine.join(theirs, ["id", "slot_ord"]).filter("kind = _k")
+    similar = same.select("id", "slot_ord", F.col("_t").alias("text"), F.when(F.col("_t") == F.col("text"), 1.0).otherwise(0.8).alias("similarity"))
+    return verify.verify_slots(mine, similar)
+
+
+def slot_preservation(spark, d):
+    """Sums of verify_slots a prompt."""
+    return verify.preservation(verify_slots(spark, d)).select("id", F.round("preservation", 9).alias("preservation"), "passes", "total", "kept", "dropped", "bad")
+
+
+def substitutions_unsafe(spark, d):
+    c = table(spark, d, "concepts")
+    return ontology.check_substitutions(c, _pairs(c), unsafe_only=True)
+
+
+def changed_words(spark, d):
+    h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized"))
+    return ontology.changed_pairs(h.select("id", "original", F.col("optimized").alias("candidate")))
+
+
+def lowest_live(spark, d):
+    return ranking.lowest_live(token_scores(spark, d), "doc_id", 3).select("doc_id", "pos", "token", "zipf", "rank")
+
+
+def escaped(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.escape_html(F.col("text")).alias("html"), T.escape_attribute(F.col("source")).alias("attribute"))
+
+
+def content_words(spark, d):
+    w = _doc_tokens(_docs(spark, d)).select("token").distinct()
+    return w.select("token", S.is_content(pos.tag_en(F.col("token"))).alias("content"))
+
+
+def answer_candidates(spark, d):
+    """Each rewrite read as a model's answer: its lines without list numbers."""
+    h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "optimized"))
+    return rewrites.candidate_rows(h, "id", "optimized")
+
+
+def low_word_requests(spark, d):
+    low = ranking.lowest_tokens(token_scores(spark, d), "doc_id", 6)
+    return rewrites.low_word_requests(low.withColumn("zipf", F.round("zipf", 6)), "doc_id")
+
+
+def slot_kinds(spark, d):
+    """Name, threshold and exactness of every kind of slot, on the kinds in use."""
+    k = slots_en(spark, d).select("kind").distinct()
+    return k.select("kind", S.kind_name(F.col("kind")).alias("name"), S.threshold(F.col("kind")).alias("threshold"), S.needs_exact(F.col("kind")).alias("exact"))
+
+
+def weights_valid(spark, d):
+    """The two scores of an entry and what is left of one as weights."""
+    h = table(spark, d, "history").select("id", (F.col("original_score") / 10).alias("a"), (F.col("optimized_score") / 10).alias("b")).distinct()
+    return h.select("id", S.weights_valid(F.col("a"), F.col("b"), F.lit(0.2)).alias("valid"))
+
+
+def _both_texts(h: DataFrame) -> DataFrame:
+    """(doc_id, text, id, pos): the original (pos 1) and the rewrite (pos 0) of each entry as documents to score."""
+    one = lambda c, pos: h.filter(F.col(c).isNotNull()).select(F.concat(F.col("id"), F.lit(f"/{pos}")).alias("doc_id"), F.col(c).alias("text"), "id", F.lit(pos).alias("pos"))
+    return one("optimized", 0).unionByName(one("original", 1))
+
+
+def score_candidates(spark, d):
+    """Layered scores of an entry's rewrite and original, best first; a rewrite that loses an exact English slot (a
+    negation) has slot preservation 0."""
+    h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized")).filter("original is not null")
+    h = Scratch(spark, "score").write(h, "history")
+    docs = _both_texts(h)
+    exact = slots.slot_rows(h.select("id", slots.slots_en_raw(F.col("original")).alias("slots")), "id", F.filter(F.col("slots"), lambda s: S.needs_exact(s["kind"])))
+    lost = verify.structural_check(exact, h.select("id", F.col("optimized").alias("candidate"))).filter("issue is not null").select(F.concat("id", F.lit("/0")).alias("doc_id"), F.lit(0.0).alias("kept")).distinct()
+    m = scoring.sentence_measures(docs, _scored(spark, d, docs, "candidates"), "doc_id", F.col("lang"))
+    m = docs.join(m, "doc_id").join(lost, "doc_id", "left")
+    return ranking.score_candidates(m, "id", F.coalesce("kept", F.lit(1.0))).select("id", "pos", F.round("final_score", 9).alias("final_score"), "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lang_detect, token_counts, zipf_table, zipf_top_n, domain_tables, token_scores, sentence_measures, lowest_tokens, rank_sentences, hybrid_score, domain_detect, onto_closure, substitution_verdicts, pos_tags, slots_en, slots_merged,
         placeholder_slots, structural_check, guard_rewrites, segment_chinese, slots_zh, heuristic_match, text_hashes, cosine_neighbours, history_newest, history_import, diff_counts, optimize_prompts, best_candidates, score_bands,
+        slots_en_merged, verify_slots, slot_preservation, substitutions_unsafe, changed_words, lowest_live, escaped, content_words, answer_candidates, low_word_requests, slot_kinds, weights_valid, score_candidates,
     )
 }

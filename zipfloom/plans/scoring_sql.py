@@ -36,12 +36,18 @@ K3 = f"regexp_extract_all(t, '[^{WS_RE2}[:punct:]]+')"
 ZIPF = "greatest(0, least(10, log10({n} / {total} * 1e9)))"
 
 DOCS = "d AS (SELECT doc_id, text AS t, source, bitext_id FROM documents)"
-TOKENS = f"""{DOCS},
+
+
+def _tokens(docs: str) -> str:
+    return f"""{docs},
 k AS (SELECT doc_id, {K1} AS k FROM d),
 i AS (SELECT doc_id, k, unnest(range(len(k))) AS pos FROM k),
 tokens AS (SELECT doc_id, CAST(pos AS INT) AS pos, k[pos + 1] AS token, CASE WHEN pos > 0 THEN k[pos] END AS prev FROM i)"""
 
 
+TOKENS = _tokens(DOCS)
+
+
 def _table(name: str, expr: str, where: str = "true") -> str:
     return f"""{name}_n AS (SELECT {expr} AS word, count(*) AS n FROM tokens WHERE {where} GROUP BY 1),
 {name} AS (SELECT word, n, {ZIPF.format(n="n", total="(SELECT sum(n) FROM " + name + "_n)")} AS zipf FROM {name}_n)"""
@@ -82,9 +88,9 @@ OWN = "SELECT doc_id, " + L1.replace("(t,", "(coalesce(t, ''),") + " AS lang FRO
 BATCH = f"""SELECT doc_id, CASE WHEN bitext_id IS NULL THEN lang ELSE coalesce(min({{'at': doc_id, 'lang': lang}}) FILTER (WHERE t <> '') OVER (PARTITION BY bitext_id), {{'at': 0, 'lang': 'en'}}).lang END AS lang FROM d JOIN ({OWN}) USING (doc_id)"""
 
 
-def _scored(lang: str) -> str:
+def _scored(lang: str, docs: str = DOCS) -> str:
     """measures of each document in the language that lang (doc_id, lang) gives it."""
-    return f"""WITH RECURSIVE {TOKENS}, {_table("lex", "lower(token)")}, {_table("big", "concat_ws(' ', prev, token)", "prev IS NOT NULL")},
+    return f"""WITH RECURSIVE {_tokens(docs)}, {_table("lex", "lower(token)")}, {_table("big", "concat_ws(' ', prev, token)", "prev IS NOT NULL")},
 doc_lang AS ({lang}),
 {_cut("SELECT doc_id, t FROM d JOIN doc_lang USING (doc_id) WHERE lang = 'zh' AND t IS NOT NULL")},
 zh_big_n AS (SELECT concat_ws(' ', prev, token) AS word, count(*) AS n FROM cut WHERE prev IS NOT NULL GROUP BY 1),
@@ -130,17 +136,29 @@ TAG = f"""CASE WHEN w = '' THEN 'other' WHEN w IN {_in(pos.EN_FUNCTION)} THEN 'f
   WHEN {_ends("ize", "ise", "ify", "ate", "ect")} THEN 'verb' WHEN {_ends("tion", "sion", "ment", "ity", "ness", "ence", "ance", "ist", "ism", "ology", "graphy", "ics", "er", "or")} THEN 'noun'
   WHEN {_ends("ed")} AND strlen(w) > 4 THEN 'adjective' WHEN {_ends("al", "ous", "ive", "ful", "less", "able", "ible", "ic", "ical")} THEN 'adjective' ELSE 'noun' END"""
 
-SLOTS = f"""
-WITH h AS (SELECT DISTINCT id, original AS t FROM history),
-r AS (SELECT id, t, unnest(regexp_extract_all(t, '{SEP}+|[^{WS_RE2}[:punct:]]+')) AS run, generate_subscripts(regexp_extract_all(t, '{SEP}+|[^{WS_RE2}[:punct:]]+'), 1) AS i FROM h),
-o AS (SELECT id, t, i, run, CAST(sum(length(run)) OVER (PARTITION BY id, t ORDER BY i) AS INT) AS char_end FROM r),
-k AS (SELECT id, t, run AS token, lower(run) AS w, char_end - length(run) AS char_start, char_end, row_number() OVER (PARTITION BY id, t ORDER BY i) - 1 AS idx, count(*) OVER (PARTITION BY id, t) AS n FROM o WHERE NOT regexp_matches(run, '^{SEP}')),
-p AS (SELECT *, {TAG} AS pos FROM k),
-s AS (SELECT id, t, token AS text, char_start, char_end, idx, CASE WHEN w IN {_in(slots.EN_REGISTER)} THEN 'register' WHEN w IN {_in(slots.EN_NEGATION)} THEN 'negation' WHEN w IN {_in(slots.EN_CONDITION)} THEN 'condition' WHEN w IN {_in(slots.EN_QTYPE)} THEN 'qtype'
-  WHEN idx > 0 AND regexp_matches(token, '^\\p{{Lu}}\\p{{L}}*$') THEN 'entity' WHEN pos = 'verb' AND idx <= n // 2 THEN 'action' WHEN pos = 'adjective' THEN 'modifier' WHEN pos = 'noun' AND idx > 0 AND w NOT IN {_in(slots.EN_GENERIC)} THEN 'object' END AS kind FROM p)
-SELECT id, CAST(row_number() OVER (PARTITION BY id, t ORDER BY idx) - 1 AS INT) AS slot_ord, kind, text, CAST(char_start AS INT) AS char_start, CAST(char_end AS INT) AS char_end,
+
+
+def _slots_of(texts: str, name: str = "") -> str:
+    """slots (id, t, slot_ord, kind, text, char_start, char_end, sub_tag) of the texts (id, t), before merging."""
+    return f"""h{name} AS ({texts}),
+r{name} AS (SELECT id, t, unnest(regexp_extract_all(t, '{SEP}+|[^{WS_RE2}[:punct:]]+')) AS run, generate_subscripts(regexp_extract_all(t, '{SEP}+|[^{WS_RE2}[:punct:]]+'), 1) AS i FROM h{name}),
+o{name} AS (SELECT id, t, i, run, CAST(sum(length(run)) OVER (PARTITION BY id, t ORDER BY i) AS INT) AS char_end FROM r{name}),
+k{name} AS (SELECT id, t, run AS token, lower(run) AS w, char_end - length(run) AS char_start, char_end, row_number() OVER (PARTITION BY id, t ORDER BY i) - 1 AS idx, count(*) OVER (PARTITION BY id, t) AS n FROM o{name} WHERE NOT regexp_matches(run, '^{SEP}')),
+p{name} AS (SELECT *, {TAG} AS pos FROM k{name}),
+s{name} AS (SELECT id, t, token AS text, char_start, char_end, idx, CASE WHEN w IN {_in(slots.EN_REGISTER)} THEN 'register' WHEN w IN {_in(slots.EN_NEGATION)} THEN 'negation' WHEN w IN {_in(slots.EN_CONDITION)} THEN 'condition' WHEN w IN {_in(slots.EN_QTYPE)} THEN 'qtype'
+  WHEN idx > 0 AND regexp_matches(token, '^\\p{{Lu}}\\p{{L}}*$') THEN 'entity' WHEN pos = 'verb' AND idx <= n // 2 THEN 'action' WHEN pos = 'adjective' THEN 'modifier' WHEN pos = 'noun' AND idx > 0 AND w NOT IN {_in(slots.EN_GENERIC)} THEN 'object' END AS kind FROM p{name}),
+slots{name} AS (SELECT id, t, CAST(row_number() OVER (PARTITION BY id, t ORDER BY idx) - 1 AS INT) AS slot_ord, kind, text, CAST(char_start AS INT) AS char_start, CAST(char_end AS INT) AS char_end,
   CASE kind WHEN 'register' THEN 'politeness' WHEN 'entity' THEN 'proper-noun' WHEN 'action' THEN 'verb' WHEN 'modifier' THEN 'adj' WHEN 'object' THEN 'noun' END AS sub_tag
-FROM s WHERE kind IS NOT NULL"""
+FROM s{name} WHERE kind IS NOT NULL)"""
+
+
+SLOTS = f"WITH {_slots_of('SELECT DISTINCT id, original AS t FROM history')} SELECT id, slot_ord, kind, text, char_start, char_end, sub_tag FROM slots"
+# a modifier or object takes the object one character behind it
+MERGED = f"""WITH {_slots_of('SELECT DISTINCT id, original AS t FROM history')},
+edges AS (SELECT *, coalesce(kind = 'object' AND lag(kind) OVER v IN ('modifier', 'object') AND char_start = lag(char_end) OVER v + 1, false) AS joins FROM slots WINDOW v AS (PARTITION BY id, t ORDER BY slot_ord)),
+groups AS (SELECT *, count(*) FILTER (WHERE NOT joins) OVER (PARTITION BY id, t ORDER BY slot_ord) - 1 AS g FROM edges)
+SELECT id, CAST(g AS INT) AS slot_ord, CASE WHEN count(*) > 1 THEN 'object' ELSE any_value(kind) END AS kind, string_agg(text, ' ' ORDER BY slot_ord) AS text, min(char_start) AS char_start, max(char_end) AS char_end,
+  CASE WHEN count(*) > 1 THEN 'phrase' ELSE any_value(sub_tag) END AS sub_tag FROM groups GROUP BY id, t, g"""
 
 _PROFILES = ", ".join(f"('{lg}', {o}, '{i}', {k}, '{w}', {v})" for lg, o, i, k, w, v in profile_rows())
 DETECT = f"""
@@ -177,7 +195,40 @@ SELECT *, verdict IN ('Allowed', 'Widening', 'Unrelated') AS safe FROM v"""
 
 LATEST = "h AS (SELECT * FROM history WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY saved_at DESC) = 1)"
 
+VERIFIED = f"""WITH {LATEST}, {_slots_of("SELECT id, original AS t FROM h", "_o").replace("h_o AS", "ho AS").replace("FROM h_o)", "FROM ho)")}, {_slots_of("SELECT id, optimized AS t FROM h", "_c").replace("h_c AS", "hc AS").replace("FROM h_c)", "FROM hc)")},
+v AS (
+  SELECT o.id, o.slot_ord, o.kind, o.text, c.text AS matched, CASE WHEN o.kind = 'negation' THEN CASE WHEN c.text = o.text THEN 1.0 ELSE 0.0 END WHEN c.text = o.text THEN 1.0 WHEN c.text IS NOT NULL THEN 0.8 ELSE 0.0 END::DOUBLE AS similarity,
+    CASE o.kind WHEN 'action' THEN 0.85 WHEN 'object' THEN 0.90 WHEN 'modifier' THEN 0.75 WHEN 'qtype' THEN 0.95 WHEN 'register' THEN 0.80 WHEN 'entity' THEN 0.95 WHEN 'condition' THEN 0.90 WHEN 'negation' THEN 1.0 END::DOUBLE AS threshold
+  FROM slots_o o LEFT JOIN slots_c c ON c.id = o.id AND c.slot_ord = o.slot_ord AND c.kind = o.kind),
+verified AS (SELECT *, CASE WHEN kind = 'negation' THEN similarity >= 0.999 ELSE similarity >= threshold END AS passes FROM v)
+"""
+BOTH = f"""{LATEST}, e AS (SELECT id, original, optimized FROM h WHERE original IS NOT NULL),
+d AS (SELECT id || '/0' AS doc_id, optimized AS t, id, 0 AS pos FROM e WHERE optimized IS NOT NULL UNION ALL SELECT id || '/1', original, id, 1 FROM e)"""
+LINES = f"""list_filter(list_transform(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^[0-9]+[.)、][{WS_RE2}]*', ''), '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g')), lambda x: length(x) + length(regexp_replace(x, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > 5)[1:6]"""
+
 SQL = {
+    "slots_en_merged": MERGED,
+    "verify_slots": VERIFIED + "SELECT * FROM verified",
+    "slot_preservation": VERIFIED + """SELECT id, round(CASE WHEN bool_or(kind = 'negation' AND NOT passes) THEN 0.0 ELSE avg(similarity) END, 9) AS preservation, bool_and(passes) AS passes, count(*) AS total, count(*) FILTER (WHERE passes) AS kept,
+count(*) FILTER (WHERE NOT passes) AS dropped, count(*) FILTER (WHERE NOT passes) / count(*) > 0.5 AS bad FROM verified GROUP BY id""",
+    "substitutions_unsafe": f"SELECT * FROM ({VERDICTS}) WHERE NOT safe",
+    "changed_words": f"""WITH {LATEST}, w AS (SELECT id, {K7.replace("(t,", "(original,")} AS o, {K7.replace("(t,", "(optimized,")} AS c FROM h),
+g AS (SELECT id, list_filter(o, lambda x: NOT list_contains(c, x))[1] AS original, list_filter(c, lambda x: NOT list_contains(o, x)) AS new FROM w) SELECT id, original, unnest(new) AS candidate FROM g WHERE original IS NOT NULL""",
+    "lowest_live": f"{SCORED} SELECT doc_id, pos, token, z AS zipf, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY z, pos) AS INT) AS rank FROM scored QUALIFY rank <= 3",
+    "escaped": "SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), chr(160), '&nbsp;'), '<', '&lt;'), '>', '&gt;') AS html, replace(replace(replace(replace(source, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS attribute FROM documents",
+    "content_words": f"WITH {TOKENS}, u AS (SELECT DISTINCT token, lower(token) AS w FROM tokens) SELECT token, {TAG} IN ('verb', 'noun', 'adjective', 'adverb') AS content FROM u",
+    "answer_candidates": f"WITH {LATEST}, l AS (SELECT id, {LINES} AS lines FROM (SELECT id, optimized AS t FROM h)), n AS (SELECT id, lines, unnest(range(1, len(lines) + 1)) AS k FROM l) SELECT id, CAST(k - 1 AS INT) AS pos, lines[k] AS text FROM n",
+    "low_word_requests": f"""{SCORED}, u AS (SELECT doc_id, token, min(pos) AS pos, min(z) AS zipf FROM scored GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY zipf, pos) AS rank FROM u QUALIFY rank <= 6)
+SELECT doc_id, string_agg('\"' || token || '\" (' || printf('%.1f', round(zipf, 6)) || ')', chr(10) ORDER BY rank) AS words FROM x GROUP BY doc_id""",
+    "slot_kinds": f"""WITH {_slots_of('SELECT DISTINCT id, original AS t FROM history')} SELECT DISTINCT kind, CASE kind WHEN 'action' THEN '动作 (Action)' WHEN 'object' THEN '对象 (Object)' WHEN 'modifier' THEN '修饰 (Modifier)' WHEN 'qtype' THEN '问法 (Q-Type)' WHEN 'register' THEN '语体 (Register)' WHEN 'entity' THEN '实体 (Entity)' WHEN 'negation' THEN '否定 (Negation)' WHEN 'condition' THEN '条件 (Condition)' END AS name,
+CASE kind WHEN 'action' THEN 0.85 WHEN 'object' THEN 0.90 WHEN 'modifier' THEN 0.75 WHEN 'qtype' THEN 0.95 WHEN 'register' THEN 0.80 WHEN 'entity' THEN 0.95 WHEN 'condition' THEN 0.90 WHEN 'negation' THEN 1.0 END::DOUBLE AS threshold, kind = 'negation' AS exact FROM slots""",
+    "weights_valid": "SELECT id, abs(original_score / 10 + optimized_score / 10 + 0.2 - 1.0) < 0.01 AS valid FROM (SELECT DISTINCT id, original_score, optimized_score FROM history)",
+    "score_candidates": _scored(OWN, BOTH) + f""", lost AS (SELECT DISTINCT id FROM (SELECT id, optimized, unnest(regexp_extract_all(original, '[^{WS_RE2}[:punct:]]+')) AS token FROM e) WHERE lower(token) IN ('not', 'no', 'never', 'neither', 'nor', 'n''t', 'cannot') AND NOT coalesce(contains(optimized, token), false)),
+f AS (SELECT id, pos, round(0.4 * score + 0.2 * collocation + 0.15 * complexity + 0.15 * CASE WHEN pos = 0 AND id IN (SELECT id FROM lost) THEN 0.0 ELSE 1.0 END, 9) AS final_score FROM d JOIN measures USING (doc_id))
+SELECT id, pos, final_score, CAST(row_number() OVER (PARTITION BY id ORDER BY final_score DESC, pos) AS INT) AS rank FROM f""",
+    "text_hashes": """WITH h AS (SELECT DISTINCT id, original FROM history), u AS (SELECT id, original, list_transform(range(1, length(coalesce(original, '')) + 1), lambda i: unicode(substring(original, i, 1))::BIGINT) AS cp FROM h),
+w AS (SELECT id, list_prepend(0::BIGINT, flatten(list_transform(cp, lambda c: CASE WHEN c > 65535 THEN [55296 + ((c - 65536) >> 10), 56320 + ((c - 65536) & 1023)] ELSE [c] END))) AS units FROM u),
+r AS (SELECT id, list_reduce(units, lambda a, x: (a * 31 + x) & 4294967295) AS h FROM w) SELECT id, CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END AS h FROM r""",
     "lang_detect": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, {L1} AS l1, {_share('t', HAN + COMPAT + PUNCT, WS_RE2)} > 0.3 AS l2, {_zh(_share('t', HAN + PUNCT, WS_RE2 + chr(92) + 'x{FEFF}', False) + ' > 0.3')} AS l3, {_zh(f"regexp_matches(t, '[{CJK_ZH}]')")} AS l4, {_zh(f"regexp_matches(substring(t, 1, 100), '[{CJK_ZH}]')")} AS l5 FROM d",
     "token_counts": f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, CAST(len({K1}) AS INT) AS k1, CAST(len({K3}) AS INT) AS k3, CAST(len({K4}) AS INT) AS k4, CAST(len({K5}) AS INT) AS k5, CAST(len({K7}) AS INT) AS k7 FROM d",
     "zipf_table": f"WITH {TOKENS}, {_table('x', 'token')} SELECT word, n AS count, zipf FROM x",

@@ -9,15 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # fixed values: temperature and number of answers of each round
 ROUNDS = {1: (0.8, 6), 2: (0.6, 4)}
 
 
 def answer_lines(answer: Column, round_no: int = 1) -> Column:
-    """array<string>: trimmed lines without list numbers, over five characters, the first six or four."""
-    lines = F.filter(F.transform(F.split(answer, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    clean = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^[0-9]+[.)、]\s*", "")))
-    return F.slice(F.filter(clean, lambda x: F.length(x) > 5), 1, ROUNDS[round_no][1])
+    """array<string>: trimmed lines without list numbers, over five UTF-16 units, the first six or four."""
+    trim = lambda x: F.regexp_replace(x, rf"\A[{T.WS}]+|[{T.WS}]+\z", "")
+    lines = F.filter(F.transform(F.split(answer, "\n"), trim), lambda x: x != "")
+    clean = F.transform(lines, lambda x: trim(F.regexp_replace(x, rf"\A[0-9]+[.)、][{T.WS}]*", "")))
+    return F.slice(F.filter(clean, lambda x: F.octet_length(F.encode(x, "UTF-16BE")) > 10), 1, ROUNDS[round_no][1])
 
 
 def candidate_rows(answers: DataFrame, key: str, answer: str = "answer", round_no: int = 1) -> DataFrame:
@@ -25,7 +28,7 @@ def candidate_rows(answers: DataFrame, key: str, answer: str = "answer", round_n
 
 
 def low_word_requests(lowest: DataFrame, key: str) -> DataFrame:
-    """(key, words): one line `"word" (score)` for each low token, lowest first."""
+    """(key, words): one line `"word" (score)` for each low token, lowest first; replace_request() puts them in words."""
     line = F.format_string('"%s" (%.1f)', "token", "zipf")
     w = lowest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))).alias("a"))  # a fixed number a prompt
     return w.select(key, F.array_join(F.transform("a", lambda x: x["l"]), "\n").alias("words"))
