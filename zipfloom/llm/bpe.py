@@ -190,3 +190,31 @@ def token_counts(documents: DataFrame, path: str = TOKENIZER, key: str = "doc_id
 
     d = documents.select(documents[key].alias(key), documents[text].alias(text))
     return d.mapInArrow(run, f"{key} {d.schema[key].dataType.simpleString()}, tokens long")
+
+
+_BYTES: dict[str, list[bytes]] = {}
+
+
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id, read once a worker process; empty for special tokens."""
+    if path not in _BYTES:
+        vocab = json.load(open(path, encoding="utf-8"))["model"]["vocab"]
+        back = {c: b for b, c in enumerate(byte_letters())}
+        table = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            table[i] = bytes(back[c] for c in t) if all(c in back for c in t) else b""
+        _BYTES[path] = table
+    return _BYTES[path]
+
+
+def texts(encoded: DataFrame, path: str = TOKENIZER, key: str = "doc_id") -> DataFrame:
+    """(key, text) of (key, ids): what token_ids() encoded; an empty list gives an empty text, null ids a null one."""
+
+    def run(batches):
+        for b in batches:
+            table = token_bytes(path)
+            got = [None if ids is None else b"".join(table[i] for i in ids).decode("utf-8", "surrogatepass") for ids in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.string())], names=[key, "text"])
+
+    d = encoded.select(encoded[key].alias(key), encoded["ids"].alias("ids"))
+    return d.mapInArrow(run, f"{key} {d.schema[key].dataType.simpleString()}, text string")

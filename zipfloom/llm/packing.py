@@ -180,7 +180,7 @@ def pack(documents: DataFrame, specs: DataFrame, write, folder: str = FOLDER, bu
         hist[r["spec_id"]][r["size"]] = r["n"]
     plans = {k: plan(hist[k], kinds[k][0], buckets) for k in kinds}
     most = max([1, *(n for h in hist.values() for n in h.values())])
-    salts = int(min(4096, max(8, most // SALT_ROWS)))
+    salts = int(max(8, most // SALT_ROWS))
     shipped = spark.sparkContext.broadcast({k: (np.array(p[0], dtype=np.int64), *_columns(p[1], len(p[0]))) for k, p in plans.items()})
 
     def bucketed(batches):
@@ -228,3 +228,14 @@ def summary(packed: DataFrame, specs: DataFrame) -> DataFrame:
     """(spec_id, capacity, containers, tokens, unused): unused is the share of the containers' room."""
     s = packed.filter("container is not null").groupBy("spec_id", "container").agg(F.sum("tokens").alias("t")).groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"))
     return s.join(specs.select("spec_id", "capacity"), "spec_id").select("spec_id", "capacity", "containers", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"))
+
+
+def checks(packed: DataFrame, specs: DataFrame) -> DataFrame:
+    """(spec_id, documents, pieces_twice, overfull, needless_splits): what has to hold of any packing. Documents placed or
+    known to have no tokens, pieces that stand in two places, containers above their capacity, and texts in several
+    pieces although they fit one container."""
+    p = packed.join(specs.select("spec_id", "capacity"), "spec_id")
+    docs = p.groupBy("spec_id", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.countDistinct("piece").alias("d"), F.max("capacity").alias("capacity"))
+    docs = docs.groupBy("spec_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("n") > F.col("d")).alias("pieces_twice"), F.count_if((F.col("n") > 1) & (F.col("t") <= F.col("capacity"))).alias("needless_splits"))
+    full = p.filter("container is not null").groupBy("spec_id", "container").agg((F.sum("tokens") > F.max("capacity")).alias("over")).groupBy("spec_id").agg(F.count_if("over").alias("overfull"))
+    return docs.join(full, "spec_id").select("spec_id", "documents", "pieces_twice", "overfull", "needless_splits")

@@ -12,6 +12,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,16 +62,16 @@ def heavy_terms(terms: DataFrame, limit: int = HEAVY) -> list[tuple[str, str]]:
 def counts(terms: DataFrame, heavy: list[tuple[str, str]]) -> DataFrame:
     """(lang, term, occurrences, n_tables)."""
     spark = terms.sparkSession
-    place = spark.sparkContext.broadcast({k: i for i, k in enumerate(heavy)})  # bounded by HEAVY
+    place = spark.sparkContext.broadcast(list(heavy))  # bounded by HEAVY
     size = len(heavy)
 
     def local(batches):
-        at = place.value
+        names = place.value
+        at = pa.array([f"{lang}\x00{term}" for lang, term in names], pa.string())
         occ, tab = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.int64)
-        names = list(at)
         for b in batches:
-            idx = [at.get(k, -1) for k in zip(b.column("lang").to_pylist(), b.column("term").to_pylist())]
-            idx = np.array(idx, dtype=np.int64)
+            key = pc.binary_join_element_wise(b.column("lang").cast(pa.string()), b.column("term").cast(pa.string()), "\x00")
+            idx = pc.fill_null(pc.index_in(key, value_set=at), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             n = b.column("word_count").to_numpy(zero_copy_only=False)
             hit = idx >= 0
             np.add.at(occ, idx[hit], n[hit])
