@@ -196,6 +196,12 @@ def slots_zh(spark, d):
     return slots.slot_rows(docs, "id", _slots(spark, d)(F.col("original")))
 
 
+def slots_chinese(spark, d):
+    """Slots of the Chinese prompts, without placeholders."""
+    docs = table(spark, d, "history").select("id", "original").distinct().filter(L.is_chinese(F.coalesce("original", F.lit(""))))
+    return slots.slot_rows(docs, "id", slots.slots_zh(_zh_words(spark, d), {})(F.col("original")))
+
+
 def heuristic_match(spark, d):
     """Similarity of prompt and rewrite, with its band."""
     h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized"))
@@ -354,6 +360,6 @@ QUERIES = {
     for f in (
         lang_detect, token_counts, zipf_table, zipf_top_n, domain_tables, token_scores, sentence_measures, lowest_tokens, rank_sentences, hybrid_score, domain_detect, onto_closure, substitution_verdicts, pos_tags, slots_en, slots_merged,
         placeholder_slots, structural_check, guard_rewrites, segment_chinese, slots_zh, heuristic_match, text_hashes, cosine_neighbours, history_newest, history_import, diff_counts, optimize_prompts, best_candidates, score_bands,
-        slots_en_merged, verify_slots, slot_preservation, substitutions_unsafe, changed_words, lowest_live, escaped, content_words, answer_candidates, low_word_requests, slot_kinds, weights_valid, score_candidates,
+        slots_en_merged, slots_chinese, verify_slots, slot_preservation, substitutions_unsafe, changed_words, lowest_live, escaped, content_words, answer_candidates, low_word_requests, slot_kinds, weights_valid, score_candidates,
     )
 }

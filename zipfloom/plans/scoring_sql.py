@@ -195,6 +195,33 @@ SELECT *, verdict IN ('Allowed', 'Widening', 'Unrelated') AS safe FROM v"""
 
 LATEST = "h AS (SELECT * FROM history WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY saved_at DESC) = 1)"
 
+ZH_SCOPE = "'整体', '部分', '全部', '总体', '宏观', '微观', '全球', '国内', '国际', '长期', '短期', '中期', '当前', '目前', '现在', '过去', '未来'"
+ZH_MARK = rf"{WS_RE2}[:punct:]\x{{3000}}-\x{{303F}}\x{{FF00}}-\x{{FFEF}}"
+ZH_SLOTS = rf"""WITH RECURSIVE src AS (SELECT id, coalesce(id, '') || '/' || md5(original) AS doc_id, original AS t FROM (SELECT DISTINCT id, original FROM history WHERE original IS NOT NULL) WHERE {_share('original', HAN + COMPAT + PUNCT, WS_RE2)} > 0.3),
+{_cut("SELECT doc_id, t FROM src")},
+placed AS (SELECT doc_id, token, length(array_to_string(us[1:j], '')) AS b FROM cut_words JOIN units USING (doc_id) WHERE NOT regexp_full_match(token, '[{ZH_MARK}]+')),
+lost AS (SELECT DISTINCT doc_id FROM placed WHERE regexp_matches(token, '^[{ZH_MARK}]')),
+tags AS (SELECT doc_id, token, b - length(token) AS a, b, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n,
+  CASE WHEN length(token) = 1 THEN CASE WHEN contains('的了着过们吗呢吧啊呀哦嘛和与或及而但因所', token) THEN 'function' WHEN contains('不没非无未勿请求', token) THEN 'adverb' WHEN contains('在从向往到给为对以把被', token) THEN 'preposition'
+      WHEN contains('我你他她它这那此', token) THEN 'pronoun' WHEN contains('是有做说看想去来走写读听会能将', token) THEN 'verb' WHEN contains('一二三四五六七八九十百千万亿几多少', token) THEN 'entity' ELSE 'noun' END
+    WHEN regexp_matches(token, '^[不没未]') THEN 'adverb'
+    WHEN token IN ('阐述', '说明', '解释', '介绍', '描述', '讲述', '分析', '论述', '讨论', '研究', '调查', '帮忙', '试试', '进行', '实施', '执行', '开展', '做出', '实行', '影响', '导致', '造成', '引起', '带来', '产生', '推动', '发生', '出现', '存在', '具有', '包含', '涉及') OR regexp_matches(token, '(做了|去过|看过|读过|听过|写过|想过|说过|起来|下去|上来|下来)$') THEN 'verb'
+    WHEN token IN ('整体', '部分', '全部', '主要', '次要', '核心', '基本', '重要', '关键', '详细', '具体', '完整', '全面', '系统', '深入', '明显', '显著', '有效', '无效', '成功', '失败') THEN 'adjective' WHEN regexp_matches(token, '地$') THEN 'adverb' ELSE 'noun' END AS pos
+  FROM placed WHERE doc_id NOT IN (SELECT doc_id FROM lost)),
+kinds AS (SELECT *, lag(token) OVER v AS before, lag(a) OVER v AS start, token IN ({ZH_SCOPE}) AS scope, CASE WHEN token IN ('请', '麻烦', '求', '麻烦你', '请帮忙', '拜托') THEN 'register'
+    WHEN token IN ('不', '没', '没有', '未', '非', '无', '勿', '不要', '无法', '不能') OR (regexp_matches(token, '^[不没]') AND length(token) <= 3) THEN 'negation' WHEN token IN ('如果', '要是', '假如', '假设', '若', '倘若', '假如说') THEN 'condition'
+    WHEN token IN ('如何', '怎么', '怎样', '怎么样', '为什么', '为何', '是什么', '什么是', '哪些', '什么', '影响', '机制', '过程', '原理', '原因', '方法', '步骤', '流程', '区别', '差异', '对比', '比较') OR regexp_matches(token, '(机制|过程|原理)$') THEN 'qtype'
+    WHEN pos = 'verb' AND (i <= n // 3 OR lead(pos) OVER v = 'noun') THEN 'action' WHEN pos = 'noun' AND lag(token) OVER v IN ({ZH_SCOPE}) THEN 'pair' WHEN pos = 'noun' THEN 'object'
+    WHEN token IN ({ZH_SCOPE}) AND coalesce(lead(pos) OVER v, '') <> 'noun' THEN 'scope' WHEN pos = 'adjective' THEN 'modifier' END AS kind FROM tags WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+zslots AS (SELECT doc_id, i, CASE WHEN kind = 'pair' THEN 'scope' ELSE kind END AS kind, CASE WHEN kind = 'pair' THEN before || token ELSE token END AS text, CASE WHEN kind = 'pair' THEN start ELSE a END AS a, b,
+    CASE kind WHEN 'register' THEN 'politeness' WHEN 'action' THEN 'verb' WHEN 'pair' THEN 'scope-noun' WHEN 'object' THEN 'noun' WHEN 'modifier' THEN 'adj' END AS sub_tag
+  FROM (SELECT *, lead(kind) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM kinds) WHERE kind IS NOT NULL AND NOT (coalesce(following, '') = 'pair' AND kind <> 'pair')),
+joined AS (SELECT *, coalesce(kind = 'object' AND lag(kind) OVER v = 'object' AND lag(b) OVER v = a, false) AS joins FROM zslots WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+zgroups AS (SELECT *, count(*) FILTER (WHERE NOT joins) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS g FROM joined)
+SELECT id, slot_ord, kind, text, char_start, char_end, sub_tag FROM (
+  SELECT doc_id, CAST(g AS INT) AS slot_ord, any_value(kind) AS kind, string_agg(text, '' ORDER BY i) AS text, CAST(min(a) AS INT) AS char_start, CAST(max(b) AS INT) AS char_end, CASE WHEN count(*) > 1 THEN 'phrase' ELSE any_value(sub_tag) END AS sub_tag FROM zgroups GROUP BY doc_id, g)
+JOIN src USING (doc_id)"""
+
 VERIFIED = f"""WITH {LATEST}, {_slots_of("SELECT id, original AS t FROM h", "_o").replace("h_o AS", "ho AS").replace("FROM h_o)", "FROM ho)")}, {_slots_of("SELECT id, optimized AS t FROM h", "_c").replace("h_c AS", "hc AS").replace("FROM h_c)", "FROM hc)")},
 v AS (
   SELECT o.id, o.slot_ord, o.kind, o.text, c.text AS matched, CASE WHEN o.kind = 'negation' THEN CASE WHEN c.text = o.text THEN 1.0 ELSE 0.0 END WHEN c.text = o.text THEN 1.0 WHEN c.text IS NOT NULL THEN 0.8 ELSE 0.0 END::DOUBLE AS similarity,
@@ -208,6 +235,7 @@ LINES = f"""list_filter(list_transform(list_filter(list_transform(string_split(t
 
 SQL = {
     "slots_en_merged": MERGED,
+    "slots_chinese": ZH_SLOTS,
     "verify_slots": VERIFIED + "SELECT * FROM verified",
     "slot_preservation": VERIFIED + """SELECT id, round(CASE WHEN bool_or(kind = 'negation' AND NOT passes) THEN 0.0 ELSE avg(similarity) END, 9) AS preservation, bool_and(passes) AS passes, count(*) AS total, count(*) FILTER (WHERE passes) AS kept,
 count(*) FILTER (WHERE NOT passes) AS dropped, count(*) FILTER (WHERE NOT passes) / count(*) > 0.5 AS bad FROM verified GROUP BY id""",
