@@ -61,6 +61,33 @@ def embedder(encode: Callable[[str], np.ndarray] = heuristic_vector):
     return apply
 
 
+_KEPT: dict[Callable, dict[str, np.ndarray]] = {}
+MOST_KEPT = 50_000  # vectors a worker remembers of each encoder
+
+
+def _encoded(encode: Callable[[str], np.ndarray], texts) -> np.ndarray:
+    """The vectors of distinct texts. Slots are mostly words, and a word comes up in many batches."""
+    known = _KEPT.setdefault(encode, {})
+    if len(known) > MOST_KEPT:
+        known.clear()
+    out = []
+    for t in texts:
+        v = known.get(t)
+        if v is None:
+            v = encode(t)
+            if len(t) <= 64:
+                known[t] = v
+        out.append(v)
+    return np.stack(out).astype(np.float64)
+
+
+def unit_vectors(encode: Callable[[str], np.ndarray], texts: list[str]) -> np.ndarray:
+    """Vectors of length 1, zeros for a text without one."""
+    m = _encoded(encode, texts)
+    norm = np.linalg.norm(m, axis=1)
+    return m / np.where(norm > 0, norm, 1)[:, None]
+
+
 def text_similarity(encode: Callable[[str], np.ndarray] = heuristic_vector):
     """A column function (text, text) -> cosine of their vectors, 0 where a text is null or a vector zero. Each
     distinct text of a batch is encoded once, and no vector leaves the function, so joins of many pairs
@@ -71,9 +98,8 @@ def text_similarity(encode: Callable[[str], np.ndarray] = heuristic_vector):
         code, texts = pd.factorize(pd.concat([x, y], ignore_index=True), use_na_sentinel=True)
         if not len(texts):
             return pd.Series(np.zeros(len(x)))
-        m = np.stack([encode(t) for t in texts]).astype(np.float64)
-        norm = np.linalg.norm(m, axis=1)
-        m = np.vstack([m / np.where(norm > 0, norm, 1)[:, None], np.zeros((1, m.shape[1]))])  # the last row is null's
+        m = unit_vectors(encode, texts)
+        m = np.vstack([m, np.zeros((1, m.shape[1]))])  # the last row is null's
         return pd.Series(np.einsum("ij,ij->i", m[code[: len(x)]], m[code[len(x) :]]))
 
     def apply(a: Column, b: Column) -> Column:

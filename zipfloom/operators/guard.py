@@ -1,36 +1,55 @@
 """Which rewrites keep their prompt's meaning: slots of both sides, matched and judged.
 
 Slots that must stay as they are look for their text in the candidate; the others take the most alike slot of
-their kind. Texts are encoded once a batch.
+their kind. A worker encodes each word it meets again once.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import embed, verify
-from .slots import all_slots, slot_rows
+from .slots import Scanner, language_of
 
 
-def match_slots(pairs: DataFrame, original: str = "original", candidate: str = "candidate", encode=None, slots=all_slots) -> DataFrame:
+def match_slots(pairs: DataFrame, original: str = "original", candidate: str = "candidate", encode=None, slots: Scanner | None = None) -> DataFrame:
     """pairs (id, original, candidate), id unique -> (id, slot_ord, kind, text, matched, similarity) for every slot
-    of the original. Without a slot of its kind a slot has matched '' and 0. Null candidates are empty."""
-    alike = embed.text_similarity(encode or embed.heuristic_vector)
-    mine = slot_rows(pairs.filter(F.col(original).isNotNull()), "id", slots(F.col(original)))
-    theirs = slot_rows(pairs.select("id", F.coalesce(candidate, F.lit("")).alias("_c")), "id", slots(F.col("_c")))
-    cands = theirs.filter(~S.needs_exact(F.col("kind"))).select("id", "kind", F.col("slot_ord").alias("cand_ord"), F.col("text").alias("cand_text"))
-    # exact slots meet no candidate slot in the join and are settled by the candidate's text
-    best = embed.best_matches(mine.select("id", "slot_ord", "kind", "text"), cands, alike(F.col("text"), F.col("cand_text")))
-    j = best.join(pairs.select("id", F.coalesce(candidate, F.lit("")).alias("_c")), "id")
-    exact, hit = S.needs_exact(F.col("kind")), F.contains("_c", F.col("text"))
-    matched = F.when(exact & hit, F.col("text")).when(exact, "").otherwise(F.coalesce("cand_text", F.lit("")))
-    similarity = F.when(exact, F.when(hit, 1.0).otherwise(0.0)).otherwise(F.col("similarity"))
-    return j.select("id", "slot_ord", "kind", "text", matched.alias("matched"), similarity.alias("similarity"))
-
-
-def judge(pairs: DataFrame, original: str = "original", candidate: str = "candidate", threshold: Column | None = None, encode=None, slots=all_slots) -> DataFrame:
+    of the original. Without a slot of its kind a slot has matched '' and 0, of equally alike ones the earlier counts.
+    Null candidates are empty; null originals have no slots. A pair is one row, so nothing is joined or shuffled."""
+    scan, encode = (slots or Scanner()).of, encode or embed.heuristic_vector
+    key = pairs.schema["id"].dataType
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, o, c, lo, lc in zip(*(b.column(k).to_pylist() for k in range(5))):
+                by: dict[str, list[str]] = {}
+                for s in scan(c, lc):
+                    by.setdefault(s[0], []).append(s[1])
+                vectors: dict = {}
+                for n, (kind, t, *_) in enumerate(scan(o, lo)):
+                    if kind in S.EXACT_KINDS:
+                        rows.append((i, n, kind, t, t if t in c else "", 1.0 if t in c else 0.0))
+                    elif kind not in by:
+                        rows.append((i, n, kind, t, "", 0.0))
+                    else:
+                        if kind not in vectors:
+                            vectors[kind] = embed.unit_vectors(encode, by[kind])
+                        alike = vectors[kind] @ embed.unit_vectors(encode, [t])[0]
+                        k = int(alike.argmax())
+                        rows.append((i, n, kind, t, by[kind][k], float(alike[k])))
+            types = (b.schema.field(0).type, pa.int32(), pa.string(), pa.string(), pa.string(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["id", "slot_ord", "kind", "text", "matched", "similarity"])
+
+    o, c = F.col(original), F.coalesce(candidate, F.lit(""))
+    p = pairs.filter(o.isNotNull()).select("id", o.alias("_o"), c.alias("_c"), language_of(o).alias("_lo"), language_of(c).alias("_lc"))
+    return p.mapInArrow(run, f"id {key.simpleString()}, slot_ord int, kind string, text string, matched string, similarity double")
+
+
+def judge(pairs: DataFrame, original: str = "original", candidate: str = "candidate", threshold: Column | None = None, encode=None, slots: Scanner | None = None) -> DataFrame:
     """(id, preservation, passes, total, kept, dropped, slot_share, bad) of every pair; a prompt without slots
     passes with 1.0."""
     m = match_slots(pairs, original, candidate, encode, slots)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -181,9 +181,9 @@ class ZhSlots:
     def __call__(self, text: Column) -> Column:
         of = self.of
 
-        @F.pandas_udf(SLOTS)
-        def run(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: None if t is None else of(t))
+        @F.arrow_udf(SLOTS)
+        def run(texts: pa.Array) -> pa.Array:
+            return slot_array([None if t is None else of(t) for t in texts.to_pylist()])
 
         return run(text)
 
@@ -191,29 +191,55 @@ class ZhSlots:
 slots_zh = ZhSlots
 
 
-def all_slots(text: Column, lang: Column | None = None, zh: ZhSlots | None = None) -> Column:
-    """Placeholders and slots by place; on one place placeholders come first. lang null or 'auto' is detected;
-    anything but zh is read as English. zh: slots_zh() of a dictionary; without it Chinese has placeholders only.
-    One Arrow function does it all, each distinct text of a batch once."""
+class Scanner:
+    """Placeholders and slots by place; on one place placeholders come first. zh: slots_zh() of a dictionary; without it
+    Chinese has placeholders only. Anything but zh is read as English."""
+
+    def __init__(self, zh: ZhSlots | None = None):
+        self.zh = zh
+
+    def of(self, text: str, lang: str | None) -> list[tuple]:
+        own = (self.zh.of(text) if self.zh else []) if lang == "zh" else slots_en_of(text)
+        return sorted(placeholder_spans(text) + own, key=lambda s: s[2])
+
+    def __call__(self, text: Column, lang: Column | None = None) -> Column:
+        """array<slot> of a text, null for null. lang null or 'auto' is detected."""
+        of = self.of
+
+        @F.arrow_udf(SLOTS)
+        def run(texts: pa.Array, langs: pa.Array) -> pa.Array:
+            known: dict[tuple, list[tuple]] = {}
+            rows: list[list[tuple] | None] = []
+            for key in zip(texts.to_pylist(), langs.to_pylist()):
+                if key[0] is not None and key not in known:
+                    known[key] = of(*key)
+                rows.append(None if key[0] is None else known[key])
+            return slot_array(rows)
+
+        return run(text, language_of(text, lang))
+
+
+def language_of(text: Column, lang: Column | None = None) -> Column:
     auto = F.when(is_chinese(text), "zh").otherwise("en")
-    lg = auto if lang is None else F.when(lang.isNull() | (lang == "auto"), auto).otherwise(lang)
-    chinese = zh.of if zh else lambda t: []
-
-    @F.pandas_udf(SLOTS)
-    def run(texts: pd.Series, langs: pd.Series) -> pd.Series:
-        known: dict[tuple[str, str], list[tuple]] = {}
-        out = []
-        for key in zip(texts, langs):
-            if key[0] is None:
-                out.append(None)
-                continue
-            if key not in known:
-                found = placeholder_spans(key[0]) + (chinese(key[0]) if key[1] == "zh" else slots_en_of(key[0]))
-                known[key] = sorted(found, key=lambda s: s[2])
-            out.append(known[key])
-        return pd.Series(out)
+    return auto if lang is None else F.when(lang.isNull() | (lang == "auto"), auto).otherwise(lang)
+
 
-    return run(text, lg)
+def slot_array(rows: list[list[tuple] | None]) -> pa.Array:
+    """Rows of slots as one Arrow array, built by column."""
+    flat = [s for r in rows if r for s in r]
+    column = lambda i, t: pa.array([s[i] for s in flat], t)
+    struct = pa.StructArray.from_arrays([column(0, pa.string()), column(1, pa.string()), column(2, pa.int32()), column(3, pa.int32()), column(4, pa.string())], ["kind", "text", "char_start", "char_end", "sub_tag"])
+    ends, at = [0], 0
+    for r in rows:
+        at += len(r or [])
+        ends.append(at)
+    # a null offset makes its row null
+    offsets = pa.array([None if i < len(rows) and rows[i] is None else e for i, e in enumerate(ends)], pa.int32())
+    return pa.ListArray.from_arrays(offsets, struct)
+
+
+def all_slots(text: Column, lang: Column | None = None, zh: ZhSlots | None = None) -> Column:
+    return Scanner(zh)(text, lang)
 
 
 def slot_rows(df: DataFrame, key: str, slots: Column) -> DataFrame:

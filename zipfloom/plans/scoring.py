@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -179,8 +177,8 @@ def _zh_words(spark, d) -> segment_zh.Words:
 
 
 def _slots(spark, d):
-    """all_slots in both languages, Chinese by the corpus dictionary."""
-    return partial(slots.all_slots, zh=slots.slots_zh(_zh_words(spark, d), {}))
+    """Slots in both languages, Chinese by the corpus dictionary."""
+    return slots.Scanner(slots.slots_zh(_zh_words(spark, d), {}))
 
 
 def segment_chinese(spark, d):
