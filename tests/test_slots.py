@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from zipfloom.operators import diff, embed, pos, segment_zh, slots, verify
+from zipfloom.operators import guard, diff, embed, pos, segment_zh, slots, verify
 from zipfloom.operators.placeholders import placeholder_spans
 
 SPANS = [
@@ -229,3 +229,13 @@ def test_slots_in_python_are_those_of_the_expression(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
     for r in df.select("t", slots.slots_en(F.col("t")).alias("s")).collect():
         assert (None if r["t"] is None else slots.slots_en_of(r["t"])) == (None if r["s"] is None else [tuple(x) for x in r["s"]])
+
+
+def test_a_failing_encoder_never_passes(spark):
+    def encode(text):
+        raise ValueError("no model")
+
+    df = spark.createDataFrame([("a", "Explain the global economy now", "Explain the economy"), ("b", "{x}", "{x}")], "id string, original string, candidate string")
+    got = {r["id"]: r for r in guard.judge(df, encode=encode).collect()}
+    assert not got["a"]["passes"] and got["a"]["preservation"] == 0.0
+    assert got["b"]["passes"] and got["b"]["preservation"] == 1.0  # its only slot has to stay as it is, which needs no encoder

@@ -5,6 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
+import pytest
 from zipfloom.sources import corpus, ontologies
 from zipfloom.sources import history as H
 from zipfloom.streaming import live
@@ -70,3 +71,31 @@ def test_windowed_counts(spark, tmp_path):
     time.sleep(0.5)
     q.stop()
     assert [(r["event_type"], r["n"]) for r in spark.sql("select * from w").collect()] == [("a", 2)]
+
+
+def test_malformed_requests_fail_open(spark):
+    from zipfloom.sources import requests as R
+
+    bad = ["", "{", "null", "[]", '{"original": 1}', '{"candidates": ["x"]}', None]
+    r = spark.createDataFrame([(i, b) for i, b in enumerate(bad)], "id int, body string")
+    assert R.sentences(r).count() == 0
+    originals, candidates = R.optimize_requests(r)
+    assert {x["text"] for x in originals.filter("id <> 4").collect()} == {""} and candidates.count() == 0
+    assert {x["reply"] for x in R.structure_replies(r).collect()} == {"[]"}
+    assert {(x["preservation"], x["passes"]) for x in R.verify_replies(r).collect()} == {(1.0, True)} and R.domain_tokens(r).count() == 0
+    read = R.substitution_requests(r).withColumn("reply", R.substitution_reply(F.lit("Allowed"), F.col("candidate").isNotNull()))
+    assert {x["reply"] for x in read.collect()} == {'{"verdict":"Unrelated","is_safe":true,"label":"无本体关系"}'}
+
+
+def test_requests_and_replies(spark):
+    from zipfloom.sources import requests as R
+
+    one = lambda b: spark.createDataFrame([("a", b)], "id string, body string")
+    assert [tuple(x) for x in R.sentences(one('["x", "y"]')).collect()] == [("a", 0, "x"), ("a", 1, "y")]
+    assert R.sentences(one('["x", 3]')).count() == 0
+    body = '{"original_slots": [{"kind": "negation", "text": "not"}, {"kind": "object", "text": "map"}], "candidate_text": "a map", "similarities": [{"text": "not", "similarity": 0.1}, {"text": "maps", "similarity": 0.95}]}'
+    assert R.structure_replies(one(body)).first()["reply"] == '[{"kind":"negation","text":"not","issue":"missing"}]'
+    v = R.verify_replies(one(body)).first()
+    assert v["passes"] and v["preservation"] == pytest.approx(0.975)
+    strict = body[:-1] + ', "thresholds": {"object": 0.99}}'
+    assert not R.verify_replies(one(strict)).first()["passes"]

@@ -14,6 +14,7 @@ WEIGHTS = {"frequency": 0.40, "collocation": 0.20, "complexity": 0.15, "slot_pre
 THRESHOLDS = {"action": 0.85, "object": 0.90, "scope": 0.95, "modifier": 0.75, "qtype": 0.95, "register": 0.80, "entity": 0.95, "condition": 0.90, "placeholder": 1.0, "negation": 1.0}
 KIND_NAMES = {"action": "动作 (Action)", "object": "对象 (Object)", "scope": "范围 (Scope)", "modifier": "修饰 (Modifier)", "qtype": "问法 (Q-Type)", "register": "语体 (Register)", "placeholder": "占位符 (Placeholder)", "entity": "实体 (Entity)", "negation": "否定 (Negation)", "condition": "条件 (Condition)"}
 EXACT_KINDS = ("placeholder", "negation")
+VERDICT_LABELS = {"Allowed": "等价替换", "Narrowing": "语义收窄（父→子）", "Widening": "语义扩展（子→父）", "Unrelated": "无本体关系", "CrossBranch": "跨分支替换"}
 SAFE_VERDICTS = ("Allowed", "Widening", "Unrelated")
 ALPHA, BETA = 0.6, 0.4
 
@@ -102,6 +103,10 @@ def is_safe(verdict: Column) -> Column:
     return verdict.isin(*SAFE_VERDICTS)
 
 
+def verdict_label(verdict: Column) -> Column:
+    return _map(VERDICT_LABELS)[verdict]
+
+
 def is_content(pos: Column) -> Column:
     return pos.isin("verb", "noun", "adjective", "adverb")
 

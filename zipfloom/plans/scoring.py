@@ -12,7 +12,7 @@ from ..operators import diff, domain, embed, guard, lexicon, ontology, optimize,
 from ..operators.names import concept_records
 from ..session import Scratch
 from ..sources import history as H
-from ..sources import rewrites
+from ..sources import requests, rewrites
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -322,6 +322,17 @@ def low_word_requests(spark, d):
     return rewrites.low_word_requests(low.withColumn("zipf", F.round("zipf", 6)), "doc_id")
 
 
+def replace_requests(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return rewrites.replace_requests(docs, low_word_requests(spark, d), "doc_id")
+
+
+def history_import_count(spark, d):
+    h = table(spark, d, "history")
+    late = F.col("saved_at").cast("timestamp").cast("double") - F.col("ts_millis") / 1000 > 86400
+    return H.import_count(h.filter(~F.coalesce(late, F.lit(False))), h.filter(late))
+
+
 def slot_kinds(spark, d):
     """Name, threshold and exactness of every kind of slot, on the kinds in use."""
     k = slots_en(spark, d).select("kind").distinct()
@@ -353,11 +364,42 @@ def score_candidates(spark, d):
     return ranking.score_candidates(m, "id", F.coalesce("kept", F.lit(1.0))).select("id", "pos", F.round("final_score", 9).alias("final_score"), "rank")
 
 
+def json_sentences(spark, d):
+    """Texts as JSON arrays of sentences; each text is sent bare too, which is no JSON and adds nothing."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    r = docs.select("doc_id", F.to_json(F.array("text")).alias("body")).unionByName(docs.select("doc_id", F.col("text").alias("body")))
+    return requests.sentences(r, "doc_id")
+
+
+def json_structure(spark, d):
+    h = H.latest_deliveries(table(spark, d, "history").select("id", "saved_at", "original", "optimized"))
+    h = h.select("id", "optimized", slots.slots_en_raw(F.col("original")).alias("s"))
+    own = F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text")))
+    return requests.structure_replies(h.select("id", F.to_json(F.struct(own.alias("original_slots"), F.col("optimized").alias("candidate_text"))).alias("body")))
+
+
+def json_verify(spark, d):
+    v = verify_slots(spark, d)
+    given = F.array_sort(F.collect_list(F.struct("slot_ord", "kind", "text", F.struct(F.col("matched").alias("text"), F.col("similarity").alias("similarity")).alias("given"))))  # the slots of one prompt
+    r = v.groupBy("id").agg(given.alias("g"))
+    body = F.struct(F.transform("g", lambda x: F.struct(x["kind"].alias("kind"), x["text"].alias("text"))).alias("original_slots"), F.transform("g", lambda x: x["given"]).alias("similarities"))
+    return requests.verify_replies(r.select("id", F.to_json(body).alias("body"))).select("id", F.round("preservation", 9).alias("preservation"), "passes")
+
+
+def json_substitutions(spark, d):
+    c = table(spark, d, "concepts")
+    r = _pairs(c).select("domain_key", "lang", F.to_json(F.struct("original", "candidate")).alias("body"))
+    read = requests.substitution_requests(r.withColumn("id", F.struct("domain_key", "lang"))).select("id.*", "original", "candidate")
+    v = ontology.check_substitutions(c, read)
+    return v.select("domain_key", "lang", "original", "candidate", requests.substitution_reply(F.col("verdict"), F.col("original").isNotNull()).alias("reply"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         lang_detect, token_counts, zipf_table, zipf_top_n, domain_tables, token_scores, sentence_measures, lowest_tokens, rank_sentences, hybrid_score, domain_detect, onto_closure, substitution_verdicts, pos_tags, slots_en, slots_merged,
         placeholder_slots, structural_check, guard_rewrites, segment_chinese, slots_zh, heuristic_match, text_hashes, cosine_neighbours, history_newest, history_import, diff_counts, optimize_prompts, best_candidates, score_bands,
-        slots_en_merged, slots_chinese, verify_slots, slot_preservation, substitutions_unsafe, changed_words, lowest_live, escaped, content_words, answer_candidates, low_word_requests, slot_kinds, weights_valid, score_candidates,
+        slots_en_merged, slots_chinese, verify_slots, slot_preservation, substitutions_unsafe, changed_words, lowest_live, escaped, content_words, answer_candidates, low_word_requests, replace_requests, history_import_count, slot_kinds, weights_valid, score_candidates,
+        json_sentences, json_structure, json_verify, json_substitutions,
     )
 }

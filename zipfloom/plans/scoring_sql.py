@@ -233,7 +233,18 @@ BOTH = f"""{LATEST}, e AS (SELECT id, original, optimized FROM h WHERE original
 d AS (SELECT id || '/0' AS doc_id, optimized AS t, id, 0 AS pos FROM e WHERE optimized IS NOT NULL UNION ALL SELECT id || '/1', original, id, 1 FROM e)"""
 LINES = f"""list_filter(list_transform(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^[0-9]+[.)、][{WS_RE2}]*', ''), '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g')), lambda x: length(x) + length(regexp_replace(x, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > 5)[1:6]"""
 
+LOW_WORDS = f"""{SCORED}, u AS (SELECT doc_id, token, min(pos) AS pos, min(z) AS zipf FROM scored GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY zipf, pos) AS rank FROM u QUALIFY rank <= 6),
+low AS (SELECT doc_id, string_agg('  - "' || token || '" (频率分: ' || printf('%.1f', round(zipf, 6)) || ')', chr(10) ORDER BY rank) AS words FROM x GROUP BY doc_id)
+"""
+
 SQL = {
+    "json_sentences": "SELECT doc_id, 0 AS pos, text FROM documents WHERE text IS NOT NULL",
+    "json_structure": f"""WITH {LATEST}, w AS (SELECT id, optimized, unnest(regexp_extract_all(original, '[^{WS_RE2}[:punct:]]+')) AS token, generate_subscripts(regexp_extract_all(original, '[^{WS_RE2}[:punct:]]+'), 1) AS i FROM h),
+m AS (SELECT id, '[' || string_agg('{{"kind":"negation","text":"' || token || '","issue":"missing"}}', ',' ORDER BY i) || ']' AS reply FROM w WHERE lower(token) IN ('not', 'no', 'never', 'neither', 'nor', 'cannot') AND NOT contains(optimized, token) GROUP BY id)
+SELECT id, coalesce(reply, '[]') AS reply FROM h LEFT JOIN m USING (id)""",
+    "json_verify": VERIFIED + "SELECT id, round(CASE WHEN bool_or(kind = 'negation' AND NOT passes) THEN 0.0 ELSE avg(similarity) END, 9) AS preservation, bool_and(passes) AS passes FROM verified GROUP BY id",
+    "json_substitutions": f"""SELECT domain_key, lang, original, candidate, '{{"verdict":"' || verdict || '","is_safe":' || CASE WHEN safe THEN 'true' ELSE 'false' END || ',"label":"' ||
+CASE verdict WHEN 'Allowed' THEN '等价替换' WHEN 'Narrowing' THEN '语义收窄（父→子）' WHEN 'Widening' THEN '语义扩展（子→父）' WHEN 'Unrelated' THEN '无本体关系' ELSE '跨分支替换' END || '"}}' AS reply FROM ({VERDICTS})""",
     "slots_en_merged": MERGED,
     "slots_chinese": ZH_SLOTS,
     "verify_slots": VERIFIED + "SELECT * FROM verified",
@@ -246,8 +257,11 @@ g AS (SELECT id, list_filter(o, lambda x: NOT list_contains(c, x))[1] AS origina
     "escaped": "SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), chr(160), '&nbsp;'), '<', '&lt;'), '>', '&gt;') AS html, replace(replace(replace(replace(source, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS attribute FROM documents",
     "content_words": f"WITH {TOKENS}, u AS (SELECT DISTINCT token, lower(token) AS w FROM tokens) SELECT token, {TAG} IN ('verb', 'noun', 'adjective', 'adverb') AS content FROM u",
     "answer_candidates": f"WITH {LATEST}, l AS (SELECT id, {LINES} AS lines FROM (SELECT id, optimized AS t FROM h)), n AS (SELECT id, lines, unnest(range(1, len(lines) + 1)) AS k FROM l) SELECT id, CAST(k - 1 AS INT) AS pos, lines[k] AS text FROM n",
-    "low_word_requests": f"""{SCORED}, u AS (SELECT doc_id, token, min(pos) AS pos, min(z) AS zipf FROM scored GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY zipf, pos) AS rank FROM u QUALIFY rank <= 6)
-SELECT doc_id, string_agg('\"' || token || '\" (' || printf('%.1f', round(zipf, 6)) || ')', chr(10) ORDER BY rank) AS words FROM x GROUP BY doc_id""",
+    "low_word_requests": LOW_WORDS + "SELECT * FROM low",
+    "replace_requests": LOW_WORDS + f""", a AS (SELECT doc_id, text, words, {L1.replace("(t,", "(text,")} AS lang FROM documents JOIN low USING (doc_id) WHERE contains(words, chr(10)) AND text IS NOT NULL)
+SELECT doc_id, CASE WHEN lang = 'zh' THEN '原始句子：' || chr(10) || text || chr(10) || chr(10) || '需要替换的低频词（分数越低越需要换）：' || chr(10) || words || chr(10) || chr(10) || '请只替换这些词，生成 4 个版本：'
+ELSE 'Original sentence:' || chr(10) || text || chr(10) || chr(10) || 'Low-frequency words to replace (lower = rarer):' || chr(10) || words || chr(10) || chr(10) || 'Replace only these words, generate 4 versions:' END AS prompt FROM a""",
+    "history_import_count": "WITH h AS (SELECT *, coalesce(epoch_us(saved_at) / 1e6 - ts_millis / 1000 > 86400, false) AS late FROM history) SELECT count(*) AS imported FROM h WHERE late AND coalesce(id, '') <> '' AND coalesce(original, '') <> '' AND id NOT IN (SELECT id FROM h WHERE NOT late AND id IS NOT NULL)",
     "slot_kinds": f"""WITH {_slots_of('SELECT DISTINCT id, original AS t FROM history')} SELECT DISTINCT kind, CASE kind WHEN 'action' THEN '动作 (Action)' WHEN 'object' THEN '对象 (Object)' WHEN 'modifier' THEN '修饰 (Modifier)' WHEN 'qtype' THEN '问法 (Q-Type)' WHEN 'register' THEN '语体 (Register)' WHEN 'entity' THEN '实体 (Entity)' WHEN 'negation' THEN '否定 (Negation)' WHEN 'condition' THEN '条件 (Condition)' END AS name,
 CASE kind WHEN 'action' THEN 0.85 WHEN 'object' THEN 0.90 WHEN 'modifier' THEN 0.75 WHEN 'qtype' THEN 0.95 WHEN 'register' THEN 0.80 WHEN 'entity' THEN 0.95 WHEN 'condition' THEN 0.90 WHEN 'negation' THEN 1.0 END::DOUBLE AS threshold, kind = 'negation' AS exact FROM slots""",
     "weights_valid": "SELECT id, abs(original_score / 10 + optimized_score / 10 + 0.2 - 1.0) < 0.01 AS valid FROM (SELECT DISTINCT id, original_score, optimized_score FROM history)",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +55,10 @@ class TableStore:
 def load_weights(spark: SparkSession, path: str) -> dict[str, float]:
     """Stored weights, or the defaults where there are none or they are not whole."""
     try:
-        r = spark.read.json(path).first()
-        got = {k: float(r[k]) for k in WEIGHTS}
-        return got
-    except Exception:
+        r = spark.read.schema(", ".join(f"{k} double" for k in WEIGHTS)).json(path).first()
+    except AnalysisException:  # no such path
         return dict(WEIGHTS)
+    return dict(WEIGHTS) if r is None or any(v is None for v in r) else r.asDict()
 
 
 def save_weights(spark: SparkSession, weights: dict[str, float], path: str) -> None:

@@ -37,6 +37,11 @@ def new_entries(present: DataFrame, incoming: DataFrame) -> DataFrame:
     return ok.join(present.select("id").distinct(), "id", "left_anti")
 
 
+def import_count(present: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(imported): how many entries an import adds, one row."""
+    return new_entries(present, incoming).agg(F.count(F.lit(1)).alias("imported"))
+
+
 def merged(present: DataFrame, incoming: DataFrame, cap: int = CAP) -> DataFrame:
     """New entries before those present, each newest first, at most `cap`."""
     new = new_entries(present, incoming).withColumn("_old", F.lit(0))
