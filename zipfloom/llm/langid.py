@@ -224,7 +224,7 @@ def kana_use(part: str) -> int:
 def _segments(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     for a, b in S.sentences(text):
-        script, part = S.frame(S.wording(text[a:b]))
+        script, part = S.clause(text[a:b])
         if script:
             out.append((a, b, script, part))
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import regex
 
@@ -67,6 +68,12 @@ def frame(words: str) -> tuple[str, str]:
     return "cjk", "".join(cjk)
 
 
+@lru_cache(50_000)
+def clause(sentence: str) -> tuple[str, str]:
+    """frame() of a sentence's wording; sentences come up again in many texts."""
+    return frame(wording(sentence))
+
+
 def is_sentence(script: str, part: str) -> bool:
     """Long enough to be a sentence, not an interjection or a name."""
     return len(part) >= 5 if script == "cjk" else len(part.split()) >= 3 and len(part) >= 10
