@@ -154,11 +154,15 @@ FROM s{name} WHERE kind IS NOT NULL)"""
 
 SLOTS = f"WITH {_slots_of('SELECT DISTINCT id, original AS t FROM history')} SELECT id, slot_ord, kind, text, char_start, char_end, sub_tag FROM slots"
 # a modifier or object takes the object one character behind it
-MERGED = f"""WITH {_slots_of('SELECT DISTINCT id, original AS t FROM history')},
-edges AS (SELECT *, coalesce(kind = 'object' AND lag(kind) OVER v IN ('modifier', 'object') AND char_start = lag(char_end) OVER v + 1, false) AS joins FROM slots WINDOW v AS (PARTITION BY id, t ORDER BY slot_ord)),
-groups AS (SELECT *, count(*) FILTER (WHERE NOT joins) OVER (PARTITION BY id, t ORDER BY slot_ord) - 1 AS g FROM edges)
-SELECT id, CAST(g AS INT) AS slot_ord, CASE WHEN count(*) > 1 THEN 'object' ELSE any_value(kind) END AS kind, string_agg(text, ' ' ORDER BY slot_ord) AS text, min(char_start) AS char_start, max(char_end) AS char_end,
-  CASE WHEN count(*) > 1 THEN 'phrase' ELSE any_value(sub_tag) END AS sub_tag FROM groups GROUP BY id, t, g"""
+def _merged(texts: str) -> str:
+    return f"""{_slots_of(texts, "_e")},
+edges AS (SELECT *, coalesce(kind = 'object' AND lag(kind) OVER v IN ('modifier', 'object') AND char_start = lag(char_end) OVER v + 1, false) AS joins FROM slots_e WINDOW v AS (PARTITION BY id, t ORDER BY slot_ord)),
+groups AS (SELECT *, count(*) FILTER (WHERE NOT joins) OVER (PARTITION BY id, t ORDER BY slot_ord) - 1 AS g FROM edges),
+en_slots AS (SELECT id, t, CAST(g AS INT) AS slot_ord, CASE WHEN count(*) > 1 THEN 'object' ELSE any_value(kind) END AS kind, string_agg(text, ' ' ORDER BY slot_ord) AS text, min(char_start) AS char_start, max(char_end) AS char_end,
+  CASE WHEN count(*) > 1 THEN 'phrase' ELSE any_value(sub_tag) END AS sub_tag FROM groups GROUP BY id, t, g)"""
+
+
+MERGED = f"WITH {_merged('SELECT DISTINCT id, original AS t FROM history')} SELECT id, slot_ord, kind, text, char_start, char_end, sub_tag FROM en_slots"
 
 _PROFILES = ", ".join(f"('{lg}', {o}, '{i}', {k}, '{w}', {v})" for lg, o, i, k, w, v in profile_rows())
 DETECT = f"""
@@ -197,7 +201,10 @@ LATEST = "h AS (SELECT * FROM history WHERE id IS NOT NULL QUALIFY row_number()
 
 ZH_SCOPE = "'整体', '部分', '全部', '总体', '宏观', '微观', '全球', '国内', '国际', '长期', '短期', '中期', '当前', '目前', '现在', '过去', '未来'"
 ZH_MARK = rf"{WS_RE2}[:punct:]\x{{3000}}-\x{{303F}}\x{{FF00}}-\x{{FFEF}}"
-ZH_SLOTS = rf"""WITH RECURSIVE src AS (SELECT id, coalesce(id, '') || '/' || md5(original) AS doc_id, original AS t FROM (SELECT DISTINCT id, original FROM history WHERE original IS NOT NULL) WHERE {_share('original', HAN + COMPAT + PUNCT, WS_RE2)} > 0.3),
+
+
+def _zh_slots(texts: str) -> str:
+    return rf"""src AS (SELECT id, coalesce(id, '') || '/' || md5(t) AS doc_id, t FROM ({texts}) WHERE {_share('t', HAN + COMPAT + PUNCT, WS_RE2)} > 0.3),
 {_cut("SELECT doc_id, t FROM src")},
 placed AS (SELECT doc_id, token, length(array_to_string(us[1:j], '')) AS b FROM cut_words JOIN units USING (doc_id) WHERE NOT regexp_full_match(token, '[{ZH_MARK}]+')),
 lost AS (SELECT DISTINCT doc_id FROM placed WHERE regexp_matches(token, '^[{ZH_MARK}]')),
@@ -217,10 +224,12 @@ zslots AS (SELECT doc_id, i, CASE WHEN kind = 'pair' THEN 'scope' ELSE kind END
     CASE kind WHEN 'register' THEN 'politeness' WHEN 'action' THEN 'verb' WHEN 'pair' THEN 'scope-noun' WHEN 'object' THEN 'noun' WHEN 'modifier' THEN 'adj' END AS sub_tag
   FROM (SELECT *, lead(kind) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM kinds) WHERE kind IS NOT NULL AND NOT (coalesce(following, '') = 'pair' AND kind <> 'pair')),
 joined AS (SELECT *, coalesce(kind = 'object' AND lag(kind) OVER v = 'object' AND lag(b) OVER v = a, false) AS joins FROM zslots WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
-zgroups AS (SELECT *, count(*) FILTER (WHERE NOT joins) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS g FROM joined)
-SELECT id, slot_ord, kind, text, char_start, char_end, sub_tag FROM (
+zgroups AS (SELECT *, count(*) FILTER (WHERE NOT joins) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS g FROM joined),
+zh_slots AS (SELECT id, t, slot_ord, kind, text, char_start, char_end, sub_tag FROM (
   SELECT doc_id, CAST(g AS INT) AS slot_ord, any_value(kind) AS kind, string_agg(text, '' ORDER BY i) AS text, CAST(min(a) AS INT) AS char_start, CAST(max(b) AS INT) AS char_end, CASE WHEN count(*) > 1 THEN 'phrase' ELSE any_value(sub_tag) END AS sub_tag FROM zgroups GROUP BY doc_id, g)
-JOIN src USING (doc_id)"""
+JOIN src USING (doc_id))"""
+
+
 
 VERIFIED = f"""WITH {LATEST}, {_slots_of("SELECT id, original AS t FROM h", "_o").replace("h_o AS", "ho AS").replace("FROM h_o)", "FROM ho)")}, {_slots_of("SELECT id, optimized AS t FROM h", "_c").replace("h_c AS", "hc AS").replace("FROM h_c)", "FROM hc)")},
 v AS (
@@ -233,6 +242,47 @@ BOTH = f"""{LATEST}, e AS (SELECT id, original, optimized FROM h WHERE original
 d AS (SELECT id || '/0' AS doc_id, optimized AS t, id, 0 AS pos FROM e WHERE optimized IS NOT NULL UNION ALL SELECT id || '/1', original, id, 1 FROM e)"""
 LINES = f"""list_filter(list_transform(list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^[0-9]+[.)、][{WS_RE2}]*', ''), '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g')), lambda x: length(x) + length(regexp_replace(x, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) > 5)[1:6]"""
 
+_NUMBER = r"[0-9](?:[0-9]|,[0-9]|e[0-9])*(?:\.[0-9](?:[0-9]|,[0-9]|e[0-9])*)?(?:e-|[%$€¥£元块千万亿kKmM])?"
+_RUN = r"\p{L}\p{N}@_+\-"  # of an address, without the point
+_SPAN = "|".join((
+    r"[{\[<]", r"\$[A-Za-z_][A-Za-z0-9_]*", r"\"[^\"\n]*\"", r"''[^''\n]*''", r"‘[^‘\n]*‘", r"’[^’\n]*’", rf"http[^{WS_RE2})\]><\"]*",
+    rf"[A-Za-z][{_RUN}.]*@[{_RUN}]*\.[{_RUN}.]*", rf"[A-Za-z][{_RUN}]*\.[{_RUN}.]*@[{_RUN}.]*", r"[0-9]{4}-[0-9]{2}-[0-9]{2}", r"[0-9]+年[0-9]*月(?:[0-9]+日?)?", _NUMBER,
+))
+# one span a step, from where the last one ended; brackets close where as many have closed as opened on their line
+
+
+def _placeholders(texts: str) -> str:
+    """pl_slots (id, t, slot_ord, kind, text, char_start, char_end, sub_tag) of the texts (id, t)."""
+    return rf"""pl_texts AS MATERIALIZED (SELECT row_number() OVER () AS key, id, t FROM ({texts})),
+pl_scan AS (
+  SELECT key, t, 0::BIGINT AS p, NULL::VARCHAR AS m, NULL::BIGINT AS a FROM pl_texts
+  UNION ALL
+  SELECT key, t, CASE WHEN m IS NULL THEN a + 1 ELSE a + length(m) END, m, a FROM (
+    SELECT key, t, a, CASE WHEN NOT regexp_matches(found, '^[{{\[<]$') THEN regexp_replace(found, '^([0-9][0-9.,e]*e)-$', '\1')
+        WHEN k IS NULL THEN NULL WHEN found <> '<' OR (NOT regexp_matches(line[1:k], '[= ]') AND strlen(line[1:k]) >= 3 AND (regexp_matches(line[1:k], '[A-Za-z]') OR NOT regexp_matches(line[1:k], '[0-9]'))) THEN line[1:k] END AS m
+    FROM (
+      SELECT *, list_filter(range(1, length(line) + 1), lambda k: k > 1 AND k - length(replace(line[1:k], found, '')) = k - length(replace(line[1:k], CASE found WHEN '{{' THEN '}}' WHEN '[' THEN ']' ELSE '>' END, '')))[1] AS k
+      FROM (
+        SELECT key, t, p + length(regexp_extract(t[p + 1:], '(?s)^(.*?)(?:{_SPAN})', 1)) AS a, regexp_extract(t[p + 1:], '(?s)^.*?({_SPAN})', 1) AS found,
+          regexp_extract(t[p + length(regexp_extract(t[p + 1:], '(?s)^(.*?)(?:{_SPAN})', 1)) + 1:], '^[^\n]*') AS line
+        FROM pl_scan WHERE regexp_matches(t[p + 1:], '{_SPAN}'))))),
+pl_spans AS (SELECT id, t, a, m, CASE WHEN regexp_matches(m, '^\{{') THEN 'braces' WHEN regexp_matches(m, '^\[') THEN 'square' WHEN regexp_matches(m, '^<') THEN 'angle' WHEN regexp_matches(m, '^\$') THEN 'shell' WHEN regexp_matches(m, '^["''‘’]') THEN 'quoted'
+    WHEN regexp_matches(m, '^http') THEN 'url' WHEN regexp_full_match(m, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'iso-date' WHEN regexp_matches(m, '^[0-9]+年') THEN 'cn-date' WHEN regexp_matches(m, '^[0-9]') THEN 'number' ELSE 'email' END AS sub_tag
+  , key FROM (SELECT key, m, a FROM pl_scan) JOIN pl_texts USING (key) WHERE m IS NOT NULL),
+pl_slots AS (SELECT id, t, CAST(row_number() OVER (PARTITION BY key ORDER BY a) - 1 AS INT) AS slot_ord, CASE WHEN sub_tag IN ('braces', 'square', 'angle', 'shell', 'quoted') THEN 'placeholder' ELSE 'entity' END AS kind, m AS text, CAST(a AS INT) AS char_start, CAST(a + length(m) AS INT) AS char_end, sub_tag FROM pl_spans)"""
+
+
+_PROMPTS = "SELECT DISTINCT id, original AS t FROM history WHERE original IS NOT NULL"
+PLACEHOLDERS = f"WITH RECURSIVE {_placeholders(_PROMPTS)} SELECT id, slot_ord, kind, text, char_start, char_end, sub_tag FROM pl_slots"
+
+
+def _all_slots(texts: str) -> str:
+    """all_slots of the texts (id, t): placeholders, and the slots of the text's language, by place."""
+    return f"""{_placeholders(texts)}, {_merged(texts)}, {_zh_slots(texts)},
+of_both AS (SELECT *, 0 AS rank FROM pl_slots UNION ALL SELECT *, 1 FROM zh_slots UNION ALL SELECT *, 1 FROM en_slots WHERE NOT {_share('t', HAN + COMPAT + PUNCT, WS_RE2)} > 0.3),
+all_slots AS (SELECT id, t, CAST(row_number() OVER (PARTITION BY id, t ORDER BY char_start, rank, slot_ord) - 1 AS INT) AS slot_ord, kind, text, char_start, char_end, sub_tag FROM of_both)"""
+
+
 LOW_WORDS = f"""{SCORED}, u AS (SELECT doc_id, token, min(pos) AS pos, min(z) AS zipf FROM scored GROUP BY ALL), x AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY zipf, pos) AS rank FROM u QUALIFY rank <= 6),
 low AS (SELECT doc_id, string_agg('  - "' || token || '" (频率分: ' || printf('%.1f', round(zipf, 6)) || ')', chr(10) ORDER BY rank) AS words FROM x GROUP BY doc_id)
 """
@@ -246,7 +296,12 @@ SELECT id, coalesce(reply, '[]') AS reply FROM h LEFT JOIN m USING (id)""",
     "json_substitutions": f"""SELECT domain_key, lang, original, candidate, '{{"verdict":"' || verdict || '","is_safe":' || CASE WHEN safe THEN 'true' ELSE 'false' END || ',"label":"' ||
 CASE verdict WHEN 'Allowed' THEN '等价替换' WHEN 'Narrowing' THEN '语义收窄（父→子）' WHEN 'Widening' THEN '语义扩展（子→父）' WHEN 'Unrelated' THEN '无本体关系' ELSE '跨分支替换' END || '"}}' AS reply FROM ({VERDICTS})""",
     "slots_en_merged": MERGED,
-    "slots_chinese": ZH_SLOTS,
+    "slots_chinese": f"WITH RECURSIVE {_zh_slots(_PROMPTS)} SELECT id, slot_ord, kind, text, char_start, char_end, sub_tag FROM zh_slots",
+    "slots_merged": f"WITH RECURSIVE {_all_slots(_PROMPTS)} SELECT id, slot_ord, kind, text, char_start, char_end, sub_tag FROM all_slots",
+    "slots_zh": f"WITH RECURSIVE {_all_slots(_PROMPTS)} SELECT id, slot_ord, kind, text, char_start, char_end, sub_tag FROM all_slots",
+    "structural_check": f"""WITH RECURSIVE {LATEST}, {_all_slots("SELECT id, original AS t FROM h WHERE original IS NOT NULL")}
+SELECT id, slot_ord, kind, text, CASE WHEN NOT contains(coalesce(optimized, ''), text) THEN 'missing' END AS issue FROM all_slots JOIN h USING (id) WHERE kind IN ('placeholder', 'negation')""",
+    "placeholder_slots": PLACEHOLDERS,
     "verify_slots": VERIFIED + "SELECT * FROM verified",
     "slot_preservation": VERIFIED + """SELECT id, round(CASE WHEN bool_or(kind = 'negation' AND NOT passes) THEN 0.0 ELSE avg(similarity) END, 9) AS preservation, bool_and(passes) AS passes, count(*) AS total, count(*) FILTER (WHERE passes) AS kept,
 count(*) FILTER (WHERE NOT passes) AS dropped, count(*) FILTER (WHERE NOT passes) / count(*) > 0.5 AS bad FROM verified GROUP BY id""",
