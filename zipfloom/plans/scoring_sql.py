@@ -287,7 +287,23 @@ LOW_WORDS = f"""{SCORED}, u AS (SELECT doc_id, token, min(pos) AS pos, min(z) AS
 low AS (SELECT doc_id, string_agg('  - "' || token || '" (频率分: ' || printf('%.1f', round(zipf, 6)) || ')', chr(10) ORDER BY rank) AS words FROM x GROUP BY doc_id)
 """
 
+_ANSWERS = f"""{LATEST}, e AS (SELECT id, original, optimized AS t FROM h WHERE original IS NOT NULL),
+l AS (SELECT id, original, {LINES} AS lines FROM e), answers AS (SELECT id, original, CAST(n - 1 AS INT) AS pos, lines[n] AS text FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS n FROM l))"""
+_ANSWER_DOCS = f"""{_ANSWERS}, d AS (SELECT doc_id, t, {L1.replace("(t,", "(original,")} AS own FROM (SELECT id AS doc_id, original AS t, original FROM e UNION ALL SELECT id || '/' || pos, text, original FROM answers))"""
+# candidates guarded by the prompt's exact slots; where none passes, the first is kept
+OPTIMIZED = f"""WITH RECURSIVE {_ANSWERS},
+scores AS (SELECT doc_id, round(score, 9) AS score FROM ({_scored("SELECT doc_id, own AS lang FROM d", _ANSWER_DOCS)} SELECT doc_id, score FROM measures)),
+{_all_slots("SELECT id, original AS t FROM e")},
+exact AS (SELECT id, list(text) AS kept FROM all_slots WHERE kind IN ('placeholder', 'negation') GROUP BY id),
+first AS (SELECT id, text, min(pos) AS pos FROM answers GROUP BY ALL),
+judged AS (SELECT f.*, s.score, len(list_filter(coalesce(x.kept, []), lambda k: NOT contains(f.text, k))) = 0 AS passes FROM first f LEFT JOIN exact x USING (id) JOIN scores s ON s.doc_id = f.id || '/' || f.pos),
+guarded AS (SELECT * FROM judged QUALIFY passes OR (NOT bool_or(passes) OVER (PARTITION BY id) AND pos = min(pos) OVER (PARTITION BY id))),
+best AS (SELECT id, text, score FROM guarded QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, pos) = 1)
+SELECT e.id, original, CASE WHEN b.score >= o.score THEN b.text ELSE original END AS optimized, o.score AS original_score, CASE WHEN b.score >= o.score THEN b.score ELSE o.score END AS optimized_score, false AS second_applied
+FROM e JOIN scores o ON o.doc_id = e.id LEFT JOIN best b ON b.id = e.id"""
+
 SQL = {
+    "optimize_prompts": OPTIMIZED,
     "json_sentences": "SELECT doc_id, 0 AS pos, text FROM documents WHERE text IS NOT NULL",
     "json_structure": f"""WITH {LATEST}, w AS (SELECT id, optimized, unnest(regexp_extract_all(original, '[^{WS_RE2}[:punct:]]+')) AS token, generate_subscripts(regexp_extract_all(original, '[^{WS_RE2}[:punct:]]+'), 1) AS i FROM h),
 m AS (SELECT id, '[' || string_agg('{{"kind":"negation","text":"' || token || '","issue":"missing"}}', ',' ORDER BY i) || ']' AS reply FROM w WHERE lower(token) IN ('not', 'no', 'never', 'neither', 'nor', 'cannot') AND NOT contains(optimized, token) GROUP BY id)
