@@ -1,5 +1,5 @@
-"""Sentences of wordings the lexicon was not written from, to measure recall and false alarms on (written after it, and
-not used to change it but for the first ten of each list)."""
+"""Sentences to measure recall and false alarms on, written after the lexicon but for four abusive and three harmless ones
+known before. The README has the first measurement; faults it showed were mended since."""
 
 ABUSIVE = {
     "threat": """I am going to gouge your eyes out tonight.

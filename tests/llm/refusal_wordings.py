@@ -1,4 +1,5 @@
-"""Declining and harmless answers of wordings the refusal grammar was not written from (written after it)."""
+"""Declining and harmless answers, written after the refusal grammar but for three known before. The README has the first
+measurement; faults it showed were mended since."""
 
 REFUSALS = """Apologies, but rewriting this is off the table for me.
 I'm going to have to pass on that one.
