@@ -18,6 +18,11 @@ def _lang(lang: str | Column) -> Column:
 def scored_tokens(docs: DataFrame, key: str, lexicon: DataFrame, bigrams: DataFrame | None = None, text: str = "text", lang: str = "en", tokens: Column | None = None) -> DataFrame:
     """(key, pos, token, prev, zipf, bigram): zipf raw, before the floor."""
     rows = T.token_rows(docs, [key], tokens if tokens is not None else T.words_en(F.col(text)))
+    return scored_rows(rows, lexicon, bigrams, lang)
+
+
+def scored_rows(rows: DataFrame, lexicon: DataFrame, bigrams: DataFrame | None = None, lang: str = "en") -> DataFrame:
+    """As scored_tokens, of token rows that are at hand."""
     t = with_zipf(rows, lexicon, S.DEFAULT_ZIPF[lang], fold=lang == "en")
     return with_bigram(t, bigrams) if bigrams is not None else t.withColumn("bigram", F.lit(None).cast("double"))
 

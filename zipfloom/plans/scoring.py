@@ -27,11 +27,6 @@ def _doc_tokens(docs: DataFrame) -> DataFrame:
     return T.token_rows(docs, ["doc_id"], T.words_en(F.col("text")))
 
 
-def _lexicons(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    t = _doc_tokens(docs)
-    return lexicon.freq_table(t.select(F.lower("token").alias("token"))), lexicon.bigram_table(t)
-
-
 def _scored(spark: SparkSession, d: str, docs: DataFrame, name: str, pairs: bool = True, lang: DataFrame | None = None) -> DataFrame:
     """(doc_id, pos, token, prev, zipf, bigram, lang) of both languages, stored: what follows reads them more than
     once. lang (doc_id, lang) is the language to score each document in, by default its own."""
@@ -39,9 +34,11 @@ def _scored(spark: SparkSession, d: str, docs: DataFrame, name: str, pairs: bool
     if lang is None:
         lang = docs.select("doc_id", L.detect_language(F.coalesce("text", F.lit(""))).alias("lang"))
     docs = docs.select("doc_id", "text")
-    lex, big = _lexicons(docs)
+    # the corpus is read into tokens once; both tables and the look-ups read those
+    tokens = s.write(_doc_tokens(docs), "tokens")
+    lex = lexicon.freq_table(tokens.select(F.lower("token").alias("token")))
     is_zh = lang.filter("lang = 'zh'").select("doc_id")
-    en = scoring.scored_tokens(docs.join(is_zh, "doc_id", "left_anti"), "doc_id", lex, big if pairs else None)
+    en = scoring.scored_rows(tokens.join(is_zh, "doc_id", "left_anti"), lex, lexicon.bigram_table(tokens) if pairs else None)
     words = docs.join(is_zh, "doc_id", "left_semi").select("doc_id", segment_zh.segmenter(_zh_words(spark, d), {})(F.col("text")).alias("words"))
     cut = s.write(T.token_rows(words, ["doc_id"], F.col("words")), "words")
     zh = scoring.scored_tokens_zh(cut, _zh_lexicon(spark, d), lexicon.bigram_table(cut) if pairs else None)
